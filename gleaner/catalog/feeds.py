@@ -7,40 +7,51 @@ from pyspark.sql import functions as F
 from gleaner.catalog import registry as Q
 from gleaner.catalog.postings import SHAPED_SQL, sorted_contacts
 from gleaner.catalog.registry import query
-from gleaner.catalog.views import CARDS_SQL, DETAILS_SQL, cards, details, postings
+from gleaner.catalog.views import CARDS_SQL, DETAILS_SQL, POSTINGS_SQL
+from gleaner.catalog.views import cards, details, postings
 from gleaner.catalog.webpages import HITS_SQL, LANDED_SQL, RULES_SQL, WEB_ROWS_SQL, found, hits
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
 from gleaner.operators.dedupe import greedy_dedupe
+from gleaner.operators.shape import SEQ_BITS
 from gleaner.plans.feeds import board_feed, combined_feed, merged_feed, web_feed
 
 _CARD_KEY = Q.sql_key('"jobUrl"', "company", "position")
 _CARD_ID = Q.sql_job_id('c."jobUrl"')
 
 
-@query("board_feed", f"""
-WITH {CARDS_SQL}, {DETAILS_SQL},
+_BOARD_SQL = f"""
+{CARDS_SQL}, {DETAILS_SQL},
 first_cards AS (
   SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY {_CARD_KEY} ORDER BY seq) = 1),
 described AS (
   SELECT c.*, coalesce(d.description, '') AS description
   FROM first_cards c LEFT JOIN details d ON d.job_id = {_CARD_ID}
-  WHERE {Q.sql_title_match('position')} AND {Q.sql_quick_place('location', 'position')})
-SELECT {SHAPED_SQL}, md5(description) AS description FROM described
-WHERE {Q.sql_experience("position || ' ' || description")}""")
+  WHERE {Q.sql_title_match('position')} AND {Q.sql_quick_place('location', 'position')}),
+board AS (
+  SELECT {SHAPED_SQL}, description FROM described
+  WHERE {Q.sql_experience("position || ' ' || description")})"""
+
+
+@query("board_feed", f"""
+WITH {_BOARD_SQL}
+SELECT * EXCLUDE (description), md5(description) AS description FROM board""")
 def board(spark, folder):
     rows = board_feed(cards(spark, folder), details(spark, folder), Q.CONFIG)
     return sorted_contacts(rows).withColumn("description", F.md5("description"))
 
 
-@query("web_feed", f"""
-WITH {HITS_SQL}, {LANDED_SQL},
+_WEB_SQL = f"""
+{HITS_SQL}, {LANDED_SQL},
 first_hit AS (
   SELECT * FROM hits WHERE {RULES_SQL}
   QUALIFY row_number() OVER (PARTITION BY link ORDER BY seq) = 1),
 first_found AS (
-  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)
-{WEB_ROWS_SQL}""")
+  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+web AS ({WEB_ROWS_SQL})"""
+
+
+@query("web_feed", f"WITH {_WEB_SQL} SELECT * FROM web")
 def web(spark, folder):
     return web_feed(hits(spark, folder), found(spark, folder), Q.CONFIG)
 
@@ -58,13 +69,38 @@ def _split_feeds(spark, folder):
     return as_web, as_board
 
 
-@query("merged_feed")
+_RANK_1 = 1 << SEQ_BITS
+_BLANKS = ("matched_role", "is_remote", "ago_time", "salary", "contact_emails", "contact_phones",
+           "skills")
+
+
+@query("merged_feed", f"""
+WITH RECURSIVE {POSTINGS_SQL},
+feed AS MATERIALIZED (
+  SELECT CASE WHEN job_url LIKE 'https://ats.%' THEN seq ELSE seq + {_RANK_1} END AS seq,
+    CASE WHEN job_url LIKE 'https://ats.%' THEN 0 ELSE 1 END AS source_rank,
+    coalesce({Q.sql_job_id('job_url')}, '') AS li_job_id, company, title, location,
+    CAST(date_posted AS VARCHAR) AS date_posted, job_url, description FROM postings),
+{Q.sql_walk('feed')}
+SELECT * EXCLUDE (description), md5({Q.sql_trim('description')}) AS description,
+  {", ".join(f"'' AS {b}" for b in _BLANKS)}
+FROM feed WHERE seq IN (SELECT seq FROM kept)""")
 def merged(spark, folder):
     rows = merged_feed(*_split_feeds(spark, folder))
     return rows.withColumn("description", F.md5("description"))
 
 
-@query("full_feed")
+@query("full_feed", f"""
+WITH RECURSIVE {_BOARD_SQL}, {_WEB_SQL},
+both_feeds AS MATERIALIZED (
+  SELECT seq, '' AS li_job_id, company, title, '' AS matched_role, job_url, description FROM web
+  UNION ALL
+  SELECT seq + {_RANK_1}, li_job_id, company, title, matched_role, job_url, description FROM board),
+{Q.sql_walk('both_feeds')}
+SELECT seq, {Q.sql_trim('li_job_id')} AS li_job_id, {Q.sql_trim('company')} AS company,
+  {Q.sql_trim('title')} AS title, matched_role, {Q.sql_trim('job_url')} AS job_url,
+  length({Q.sql_trim('description')}) AS description_chars
+FROM both_feeds WHERE seq IN (SELECT seq FROM kept)""")
 def full(spark, folder):
     """Board and web feeds of the given tables, merged."""
     both = combined_feed(web(spark, folder),

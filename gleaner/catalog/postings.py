@@ -306,7 +306,13 @@ def feed_rows(spark, folder):
     return unify(postings(spark, folder).withColumn("li_job_id", U.job_id(C("job_url"))))
 
 
-@query("greedy_dedupe")
+_FEED_SQL = f"feed AS MATERIALIZED (SELECT *, {_JOB_ID} AS li_job_id FROM postings)"
+
+
+@query("greedy_dedupe", f"""
+WITH RECURSIVE {POSTINGS_SQL}, {_FEED_SQL}, {Q.sql_walk('feed')}
+SELECT seq, coalesce(li_job_id, '') AS li_job_id, company, title
+FROM feed WHERE seq IN (SELECT seq FROM kept)""")
 def greedy(spark, folder):
     kept = greedy_dedupe(feed_rows(spark, folder))
     return kept.select("seq", "li_job_id", "company", "title")

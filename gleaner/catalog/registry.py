@@ -157,3 +157,30 @@ EXPERIENCE_SQL = (
 def sql_experience(expr: str) -> str:
     return "NOT (" + " OR ".join(
         f"regexp_matches(lower({expr}), '{p}')" for p in EXPERIENCE_SQL) + ")"
+
+
+def sql_walk(source: str, post_id: str = "li_job_id") -> str:
+    """CTEs ending in ``kept(seq)``: one row after the other, in order of ``seq``.
+
+    To be used under WITH RECURSIVE, after a CTE ``source``.
+    """
+    return f"""
+lined AS MATERIALIZED (
+  SELECT seq, {sql_trim(f"coalesce({post_id}, '')")} AS k1, {sql_canonical('job_url')} AS k2,
+    lower({sql_trim('company')}) || '|' || lower({sql_trim('title')}) AS k3,
+    row_number() OVER (ORDER BY seq) AS place
+  FROM {source}),
+walk(place, seq, ok, ids, urls, pairs) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false,
+    CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT place, seq, ok,
+    CASE WHEN ok AND k1 <> '' THEN list_append(ids, k1) ELSE ids END,
+    CASE WHEN ok AND k2 <> '' THEN list_append(urls, k2) ELSE urls END,
+    CASE WHEN ok THEN list_append(pairs, k3) ELSE pairs END
+  FROM (
+    SELECT l.*, ids, urls, pairs, NOT (
+      (k1 <> '' AND list_contains(ids, k1)) OR (k2 <> '' AND list_contains(urls, k2))
+      OR list_contains(pairs, k3)) AS ok
+    FROM walk JOIN lined l ON l.place = walk.place + 1)),
+kept AS (SELECT seq FROM walk WHERE ok)"""

@@ -9,12 +9,13 @@ from gleaner.catalog.registry import query, table
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
 from gleaner.operators.enrich import match_vocab
-from gleaner.sources.tables import CSV_OPTIONS, write_postings_csv
+from gleaner.operators.skew import widen
 from gleaner.session import scratch_path
+from gleaner.sources.tables import CSV_OPTIONS, write_postings_csv
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents")
+    return widen(table(spark, folder, "documents"), "doc_id")
 
 
 @query("slug", f"SELECT doc_id, {Q.sql_slug('text')} AS slug FROM documents")

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from gleaner.catalog.registry import table
 from gleaner.functions import urls as U
 from gleaner.operators.dedupe import uniq_by
+from gleaner.operators.skew import widen
 
+# concat(x, '') hands the engine plain strings where it would keep dictionaries
 POSTINGS_SQL = """
-postings AS (
-  SELECT o.o_orderkey AS seq, p.p_name AS title, s.s_name AS company,
+postings AS MATERIALIZED (
+  SELECT o.o_orderkey AS seq, concat(p.p_name, '') AS title, concat(s.s_name, '') AS company,
     CASE WHEN o.o_orderkey % 5 = 0 THEN 'Remote' ELSE n.n_name END AS location,
     CASE WHEN o.o_orderkey % 31 = 0 THEN ''
          WHEN o.o_orderkey % 7 = 0 THEN concat('https://ats.example.com/careers/', CAST(o.o_custkey AS VARCHAR), '/')
          ELSE concat('https://jobs.example.com/view/', replace(p.p_name, ' ', '-'), '-',
                      CAST(100000 + o.o_custkey AS VARCHAR), '?position=', CAST(o.o_orderkey % 25 AS VARCHAR))
     END AS job_url,
-    CAST(o.o_orderdate AS date) AS date_posted, o.o_totalprice AS salary, o.o_orderstatus AS job_type,
+    CAST(o.o_orderdate AS date) AS date_posted, o.o_totalprice AS salary, concat(o.o_orderstatus, '') AS job_type,
     substr(o.o_orderpriority, 1, 1) AS experience,
     CASE o.o_orderkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '1' END AS remote_code,
-    o.o_orderkey % 2 = 0 AS verified, o.o_custkey % 30 AS applicants, d.text AS description
+    o.o_orderkey % 2 = 0 AS verified, o.o_custkey % 30 AS applicants, concat(d.text, '') AS description
   FROM orders o
   JOIN customer c ON c.c_custkey = o.o_custkey
   JOIN nation n ON n.n_nationkey = c.c_nationkey
@@ -36,7 +38,7 @@ details AS (
 )"""
 
 CARDS_SQL = POSTINGS_SQL + """,
-cards AS (
+cards AS MATERIALIZED (
   SELECT seq, title AS position, company, location, CAST(date_posted AS VARCHAR) AS date,
     CAST(CAST(salary AS DECIMAL(18, 2)) AS VARCHAR) AS salary, job_url AS "jobUrl",
     concat(CAST(applicants AS VARCHAR), ' days ago') AS "agoTime"
@@ -58,7 +60,7 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     order, cust = c("o_orderkey"), c("o_custkey").cast("string")
     part, supplier, documents = read("part"), read("supplier"), read("documents")
     rows = (
-        read("orders")
+        widen(read("orders"), "o_orderkey")
         .withColumns({"part_slot": _slot("o_orderkey", part),
                       "doc_slot": _slot("o_orderkey", documents),
                       "supp_slot": _slot("o_custkey", supplier)})

@@ -12,13 +12,14 @@ from gleaner.functions import urls as U
 from gleaner.operators.dedupe import uniq_by
 from gleaner.operators.enrich import with_found
 from gleaner.operators.shape import shape_web
+from gleaner.operators.skew import widen
 from gleaner.sources.hits import explode_hits, hits_from_json
 from gleaner.sources.markup import Field
 from gleaner.sources.pages import extract_cards, extract_detail, extract_jsonld, html_text
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages")
+    return widen(table(spark, folder, "pages"), "page_id")
 
 
 @query("host", f"SELECT page_id, {Q.sql_host('url')} AS host FROM pages")

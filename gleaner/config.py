@@ -95,6 +95,8 @@ EXPERIENCE_REJECT_PATTERNS = (
     r"\bexperience\s*[:\-]?\s*([3-9]|1[0-9])\s*(year|yr|yrs|years)\b",
 )
 
+YEAR_UNITS = ("year", "yr")  # every pattern above asks for one of these
+
 DATE_WINDOW_CODES = {"past month": "r2592000", "past week": "r604800", "24hr": "r86400"}
 EXPERIENCE_CODES = {
     "internship": "1", "entry level": "2", "associate": "3",

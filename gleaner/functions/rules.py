@@ -42,8 +42,15 @@ def place_or_remote(location: Column, title: Column, description: Column,
 
 def experience_allowed(words: Column,
                        patterns: Sequence[str] = C.EXPERIENCE_REJECT_PATTERNS) -> Column:
-    """No rejecting pattern matches; text that states no years is allowed."""
-    return ~X.matches_any(words, patterns)
+    """No rejecting pattern matches; text that states no years is allowed.
+
+    Every default pattern needs a unit of years, which a substring test rules
+    out for most texts before any regex runs.
+    """
+    rejected = X.matches_any(words, patterns)
+    if patterns is C.EXPERIENCE_REJECT_PATTERNS:
+        rejected = X.contains_any(words, C.YEAR_UNITS) & rejected
+    return ~rejected
 
 
 def is_blocked(url: Column, domains: Sequence[str] = C.BLOCKED_DOMAINS) -> Column:

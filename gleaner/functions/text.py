@@ -110,8 +110,15 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
 
 
 def matches_any(col: Column, patterns: Sequence[str]) -> Column:
-    """True when any pattern matches the lower-cased text, in one regex pass."""
-    return lowered(col).rlike("|".join(f"(?:{portable(p)})" for p in patterns))
+    """True when any pattern matches the lower-cased text, in one regex pass.
+
+    Where every pattern starts and ends with a word boundary, these are tested
+    once around the whole alternation; the patterns' outer characters are then
+    taken to be word characters.
+    """
+    edged = all(p.startswith(r"\b") and p.endswith(r"\b") for p in patterns)
+    joined = "|".join(f"(?:{portable(p[2:-2] if edged else p)})" for p in patterns)
+    return lowered(col).rlike(rf"(?<!\w)(?:{joined})(?!\w)" if edged else joined)
 
 
 def first_match(cols: Sequence[Column], phrases: Sequence[str]) -> Column:

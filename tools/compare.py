@@ -34,7 +34,7 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
 
 def main() -> int:
     folder, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark, con, bad = build_session(), connect(folder), 0
+    spark, con, bad = build_session(**{"spark.ui.showConsoleProgress": "false"}), connect(folder), 0
     spark.sparkContext.setLogLevel("ERROR")
     for name in names:
         started = time.time()
@@ -54,6 +54,7 @@ def main() -> int:
         except Exception as error:
             bad += 1
             print(f"{name:20s} SQL FAILED {str(error)[:600]}", flush=True)
+            con = connect(folder)
             continue
         duck_s = time.time() - started
         note = "ok"
