@@ -82,7 +82,8 @@ SEARCH_PLACES = (
     "Indore", "Kochi",
 )
 
-REMOTE_PATTERN = r"remote|work\s*from\s*home|wfh"
+REMOTE_WORDS = ("remote", "wfh")
+HOME_PATTERN = r"work\s*from\s*home"
 
 # A posting is turned away when any of these matches its lower-cased text.
 # `[-–to]` is one character out of four, not the word "to".

@@ -11,7 +11,7 @@ from gleaner import config as C
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
 
-REMOTE = X.portable(C.REMOTE_PATTERN)
+HOME = X.portable(C.HOME_PATTERN)
 
 
 def has_negative_word(title: Column, words: Sequence[str] = C.NEGATIVE_TITLE_WORDS) -> Column:
@@ -30,6 +30,12 @@ def role_matches(title: Column, description: Column, phrases: Sequence[str] = C.
         X.contains_any(title, phrases) | X.contains_any(description, phrases))
 
 
+def says_remote(col: Column) -> Column:
+    """Any wording of remote work; the regex only runs on texts with "work"."""
+    return X.contains_any(col, C.REMOTE_WORDS) | (
+        X.contains_any(col, ("work",)) & X.lowered(col).rlike(HOME))
+
+
 def place_or_remote_quick(location: Column, title: Column,
                           places: Sequence[str] = ("india",)) -> Column:
     return X.contains_any(location, (*places, "remote")) | X.contains_any(title, ("remote",))
@@ -37,7 +43,7 @@ def place_or_remote_quick(location: Column, title: Column,
 
 def place_or_remote(location: Column, title: Column, description: Column,
                     places: Sequence[str] = ("india",)) -> Column:
-    return place_or_remote_quick(location, title, places) | X.lowered(description).rlike(REMOTE)
+    return place_or_remote_quick(location, title, places) | says_remote(description)
 
 
 def experience_allowed(words: Column,
@@ -72,6 +78,5 @@ def tokens_ok(title: Column, body: Column, include: Sequence[str] = C.INCLUDE_TO
 
 def remote_label(location: Column, description: Column) -> Column:
     """Yes/No from location and description; the title is not looked at."""
-    pattern = f"(?i){REMOTE}"
-    hit = X.text(location).rlike(pattern) | X.text(description).rlike(pattern)
+    hit = says_remote(location) | says_remote(description)
     return F.when(hit, F.lit("Yes")).otherwise(F.lit("No"))

@@ -160,7 +160,10 @@ def occurrences(col: Column, word: str) -> Column:
 # ---- contacts --------------------------------------------------------------
 
 def emails(col: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text(col), F.lit(EMAIL_PATTERN), F.lit(0)))
+    """Distinct addresses; texts without an at sign are not scanned."""
+    found = F.regexp_extract_all(text(col), F.lit(EMAIL_PATTERN), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.when(text(col).contains("@"), F.array_distinct(found)).otherwise(none)
 
 
 def phones(col: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from gleaner.session import materialize
 
 STALL_SHARE = 0.05
 PREFIX_ROWS = 200_000
+REST_ROWS = 20_000
 
 
 def uniq_by(df: DataFrame, key: Column, order: str = "seq") -> DataFrame:
@@ -44,7 +45,10 @@ def posting_keys(post_id: str = "li_job_id", url: str = "job_url", company: str
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep or drop a bounded run of rows in order; returns the kept ones."""
+    """Keep or drop a bounded run of rows in order; returns the kept ones.
+
+    The input has one line per row and key.
+    """
     taken: set[str] = set()
     kept = []
     for seq, keys in pdf.sort_values("seq").groupby("seq", sort=True)["key"]:
@@ -57,7 +61,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
                 hot_rows: int = HOT_ROWS, stall_share: float = STALL_SHARE,
-                prefix_rows: int = PREFIX_ROWS) -> DataFrame:
+                prefix_rows: int = PREFIX_ROWS, rest_rows: int = REST_ROWS) -> DataFrame:
     """``seq`` of the rows a scan in ``seq`` order would keep.
 
     The scan drops a row when any of its non-blank keys belongs to an earlier
@@ -72,9 +76,10 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
     * Striking out neighbours joins on the key.  Keys with a large share of the
       rows take a broadcast join over a bounded list and never shuffle.
     * Long chains decide few rows per round.  When a round decides less than
-      ``stall_share`` of the rest, the next ``prefix_rows`` rows in order are
-      scanned one after the other in one task: their outcome depends on nothing
-      later, so this is exact, and the task's size is fixed.
+      ``stall_share`` of the rest, the rows of the next ``prefix_rows`` keys in
+      order are scanned one after the other in one task: their outcome depends
+      on nothing later, so this is exact, and the task's size is fixed.  The
+      same scan ends the work once no more than ``rest_rows`` keys are left.
     """
     spark = df.sparkSession
     names = list(keys)
@@ -88,8 +93,11 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
         .select("seq", F.size("keys").alias("width"), F.explode_outer("keys").alias("key")))
     left = long.filter(F.col("key").isNotNull())
 
-    hot = materialize(hot_keys(left, "key", hot_rows))
-    has_hot = not hot.isEmpty()
+    remaining, rounds, stalled = left.count(), 0, False
+    has_hot = False
+    if remaining >= hot_rows:  # else no key can have that many
+        hot = materialize(hot_keys(left, "key", hot_rows))
+        has_hot = not hot.isEmpty()
 
     def sharing(rows: DataFrame, taken: DataFrame) -> DataFrame:
         """``seq`` of the rows that hold any of the taken keys."""
@@ -101,15 +109,16 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
         return warm.select("seq").union(cold.select("seq"))
 
     kept = spark.createDataFrame([], "seq long")
-    remaining, rounds, stalled = left.count(), 0, False
     while remaining:
-        if stalled:
-            run = left.join(
-                left.select("seq").distinct().orderBy("seq").limit(prefix_rows), "seq", "left_semi")
-            run = materialize(run)
-            winners = run.groupBy(F.lit(0)).applyInPandas(
-                lambda pdf: _walk(pdf), "seq long")
-            winners = materialize(winners)
+        if stalled or (rounds and remaining <= rest_rows):
+            run = left
+            if remaining > prefix_rows:
+                head = left.select("seq").orderBy("seq").limit(prefix_rows)
+                run = materialize(left.filter(F.col("seq") <= head.agg(F.max("seq")).scalar()))
+            winners = materialize(run.groupBy().applyInPandas(_walk, "seq long"))
+            if run is left:
+                kept = kept.union(winners)
+                break
             taken = run.join(winners, "seq", "left_semi").select("key")
             decided = run.select("seq").union(sharing(left, taken))
         else:

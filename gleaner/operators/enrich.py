@@ -47,9 +47,16 @@ def with_found(hits: DataFrame, found: DataFrame, link: str = "link",
     return hits.join(right, link, "left")
 
 
-def _token_runs(col: Column) -> Column:
-    """Lower-cased text as alternating runs of word and other characters."""
-    return F.regexp_extract_all(X.lowered(col), F.lit(r"\w+|[^\w]+"), F.lit(0))
+def _run_pattern(starts_word: bool, runs: int) -> str:
+    """Pattern whose group 1 is every sequence of ``runs`` whole runs.
+
+    A run is a maximal stretch of word characters or of others.  The group sits
+    in a lookahead, so sequences may overlap.
+    """
+    kinds = [starts_word == (i % 2 == 0) for i in range(runs)]
+    before = r"(?<!\w)" if kinds[0] else r"(?<=\w)"
+    after = r"(?!\w)" if kinds[-1] else r"(?=\w)"
+    return f"{before}(?=({''.join(r'\w+' if word else r'[^\w]+' for word in kinds)}){after})"
 
 
 def match_vocab(df: DataFrame, row_id: str, body: str, vocab: DataFrame,
@@ -58,33 +65,20 @@ def match_vocab(df: DataFrame, row_id: str, body: str, vocab: DataFrame,
 
     For vocabularies too large for one expression per term.  A term between
     word boundaries is exactly a sequence of whole runs of the text, so the
-    match is an equi-join on run sequences of the lengths the vocabulary has.
-    Spark broadcasts the vocabulary when it is small; beyond that a frequent
-    word's rows are spread over ``salts`` tasks.
+    match is an equi-join on the run sequences of the shapes the vocabulary
+    has.  Spark broadcasts the vocabulary when it is small; beyond that a
+    frequent word's rows are spread over ``salts`` tasks.
     """
     terms = vocab.select(F.col(term), F.lower(F.col(term)).alias("gram")).distinct()
-    lengths = [r[0] for r in terms.select(
-        F.size(_token_runs(F.col("gram")))).distinct().collect()]
-    runs, size = F.col("_runs"), F.col("_size")
-
-    def grams(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - F.lit(n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        inner = F.filter(starts, lambda i: (
-            ((i > 1) | F.element_at(runs, 1).rlike(r"^\w"))
-            & ((i + F.lit(n - 1) < size) | F.element_at(runs, -1).rlike(r"^\w"))))
-        if n == 1:
-            return F.transform(inner, lambda i: F.get(runs, i - 1))
-        return F.transform(inner, lambda i: F.array_join(F.slice(runs, i, F.lit(n)), ""))
-
-    all_grams = F.array_distinct(F.concat(F.array().cast("array<string>"),
-                                          *[grams(n) for n in sorted(lengths)]))
-    rows = (
-        df.select(row_id, _token_runs(F.col(body)).alias("_runs"))
-        .filter(F.size("_runs") > 0)
-        .withColumn("_size", F.size("_runs"))
-        .select(row_id, F.explode(all_grams).alias("gram"))
-        .withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    )
+    run_count = F.size(F.regexp_extract_all("gram", F.lit(r"\w+|[^\w]+"), F.lit(0)))
+    # one row per shape: whether it starts with a word, and its number of runs
+    shapes = terms.select(F.col("gram").rlike(r"^\w").alias("word"), run_count.alias("runs")).filter(
+        F.col("runs") > 0).distinct().orderBy("word", "runs").collect()
+    low = X.lowered(F.col(body))
+    found = [F.regexp_extract_all(low, F.lit(_run_pattern(s["word"], s["runs"])), F.lit(1))
+             for s in shapes]
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
+    rows = df.select(row_id, F.explode(grams).alias("gram")).withColumn(
+        "_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     spread = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(spread, ["gram", "_salt"]).select(row_id, term)

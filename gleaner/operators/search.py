@@ -71,7 +71,8 @@ def sort_postings(postings: DataFrame, mode: str, keyword: str = "") -> DataFram
         return postings.orderBy(F.desc("date_posted"), "seq")
     if mode == "relevant" and keyword:
         hits = X.occurrences(F.col("title"), keyword) + X.occurrences(F.col("description"), keyword)
-        return postings.orderBy(hits.desc(), "seq")
+        # a column of its own, or the sort would work it out at every comparison
+        return postings.withColumn("_hits", hits).orderBy(F.desc("_hits"), "seq").drop("_hits")
     return postings.orderBy("seq")
 
 

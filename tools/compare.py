@@ -41,9 +41,10 @@ def main() -> int:
         try:
             frame = QUERIES[name](spark, folder)
             got = frame.toPandas()
-        except Exception:
+        except Exception as error:
             bad += 1
-            print(f"{name:20s} FAILED\n{traceback.format_exc()[-1500:]}", flush=True)
+            place = traceback.format_tb(error.__traceback__)[-6:]
+            print(f"{name:20s} FAILED {str(error)[:800]}\n{''.join(place)}", flush=True)
             continue
         spark_s, started = time.time() - started, time.time()
         if name not in SQL:
