@@ -15,13 +15,13 @@ def only_new(df: DataFrame, seen: DataFrame, key: str, seen_key: str = "key") ->
     Meant for rows already unique on the key, where neither side can be skewed.
     """
     known = seen.select(F.col(seen_key).alias(key)).distinct()
-    return df.filter(F.col(key) != "").join(known, key, "left_anti")
+    return df.filter(X.text(F.col(key)) != "").join(known, key, "left_anti")
 
 
 def advance_seen(seen: DataFrame, accepted: DataFrame, key: str,
                  seen_key: str = "key") -> DataFrame:
     """Seen keys plus the non-empty keys of accepted rows."""
-    added = accepted.filter(F.col(key) != "").select(F.col(key).alias(seen_key))
+    added = accepted.filter(X.text(F.col(key)) != "").select(F.col(key).alias(seen_key))
     return seen.select(seen_key).union(added).distinct()
 
 

@@ -1,0 +1,126 @@
+"""CSV and JSON readers, writers and run state."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner import schema as S
+from gleaner.operators.shape import unify
+from gleaner.sources.hits import read_hits
+from gleaner.sources.state import append_seen, load_seen
+from gleaner.sources.tables import (
+    latest_file, read_latest, read_postings_csv, write_if_any, write_postings_csv)
+
+
+def put(path, text, age=0):
+    path.write_bytes(text.encode("utf-8"))
+    if age:
+        stat = path.stat()
+        os.utime(path, (stat.st_atime - age, stat.st_mtime - age))
+    return str(path)
+
+
+def test_relaxed_csv(spark, tmp_path):
+    path = put(tmp_path / "a.csv", (
+        '﻿"source", title ,job_url\r\n'
+        'x,  padded  ,https://h/1\r\n'
+        '\r\n'
+        '"y","line\nbreak, and ""quotes""",https://h/2,extra\r\n'
+        'z\r\n'))
+    rows = read_postings_csv(spark, path).orderBy("seq").collect()
+    assert [(r["source"], r["title"], r["job_url"]) for r in rows] == [
+        ("x", "padded", "https://h/1"),
+        ("y", 'line\nbreak, and "quotes"', "https://h/2"),
+        ("z", "", "")]
+
+
+@pytest.mark.parametrize("text", [None, "", "\n \n"])
+def test_missing_or_blank_csv(spark, tmp_path, text):
+    path = str(tmp_path / "b.csv")
+    if text is not None:
+        put(tmp_path / "b.csv", text)
+    rows = read_postings_csv(spark, path)
+    assert rows.count() == 0
+    assert unify(rows).columns == ["seq", *S.UNIFIED_COLUMNS]
+
+
+def test_round_trip(spark, tmp_path):
+    values = [(1, 'a "q", b'), (2, "two\nlines"), (3, ""), (4, None), (5, "back\\slash")]
+    frame = spark.createDataFrame(values, "li_job_id string, description string")
+    frame = unify(frame)
+    path = str(tmp_path / "out")
+    write_postings_csv(frame, path, single_file=True)
+    back = read_postings_csv(spark, path)
+    assert back.columns == [*S.UNIFIED_COLUMNS, "seq"]
+    got = {r["li_job_id"]: r["description"] for r in back.collect()}
+    assert got == {str(k): v or "" for k, v in values}
+
+
+def test_latest_file(spark, tmp_path):
+    assert latest_file(spark, str(tmp_path / "none")) is None
+    put(tmp_path / "Google_other.CSV", "a\n1\n")
+    assert latest_file(spark, str(tmp_path)).endswith("Google_other.CSV")
+    put(tmp_path / "google_results.csv", "title\nold\n", age=500)
+    put(tmp_path / "google.csv", "title\nnew\n", age=100)
+    put(tmp_path / "google_jobs.csv", "")
+    put(tmp_path / "unrelated.csv", "title\nno\n")
+    assert latest_file(spark, str(tmp_path)).endswith("google.csv")
+    assert [r["title"] for r in read_latest(spark, str(tmp_path)).collect()] == ["new"]
+
+
+def test_write_if_any_leaves_old_data(spark, tmp_path):
+    path = str(tmp_path / "x")
+    frame = unify(spark.createDataFrame([("1",)], "id string"))
+    assert write_if_any(frame, path)
+    assert not write_if_any(frame.limit(0), path)
+    assert read_postings_csv(spark, path).count() == 1
+
+
+def test_hits(spark, tmp_path):
+    put(tmp_path / "r1.json", (
+        '{"items": [{"link": "https://a", "title": "A"}, {"title": "no link"}, {"link": ""}],'
+        ' "searchInformation": {"totalResults": "3"}}\n'
+        '{"searchInformation": {"totalResults": "0"}}\n'
+        '{"items": []}\n'
+        '{"items": [{"link": "https://b", "displayLink": "www.b", "snippet": "s"}]}\n'))
+    rows = read_hits(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["link"], r["title"], r["displayLink"]) for r in rows] == [
+        ("https://a", "A", None), ("https://b", None, "www.b")]
+
+
+def test_state(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    assert load_seen(spark, path).count() == 0
+
+    def keys(*names):
+        return spark.createDataFrame([(n,) for n in names], "k string")
+
+    append_seen(keys("a", "a", "", "b"), path, "2024-01-01", "r1")
+    append_seen(keys("c"), path, "2024-01-02", "r2")
+    append_seen(keys("c"), path, "2024-01-02", "r2")
+    assert sorted(r["key"] for r in load_seen(spark, path).collect()) == ["a", "b", "c"]
+    assert [r["key"] for r in load_seen(spark, path, "2024-01-02").collect()] == ["c"]
+
+
+def test_unify_aliases(spark):
+    frame = spark.createDataFrame(
+        [(1, " ", "J1", "  ", "Org", "desc", None)],
+        "seq long, li_job_id string, job_id string, company string, employer string, "
+        "summary string, pay string")
+    row = unify(frame).first()
+    assert (row["li_job_id"], row["company"], row["description"], row["salary"]) == (
+        "J1", "Org", "desc", "")
+
+
+def test_web_rows_lose_source_columns(spark):
+    row = unify(spark.createDataFrame(
+        [("google_jobs", "tok", "C", "T", "L", "2025-09-16", "v", "https://h/1", "d")],
+        S.WEB_ROW)).first()
+    assert (row["li_job_id"], row["date_posted"], row["location"]) == ("", "2025-09-16", "L")
+
+
+def test_column_pruning_reaches_the_scan(spark, folder):
+    plan = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_orderkey"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint>" in plan
