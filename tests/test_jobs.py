@@ -196,13 +196,13 @@ def event_files(spark, folder, path, parts):
 def test_stream_over_several_batches(spark, folder, tmp_path):
     feed = event_files(spark, folder, str(tmp_path / "in"), 4)
     out = str(tmp_path / "out")
-    query = stream_only_new(feed, "user_id", "event_id", out, str(tmp_path / "log"))
+    query = stream_only_new(feed, "props", "event_id", out, str(tmp_path / "log"))
     query.awaitTermination()
     accepted = spark.read.parquet(out)
     assert accepted.select("batch").distinct().count() > 1
-    users = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct()
-    assert accepted.count() == users.count()
-    assert accepted.select("user_id").distinct().count() == users.count()
+    keys = spark.read.parquet(f"{folder}/events.parquet").select("props").distinct()
+    assert accepted.count() == keys.count()
+    assert accepted.select("props").distinct().count() == keys.count()
 
 
 def test_batch_can_run_again(spark, tmp_path):
