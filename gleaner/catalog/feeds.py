@@ -15,6 +15,7 @@ from gleaner.functions import urls as U
 from gleaner.operators.dedupe import greedy_dedupe
 from gleaner.operators.shape import SEQ_BITS
 from gleaner.plans.feeds import board_feed, combined_feed, merged_feed, web_feed
+from gleaner.session import materialize
 
 _CARD_KEY = Q.sql_key('"jobUrl"', "company", "position")
 _CARD_ID = Q.sql_job_id('c."jobUrl"')
@@ -105,6 +106,6 @@ def full(spark, folder):
     """Board and web feeds of the given tables, merged."""
     both = combined_feed(web(spark, folder),
                          board_feed(cards(spark, folder), details(spark, folder), Q.CONFIG))
-    rows = greedy_dedupe(both)
+    rows = greedy_dedupe(materialize(both))
     return rows.select("seq", "li_job_id", "company", "title", "matched_role", "job_url",
                        F.length(X.text(F.col("description"))).alias("description_chars"))

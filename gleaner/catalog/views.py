@@ -59,15 +59,20 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     order, cust = c("o_orderkey"), c("o_custkey").cast("string")
     part, supplier, documents = read("part"), read("supplier"), read("documents")
+    # place and company depend on the customer alone, so they are settled there;
+    # one customer may own many orders, which the adaptive skew join splits
+    customers = (
+        read("customer").withColumn("supp_slot", _slot("c_custkey", supplier))
+        .join(read("nation"), c("n_nationkey") == c("c_nationkey"))
+        .join(supplier, c("s_suppkey") == c("supp_slot"))
+        .select("c_custkey", "n_name", "s_name")
+    )
     rows = (
         widen(read("orders"), "o_orderkey")
         .withColumns({"part_slot": _slot("o_orderkey", part),
-                      "doc_slot": _slot("o_orderkey", documents),
-                      "supp_slot": _slot("o_custkey", supplier)})
-        .join(read("customer"), c("c_custkey") == c("o_custkey"))
-        .join(read("nation"), c("n_nationkey") == c("c_nationkey"))
+                      "doc_slot": _slot("o_orderkey", documents)})
+        .join(customers, c("c_custkey") == c("o_custkey"))
         .join(part, c("p_partkey") == c("part_slot"))
-        .join(supplier, c("s_suppkey") == c("supp_slot"))
         .join(documents, c("doc_id") == c("doc_slot"))
     )
     board_url = F.concat(

@@ -184,7 +184,7 @@ def test_places(spark):
 
 
 def test_blocked_and_career(column):
-    urls = ["https://in.linkedin.com/jobs/x", "https://sunshine.org/a", "https://ok.com/a", "junk"]
+    urls = ["https://in.indeed.com/jobs/x", "https://sunshine.org/a", "https://ok.com/a", "junk"]
     assert column(R.is_blocked, urls) == [True, True, False, False]
     urls = ["https://boards.greenhouse.io/a", "https://x.com/Careers/1", "https://x.com/job/1",
             "https://x.com/careers", "https://a.myworkdayjobs.com/x", None]
