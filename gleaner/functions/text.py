@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from gleaner import config as C
 
 # The whitespace characters, as a pattern set and as plain text
-SPACE_SET = (
-    r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+OTHER_SPACE_SET = (
+    r"\t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+SPACE_SET = " " + OTHER_SPACE_SET
 SPACE = f"[{SPACE_SET}]"
+# whitespace that is not already one plain space
+LOOSE_SPACE = f"[{OTHER_SPACE_SET}]{SPACE}*| {SPACE}+"
 SPACE_CHARS = "".join(map(chr, (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
@@ -36,20 +39,21 @@ def portable(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY).replace(r"\s", SPACE)
 
 
-def _edge(char: str, behind: bool) -> str:
-    word = re.match(r"\w", char, re.ASCII) is not None
-    if behind:
-        return r"(?<!\w)" if word else r"(?<=\w)"
-    return r"(?!\w)" if word else r"(?=\w)"
-
-
 def whole_word(term: str) -> str:
     """Pattern for a literal between ASCII word boundaries.
 
     Next to a term that ends in punctuation ("c++") a boundary asks for a word
-    character on the far side.
+    character on the far side.  The literal comes first in the pattern, so most
+    positions fail on one character.
     """
-    return _edge(term[0], True) + re.escape(term) + _edge(term[-1], False)
+    literal = re.escape(term)
+
+    def is_word(char: str) -> bool:
+        return re.match(r"\w", char, re.ASCII) is not None
+
+    before = rf"(?<!\w{literal})" if is_word(term[0]) else rf"(?<=\w{literal})"
+    after = r"(?!\w)" if is_word(term[-1]) else r"(?=\w)"
+    return literal + before + after
 
 
 def text(col: Column) -> Column:
@@ -75,7 +79,7 @@ def first_non_blank(*cols: Column) -> Column:
 
 def collapsed(col: Column) -> Column:
     """Whitespace runs become one space; ends are trimmed."""
-    return F.btrim(F.regexp_replace(text(col), SPACE + "+", " "))
+    return F.btrim(F.regexp_replace(text(col), LOOSE_SPACE, " "))
 
 
 def cleaned(col: Column, max_chars: int = C.DESCRIPTION_CHARS) -> Column:
@@ -169,12 +173,15 @@ def emails(col: Column) -> Column:
 def phones(col: Column) -> Column:
     """Indian mobile numbers, normalised; ten bare digits get the country code."""
     raw = F.regexp_extract_all(text(col), F.lit(PHONE_PATTERN), F.lit(0))
+    none = F.array().cast("array<string>")
 
     def normal(match: Column) -> Column:
         digits = F.regexp_replace(match, r"[^\d+]", "")
         return F.when(F.length(digits) == 10, F.concat(F.lit("+91"), digits)).otherwise(digits)
 
-    return F.array_distinct(F.transform(raw, normal))
+    # every match holds five digits in a row, which is quick to look for
+    return F.when(text(col).rlike(r"[6-9]\d{4}"),
+                  F.array_distinct(F.transform(raw, normal))).otherwise(none)
 
 
 def listed(array: Column, sep: str = "; ") -> Column:
