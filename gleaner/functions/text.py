@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from gleaner import config as C
 
 # The whitespace characters, as a pattern set and as plain text
-OTHER_SPACE_SET = (
-    r"\t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE_SET = (
+    r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
-SPACE_SET = " " + OTHER_SPACE_SET
 SPACE = f"[{SPACE_SET}]"
-# whitespace that is not already one plain space
-LOOSE_SPACE = f"[{OTHER_SPACE_SET}]{SPACE}*| {SPACE}+"
+# whitespace that is not already one plain space; the plain ranges settle most characters
+LOOSE_SPACE = rf"[\x09-\x0D\x{{A0}}\x{{1680}}-\x{{FEFF}}&&{SPACE}]{SPACE}*| (?![!-~]){SPACE}+"
 SPACE_CHARS = "".join(map(chr, (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
@@ -137,6 +136,16 @@ def first_match(cols: Sequence[Column], phrases: Sequence[str]) -> Column:
     return F.coalesce(*tests, F.lit(""))
 
 
+def _true_terms(terms: Sequence[str], tests: Sequence[Column]) -> Column:
+    """The terms whose test holds.
+
+    Built without a lambda: the tests then stay in generated code, where the
+    lower-cased text they share is worked out once.
+    """
+    found = [F.when(test, F.lit(term)).otherwise("") for term, test in zip(terms, tests)]
+    return F.array_remove(F.array(*found), "")
+
+
 def vocabulary_hits(col: Column, terms: Sequence[str]) -> Column:
     """Array of the terms found as whole words, in vocabulary order.
 
@@ -144,14 +153,13 @@ def vocabulary_hits(col: Column, terms: Sequence[str]) -> Column:
     regex only runs where the term occurs at all.
     """
     low = lowered(col)
-    found = [F.when(low.contains(t) & low.rlike(whole_word(t)), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*found))
+    return _true_terms(terms, [low.contains(t) & low.rlike(whole_word(t)) for t in terms])
 
 
 def substring_hits(col: Column, terms: Sequence[str]) -> Column:
     """Array of the terms found anywhere in the text, in vocabulary order."""
     low = lowered(col)
-    return F.array_compact(F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms]))
+    return _true_terms(terms, [low.contains(t.lower()) for t in terms])
 
 
 def occurrences(col: Column, word: str) -> Column:

@@ -119,8 +119,8 @@ def html_text(col: Column) -> Column:
     return X.trimmed(whole(X.text(col)))
 
 
-def jsonld_posting(html: Column, kind: str = "JobPosting") -> Column:
-    """Struct read from the first JSON-LD block of the wanted type, else null.
+def first_jsonld(html: Column, kind: str = "JobPosting") -> Column:
+    """The first JSON-LD block of the wanted type as a variant, else null.
 
     Blocks that do not parse are skipped; of an array only the first element
     counts.  Everything stays in the row, so no shuffle is needed.
@@ -137,36 +137,37 @@ def jsonld_posting(html: Column, kind: str = "JobPosting") -> Column:
         return F.coalesce(one == kind, F.lit(False)) | F.coalesce(
             F.array_contains(many, kind), F.lit(False))
 
-    posting = F.try_element_at(F.filter(F.transform(blocks, head), wanted), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(blocks, head), wanted), F.lit(1))
 
-    def field(path: str, value: Column = posting) -> Column:
-        return X.non_blank(F.try_variant_get(value, path, "string"))
 
-    places = F.try_variant_get(posting, "$.jobLocation", "array<variant>")
-    listed = F.array_join(F.filter(
-        F.transform(places, lambda p: F.try_variant_get(
-            p, "$.address.addressLocality", "string")),
-        lambda name: X.text(name) != ""), ", ")
-    return F.when(posting.isNotNull(), F.struct(
-        field("$.hiringOrganization.name").alias("company"),
-        field("$.title").alias("title"),
-        field("$.datePosted").alias("posted_at"),
-        F.coalesce(listed, field("$.jobLocation.address.addressLocality")).alias("location"),
-        field("$.description").alias("description"),
-    ))
+def posting_fields(posting: Column) -> dict[str, Column]:
+    """Columns read from a posting block; absent and empty values are null."""
+    def field(path: str) -> Column:
+        return X.non_blank(F.try_variant_get(posting, path, "string"))
+
+    places = F.transform(
+        F.try_variant_get(posting, "$.jobLocation", "array<variant>"),
+        lambda place: F.try_variant_get(place, "$.address.addressLocality", "string"))
+    named = F.array_join(F.filter(places, lambda name: X.text(name) != ""), ", ")
+    return {
+        "company": field("$.hiringOrganization.name"),
+        "title": field("$.title"),
+        "posted_at": field("$.datePosted"),
+        "location": F.coalesce(named, field("$.jobLocation.address.addressLocality")),
+        "description": field("$.description"),
+    }
 
 
 def extract_jsonld(pages: DataFrame, key: str = "url", html: str = "html",
                    kind: str = "JobPosting") -> DataFrame:
     """One row per page that carries a posting block; description as plain text."""
     found = (
-        pages.select(key, jsonld_posting(F.col(html), kind).alias("posting"))
+        pages.filter(X.contains_any(F.col(html), ("ld+json",)))
+        .select(key, first_jsonld(F.col(html), kind).alias("posting"))
         .filter(F.col("posting").isNotNull())
-        .select(key, "posting.*")
+        .select(key, *[c.alias(n) for n, c in posting_fields(F.col("posting")).items()])
     )
-    has_markup = F.col("description").rlike("[<&]")
+    body = F.col("description")
     return found.withColumn(
-        "description",
-        F.when(F.col("description").isNull(), None)
-        .when(has_markup, html_text(F.col("description")))
-        .otherwise(X.trimmed(F.col("description"))))
+        "description", F.when(body.rlike("[<&]"), html_text(body)).otherwise(
+            F.btrim(body, F.lit(X.SPACE_CHARS))))
