@@ -67,14 +67,14 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         .join(supplier, c("s_suppkey") == c("supp_slot"))
         .select("c_custkey", "n_name", "s_name")
     )
-    rows = (
-        widen(read("orders"), "o_orderkey")
-        .withColumns({"part_slot": _slot("o_orderkey", part),
-                      "doc_slot": _slot("o_orderkey", documents)})
+    orders = read("orders")
+    narrow = (
+        orders.withColumns({"part_slot": _slot("o_orderkey", part),
+                            "doc_slot": _slot("o_orderkey", documents)})
         .join(customers, c("c_custkey") == c("o_custkey"))
         .join(part, c("p_partkey") == c("part_slot"))
-        .join(documents, c("doc_id") == c("doc_slot"))
     )
+    rows = widen(narrow, "o_orderkey", scan=orders).join(documents, c("doc_id") == c("doc_slot"))
     board_url = F.concat(
         F.lit("https://jobs.example.com/view/"), F.replace("p_name", F.lit(" "), F.lit("-")),
         F.lit("-"), (c("o_custkey") + 100000).cast("string"),

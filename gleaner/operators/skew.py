@@ -12,14 +12,16 @@ SALTS = 64
 GROUP_LIMIT = 1000  # Spark trims groups before the shuffle up to this many rows
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than that.
+def widen(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
+    """Spread rows over all cores when their scan has fewer splits than that.
 
     For small files ahead of heavy text work; a large scan has more splits than
-    cores and passes through without a shuffle.
+    cores and passes through without a shuffle.  ``scan`` names the table whose
+    splits decide when ``df`` already holds joins.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
