@@ -12,7 +12,8 @@ from gleaner.catalog.views import cards, details, postings
 from gleaner.catalog.webpages import HITS_SQL, LANDED_SQL, RULES_SQL, WEB_ROWS_SQL, found, hits
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
-from gleaner.operators.dedupe import greedy_dedupe
+from gleaner.operators.dedupe import greedy_dedupe, greedy_keep, posting_keys
+from gleaner.operators.ledger import merge_counts
 from gleaner.operators.shape import SEQ_BITS
 from gleaner.plans.feeds import board_feed, combined_feed, merged_feed, web_feed
 from gleaner.session import materialize
@@ -75,14 +76,18 @@ _BLANKS = ("matched_role", "is_remote", "ago_time", "salary", "contact_emails",
            "skills")
 
 
-@query("merged_feed", f"""
-WITH RECURSIVE {POSTINGS_SQL},
+_MERGE_SQL = f"""
+{POSTINGS_SQL},
 feed AS MATERIALIZED (
   SELECT CASE WHEN job_url LIKE 'https://ats.%' THEN seq ELSE seq + {_RANK_1} END AS seq,
     CASE WHEN job_url LIKE 'https://ats.%' THEN 0 ELSE 1 END AS source_rank,
     coalesce({Q.sql_job_id('job_url')}, '') AS li_job_id, company, title, location,
     CAST(date_posted AS VARCHAR) AS date_posted, job_url, description FROM postings),
-{Q.sql_walk('feed')}
+{Q.sql_walk('feed')}"""
+
+
+@query("merged_feed", f"""
+WITH RECURSIVE {_MERGE_SQL}
 SELECT * EXCLUDE (description), md5({Q.sql_trim('description')}) AS description,
   {", ".join(f"'' AS {b}" for b in _BLANKS)}
 FROM feed WHERE seq IN (SELECT seq FROM kept)""")
@@ -91,6 +96,15 @@ def merged(spark, folder):
     return rows.withColumn("description", F.md5("description"))
 
 
+@query("merge_funnel", f"""
+WITH RECURSIVE {_MERGE_SQL}
+SELECT count(*) FILTER (source_rank = 0) AS web, count(*) FILTER (source_rank = 1) AS board,
+  count(*) AS combined, (SELECT count(*) FROM kept) AS kept FROM feed""")
+def merge_funnel(spark, folder):
+    combined = combined_feed(*_split_feeds(spark, folder))
+    return merge_counts(combined, greedy_keep(combined, posting_keys()), {"web": 0, "board": 1})
+
+
 @query("full_feed", f"""
 WITH RECURSIVE {_BOARD_SQL}, {_WEB_SQL},
 both_feeds AS MATERIALIZED (

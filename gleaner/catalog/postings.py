@@ -139,15 +139,15 @@ _OPTIONS = """
     CASE WHEN salary < 100000 THEN '60000' WHEN salary < 200000 THEN '100000' ELSE '99' END AS salary,
     CASE WHEN verified THEN 'recent' ELSE 'Recent' END AS sort_by,
     verified AS has_verification, applicants < 10 AS under_10_applicants,
-    concat('  ', title, ' ') AS keyword,
+    concat('  ', title, ' ') AS keyword, location,
     CASE WHEN seq % 3 = 0 THEN 'x' ELSE CAST(seq % 7 AS VARCHAR(9)) END AS page,
     CASE WHEN seq % 5 = 0 THEN '' ELSE CAST(seq % 11 AS VARCHAR(9)) END AS "limit"
   FROM postings"""
 
 
 @query("criteria_codes", f"""
-WITH {POSTINGS_SQL}, options AS ({_OPTIONS})
-SELECT seq,
+WITH {POSTINGS_SQL}, options AS ({_OPTIONS}),
+coded AS (SELECT seq,
   CASE lower(date_since_posted) WHEN 'past month' THEN 'r2592000' WHEN 'past week' THEN 'r604800'
     WHEN '24hr' THEN 'r86400' ELSE '' END AS date_code,
   CASE lower(experience_level) WHEN 'internship' THEN '1' WHEN 'entry level' THEN '2'
@@ -163,15 +163,19 @@ SELECT seq,
   CASE WHEN has_verification THEN 'true' ELSE 'false' END AS verified_code,
   CASE WHEN under_10_applicants THEN 'true' ELSE 'false' END AS few_applicants_code,
   regexp_replace(trim(keyword), ' +', '+', 'g') AS keyword_code,
+  regexp_replace(trim(location), ' +', '+', 'g') AS location_code,
   coalesce(TRY_CAST(page AS INTEGER), 0) * 25 AS start,
   coalesce(TRY_CAST("limit" AS INTEGER), 0) AS row_limit
-FROM options""")
+FROM options)
+SELECT *, concat_ws('|', keyword_code, location_code, date_code, salary_code, experience_code,
+  remote_code, job_type_code, verified_code, few_applicants_code, start, sort_code, row_limit)
+  AS snapshot_key FROM coded""")
 def criteria_codes(spark, folder):
     options = spark.sql(_OPTIONS.replace('"limit"', "`limit`").replace(
         "FROM postings", "FROM {postings}"), postings=postings(spark, folder))
     coded = S.encode_criteria(options)
     return coded.select("seq", *[c for c in coded.columns if c.endswith("_code")],
-                        "start", "row_limit")
+                        "start", "row_limit", S.snapshot_key().alias("snapshot_key"))
 
 
 def _as_of(spark, folder):

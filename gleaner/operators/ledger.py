@@ -39,6 +39,16 @@ def funnel(df: DataFrame, key: Column, stages: Mapping[str, Column],
     )
 
 
+def merge_counts(combined: DataFrame, kept: DataFrame, sources: Mapping[str, int]) -> DataFrame:
+    """Rows per source, rows together, and rows left after the merge's dedupe."""
+    rank = F.col("source_rank")
+    before = combined.agg(
+        *[F.count_if(rank == r).alias(name) for name, r in sources.items()],
+        F.count(F.lit(1)).alias("combined"))
+    after = kept.agg(F.count(F.lit(1)).alias("kept"))
+    return before.withColumn("kept", after.scalar())
+
+
 def day_budget(units: DataFrame, ts: str, cap: int) -> DataFrame:
     """Units used and left per UTC day."""
     return (

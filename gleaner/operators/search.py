@@ -34,11 +34,23 @@ def encode_criteria(options: DataFrame) -> DataFrame:
         "verified_code": F.when(c("has_verification"), "true").otherwise("false"),
         "few_applicants_code": F.when(c("under_10_applicants"), "true").otherwise("false"),
         "keyword_code": X.plus_joined(c("keyword")),
+        "location_code": X.plus_joined(c("location")),
         "start": X.as_count(c("page")) * C.BOARD_PAGE_ROWS,
         "row_limit": X.as_count(c("limit")),
     })
 
 
+SNAPSHOT_PARTS = (
+    "keyword_code", "location_code", "date_code", "salary_code", "experience_code", "remote_code",
+    "job_type_code", "verified_code", "few_applicants_code", "start", "sort_code", "row_limit",
+)
+
+
+def snapshot_key(parts: Sequence[str] = SNAPSHOT_PARTS) -> Column:
+    """Name under which a result is kept: all codes, the offset and the limit."""
+    return F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
+
+
 def matching(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFrame:
     """Rows that satisfy every option that is set."""
     c, out = F.col, postings

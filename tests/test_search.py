@@ -29,7 +29,8 @@ def test_encode_criteria(spark):
          ("", "x", "Full-Time", "On-Site", " 40000", "Recent", "", "", "z", True, True)],
         "date_since_posted string, experience_level string, job_type string, remote_filter string,"
         "salary string, sort_by string, keyword string, page string, limit string,"
-        "has_verification boolean, under_10_applicants boolean")
+        "has_verification boolean, under_10_applicants boolean").withColumn(
+        "location", F.lit(" New  Delhi "))
     a, b = S.encode_criteria(options).collect()
     assert (a["date_code"], a["salary_code"], a["experience_code"], a["remote_code"],
             a["job_type_code"], a["sort_code"], a["verified_code"], a["start"],
@@ -37,6 +38,8 @@ def test_encode_criteria(spark):
     assert (b["date_code"], b["salary_code"], b["experience_code"], b["remote_code"],
             b["job_type_code"], b["sort_code"], b["few_applicants_code"], b["row_limit"]) == (
         "", "", "", "1", "F", "", "true", 0)
+    key = S.encode_criteria(options).select(S.snapshot_key()).first()[0]
+    assert key == "a+b|New+Delhi|r604800|4|2|2|F|false|false|25|DD|1"
 
 
 @pytest.fixture
