@@ -36,7 +36,7 @@ def run_board(spark: SparkSession, pages: DataFrame, detail_pages: DataFrame, ou
 
     The seen keys grow even when there is nothing new to write.
     """
-    details = uniq_by(extract_detail(detail_pages, "job_id"), F.col("job_id"), "job_id")
+    details = uniq_by(extract_detail(detail_pages, "job_id"), F.col("job_id"), "description")
     table = f"{out}/board_table"
     board_feed(numbered(extract_cards(pages)), details, config).write.mode("overwrite").parquet(table)
     rows = spark.read.parquet(table)

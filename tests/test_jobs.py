@@ -217,6 +217,28 @@ def test_batch_can_run_again(spark, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == [1, 6]
 
 
+def test_stream_goes_on_after_a_failure(spark, folder, tmp_path):
+    """What was accepted before the failure stays, and the failed batch is taken up again."""
+    feed = event_files(spark, folder, str(tmp_path / "in"), 4)
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    accept = accept_batch("props", "event_id", out)
+
+    def failing(batch, batch_id):
+        accept(batch, batch_id)
+        if batch_id == 1:
+            raise RuntimeError("lost after the write")
+
+    broken = (feed.writeStream.foreachBatch(failing).option("checkpointLocation", log)
+              .trigger(availableNow=True).start())
+    with pytest.raises(Exception, match="lost after the write"):
+        broken.awaitTermination()
+    assert spark.read.parquet(out).count() > 0
+    stream_only_new(feed, "props", "event_id", out, log).awaitTermination()
+    accepted = spark.read.parquet(out)
+    keys = spark.read.parquet(f"{folder}/events.parquet").select("props").distinct()
+    assert accepted.count() == keys.count() == accepted.select("props").distinct().count()
+
+
 def test_daily_stream_equals_batch(spark, folder, tmp_path):
     feed = event_files(spark, folder, str(tmp_path / "in"), 3)
     out = str(tmp_path / "out")
