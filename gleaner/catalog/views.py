@@ -24,12 +24,17 @@ postings AS MATERIALIZED (
     substr(o.o_orderpriority, 1, 1) AS experience,
     CASE o.o_orderkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '1' END AS remote_code,
     o.o_orderkey % 2 = 0 AS verified, o.o_custkey % 30 AS applicants, concat(d.text, '') AS description
-  FROM orders o
+  FROM (SELECT * REPLACE (concat(o_orderstatus, '') AS o_orderstatus,
+                          concat(o_orderpriority, '') AS o_orderpriority) FROM orders) o
   JOIN customer c ON c.c_custkey = o.o_custkey
-  JOIN nation n ON n.n_nationkey = c.c_nationkey
-  JOIN part p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part)
-  JOIN supplier s ON s.s_suppkey = o.o_custkey % (SELECT count(*) FROM supplier)
-  JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
+  JOIN (SELECT n_nationkey, concat(n_name, '') AS n_name FROM nation) n
+    ON n.n_nationkey = c.c_nationkey
+  JOIN (SELECT p_partkey, concat(p_name, '') AS p_name FROM part) p
+    ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part)
+  JOIN (SELECT s_suppkey, concat(s_name, '') AS s_name FROM supplier) s
+    ON s.s_suppkey = o.o_custkey % (SELECT count(*) FROM supplier)
+  JOIN (SELECT doc_id, concat(text, '') AS text FROM documents) d
+    ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
 )"""
 
 DETAILS_SQL = """
