@@ -58,9 +58,10 @@ def career_url(spark, folder):
 # ---- extraction ----------------------------------------------------------------
 
 def _decoded(expr: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
-                       ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&")):
-        expr = f"replace({expr}, '{name}', '{char}')"
+    """Named references decoded; the closing semicolon may be missing."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"),
+                       ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{name};?', '{char}', 'g')"
     return expr
 
 
