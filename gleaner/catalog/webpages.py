@@ -66,8 +66,10 @@ def _decoded(expr: str) -> str:
 
 
 def _stripped(expr: str) -> str:
-    return _decoded(
-        f"regexp_replace(regexp_replace({expr}, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')")
+    """Text without markup; tags leave a mark until references are decoded."""
+    marked = (f"regexp_replace(regexp_replace({expr}, '<!--.*?-->', chr(1), 'gs'), "
+              "'<[^>]*>', chr(1), 'g')")
+    return f"replace({_decoded(marked)}, chr(1), '')"
 
 
 @query("html_text", f"""
