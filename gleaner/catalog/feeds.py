@@ -114,7 +114,7 @@ both_feeds AS MATERIALIZED (
 {Q.sql_walk('both_feeds')}
 SELECT seq, {Q.sql_trim('li_job_id')} AS li_job_id, {Q.sql_trim('company')} AS company,
   {Q.sql_trim('title')} AS title, matched_role, {Q.sql_trim('job_url')} AS job_url,
-  length({Q.sql_trim('description')}) AS description_chars
+  CAST(length({Q.sql_trim('description')}) AS INTEGER) AS description_chars
 FROM both_feeds WHERE seq IN (SELECT seq FROM kept)""")
 def full(spark, folder):
     """Board and web feeds of the given tables, merged."""

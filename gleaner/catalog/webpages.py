@@ -98,7 +98,7 @@ _LINK = '<li><a href="([^"]*)">([^<]*)</a></li>'
 WITH links AS (
   SELECT page_id, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS href,
     unnest(regexp_extract_all(html, '{_LINK}', 2)) AS label,
-    generate_subscripts(regexp_extract_all(html, '{_LINK}', 1), 1) - 1 AS item_pos
+    CAST(generate_subscripts(regexp_extract_all(html, '{_LINK}', 1), 1) - 1 AS INTEGER) AS item_pos
   FROM pages)
 SELECT page_id, item_pos, {Q.sql_trim(_decoded('label'))} AS position,
   {_decoded('href')} AS company, 'Not specified' AS salary, {_decoded('href')} AS "jobUrl",
