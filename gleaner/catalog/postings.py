@@ -262,6 +262,13 @@ def criteria_grid(spark, folder):
     return S.criteria_grid(titles, "p_name", Q.CONFIG.experiences)
 
 
+@query("page_grid", """
+SELECT p_name AS role, start FROM (SELECT DISTINCT p_name FROM part), (VALUES (1), (11)) v(start)""")
+def page_grid(spark, folder):
+    roles = table(spark, folder, "part").select("p_name").distinct()
+    return S.page_grid(roles, "p_name", Q.CONFIG.pages_per_role)
+
+
 _PHRASE_ROWS = ", ".join(f"({Q.quoted(p)})" for p in Q.ROLE_PHRASES)
 _TAGGED_SQL = f"""
 WITH {POSTINGS_SQL}, titles(title) AS (VALUES {_PHRASE_ROWS}), {_GRID_SQL},

@@ -29,6 +29,7 @@ SPACE_CHARS = "".join(map(chr, (
 
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
+# The address and number patterns
 EMAIL_PATTERN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE_PATTERN = rf"(?:\+91[{SPACE_SET}-]?)?[6-9]\d{{4}}[-{SPACE_SET}]?\d{{5}}(?!\w)"
 

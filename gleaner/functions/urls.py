@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 
+# Where a posting number stands in a URL
 VIEW_ID_PATTERN = r"/view/[^/]*-(\d{6,})"
 CURRENT_ID_PATTERN = r"currentJobId=(\d{6,})"
 
 # scheme, user info, host, port, path; query and fragment fall off the end
 WEB_URL_PATTERN = (
-    r"^(?i:(https?))://([^/?#\\]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\@:\[\]<>^|% \t\r\n]+)"
+    r"^(?i:(https?|ftp|wss?))://([^/?#\\]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#\\@:\[\]<>^|% \t\r\n]+)"
     r"(?::(\d*))?(/[^?#]*)?(?:[?#].*)?$"
 )
-OTHER_URL_PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*:)(?!//)([^?#]*)(?:[?#].*)?$"
+OTHER_URL_PATTERN = r"^(?!(?i:https?|ftp|wss?):)([A-Za-z][A-Za-z0-9+.-]*:)([^?#]*)(?:[?#].*)?$"
+DEFAULT_PORTS = ("http:80", "https:443", "ftp:21", "ws:80", "wss:443")
 DOTALL = "(?s)"
 
 
@@ -52,7 +54,7 @@ def canonical(url: Column) -> Column:
 
     scheme = F.lower(part(1))
     port = part(4)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    default = F.concat(scheme, F.lit(":"), port).isin(*DEFAULT_PORTS)
     web = F.concat(
         scheme, F.lit("://"), part(2), F.lower(part(3)),
         F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
@@ -63,8 +65,7 @@ def canonical(url: Column) -> Column:
         F.lower(F.regexp_extract(u, other_pattern, 1)),
         F.regexp_replace(F.regexp_extract(u, other_pattern, 2), "/$", ""),
     )
-    is_other = u.rlike(other_pattern) & ~u.rlike("^(?i:https?):")
-    return F.when(u.rlike(pattern), web).when(is_other, other).otherwise(u)
+    return F.when(u.rlike(pattern), web).when(u.rlike(other_pattern), other).otherwise(u)
 
 
 def without_www(name: Column) -> Column:

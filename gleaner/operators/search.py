@@ -122,6 +122,13 @@ def criteria_grid(titles: DataFrame, title: str, experiences: Sequence[str]) ->
     )
 
 
+def page_grid(roles: DataFrame, role: str, pages: int = 2,
+              page_rows: int = C.WEB_PAGE_ROWS) -> DataFrame:
+    """Every role with the first row number of each of its result pages."""
+    starts = F.array(*[F.lit(1 + i * page_rows) for i in range(pages)])
+    return roles.select(F.col(role).alias("role"), F.explode(starts).alias("start"))
+
+
 def tag_by_criteria(postings: DataFrame, config: Config = Config()) -> DataFrame:
     """(seq, title, experience, remote_only) of every grid cell a posting satisfies.
 

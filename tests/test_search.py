@@ -89,6 +89,12 @@ def test_default_grid_size(spark):
     assert S.criteria_grid(titles, "t", config.experiences).distinct().count() == 152
 
 
+def test_default_page_grid(spark):
+    roles = spark.createDataFrame([(r,) for r in Config().roles], "r string")
+    got = [(r["role"], r["start"]) for r in S.page_grid(roles, "r").collect()]
+    assert len(got) == 22 and {s for _, s in got} == {1, 11}
+
+
 def test_only_new_and_seen(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None)], "seq long, id string")
     seen = spark.createDataFrame([("a",), ("z",)], "key string")

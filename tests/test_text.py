@@ -104,6 +104,9 @@ def test_canonical(column):
         "not a url?x#y": "not a url?x#y",
         "mailto:A@b.c?subject=x": "mailto:A@b.c",
         "https://": "https://",
+        "FTP://Files.x:21/a/?q": "ftp://files.x/a",
+        "wss://h:443/s": "wss://h/s",
+        "App://Open/Here/?q=1": "app://Open/Here",
         "": "",
     }
     assert column(U.canonical, cases) == list(cases.values())
@@ -113,6 +116,7 @@ def test_host(column):
     cases = {
         "https://WWW.Example.com:8080/x": "www.example.com", "https://a_b.c/x y|z": "a_b.c",
         "ex.com/x": "", "": "", "https://u:p@h.io?x": "h.io", "http://h#f": "h",
+        "ftp://F.x/a": "f.x",
     }
     assert column(U.host, cases) == list(cases.values())
 
