@@ -179,7 +179,7 @@ def criteria_codes(spark, folder):
 
 
 def _as_of(spark, folder):
-    return table(spark, folder, "orders").select(F.max("o_orderdate").cast("timestamp")).scalar()
+    return table(spark, folder, "orders").select(F.max("o_orderdate")).scalar()
 
 
 _WANTED = Criteria(keyword="ring", location="Nation_1", date_since_posted="Past Month",

@@ -60,8 +60,9 @@ def matching(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFram
     if criteria.location:
         out = out.filter(X.contains_any(c("location"), (criteria.location.strip(),)))
     if criteria.window_seconds is not None:
-        oldest = as_of.cast("timestamp") - F.make_dt_interval(secs=F.lit(criteria.window_seconds))
-        out = out.filter(c("date_posted").cast("timestamp") >= oldest)
+        oldest = as_of.cast("timestamp_ntz") - F.make_dt_interval(
+            secs=F.lit(criteria.window_seconds))
+        out = out.filter(c("date_posted").cast("timestamp_ntz") >= oldest)
     if criteria.job_type_code:
         out = out.filter(c("job_type") == criteria.job_type_code)
     if criteria.remote_code:

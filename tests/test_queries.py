@@ -1,5 +1,6 @@
 """Every registered query against its SQL counterpart."""
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -34,3 +35,11 @@ def test_entry_points(spark):
 
     rows = entry_file.entry(spark).collect()
     assert rows and set(entry_file.oracle_sql()) <= set(entry_file.queries())
+
+
+def test_tasks_need_no_copy_of_the_package(folder, tmp_path):
+    """Python workers started elsewhere cannot import the package and must not have to."""
+    tool = Path(__file__).resolve().parents[1] / "tools" / "compare.py"
+    done = subprocess.run([sys.executable, str(tool), folder, "card_extract", "jsonld_extract"],
+                          cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stdout[-2000:]
