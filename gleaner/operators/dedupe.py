@@ -81,7 +81,6 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
       on nothing later, so this is exact, and the task's size is fixed.  The
       same scan ends the work once no more than ``rest_rows`` keys are left.
     """
-    spark = df.sparkSession
     names = list(keys)
     keyed = df.select(F.col(seq).cast("long").alias("seq"),
                       *[keys[n].alias(n) for n in names])
@@ -108,7 +107,7 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
         cold = rows.join(small, "key", "left_anti").join(taken, "key", "left_semi")
         return warm.select("seq").union(cold.select("seq"))
 
-    kept = spark.createDataFrame([], "seq long")
+    kept = left.select("seq").limit(0)
     while remaining:
         if stalled or (rounds and remaining <= rest_rows):
             run = left
