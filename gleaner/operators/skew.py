@@ -9,19 +9,21 @@ from pyspark.sql.window import Window
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 SALTS = 64
+WIDEN = 8
 GROUP_LIMIT = 1000  # Spark trims groups before the shuffle up to this many rows
 
 
 def widen(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
-    """Spread rows over all cores when their scan has fewer splits than that.
+    """Spread rows over more cores when their scan has few splits.
 
-    For small files ahead of heavy text work; a large scan has more splits than
-    cores and passes through without a shuffle.  ``scan`` names the table whose
-    splits decide when ``df`` already holds joins.
+    For small files ahead of heavy text work: every split is cut in up to WIDEN
+    parts, as far as there are cores.  A large scan has more splits than cores
+    and passes through without a shuffle.  ``scan`` names the table whose splits
+    decide when ``df`` already holds joins.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     splits = (df if scan is None else scan).rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, key)
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, WIDEN * splits)
+    return df if splits >= parts else df.repartition(parts, key)
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
