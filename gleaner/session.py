@@ -66,3 +66,26 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Written intermediate tables of one job, deleted together when the job's result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+        self.count = 0
+
+    def __enter__(self) -> "Steps":
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write rows under the job's folder and read them back."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
