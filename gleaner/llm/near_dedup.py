@@ -82,7 +82,7 @@ def _fingerprint(elements: np.ndarray) -> bytes:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in grams.slices(batch.column(1), fold=True):
+            for row, part in grams.slices(batch.column(2), fold=True):
                 counts, prints, keys = [], [], []
                 for i in range(len(part)):
                     elements = shingle_set(part.words(i), size)
@@ -90,9 +90,9 @@ def _sign(size: int):
                     prints.append(_fingerprint(elements))
                     keys.append(bands(signature(elements)).view(np.int64) if len(elements) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(part)), pa.array(counts, pa.int64()),
+                    [*batch.slice(row, len(part)).columns[:2], pa.array(counts, pa.int64()),
                      pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "print", "bands"])
+                    names=["doc_id", "text_hash", "n_shingles", "print", "bands"])
     return run
 
 
@@ -232,7 +232,7 @@ def _large_families(members: DataFrame, percent: int, steps: Steps) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z folded.  Documents link
     when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is
@@ -240,26 +240,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     wordless text has no shingles and links with nothing.  Rows that repeat a doc_id are
     separate documents.  A null doc_id is passed over when the smallest is taken; a
     component without any id has a null component_id, and its rows count as kept.
+    text_hash is the row's xxhash64 of the text, and chosen marks one text of each
+    component (all rows of it, if it is repeated with its id).
     Needs the columns doc_id and text; others are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     with Steps(spark, "near") as steps:
         signed = steps.keep(docs.mapInArrow(
-            _sign(shingle_words), "doc_id long, n_shingles long, print binary, bands array<long>"))
+            _sign(shingle_words), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>"))
+        head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("head")
         classes = signed.filter("n_shingles > 0").groupBy("print").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+            head, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         classes = steps.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
         banded = classes.select("cid", F.explode("bands").alias("band"))
         hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).filter("c > 1")
         families = components(banded.join(hubs, "band").select(
             F.col("cid").alias("a"), F.col("hub").alias("b")), steps)
         members = steps.keep(classes.drop("bands").join(families, F.col("cid") == F.col("node")).select(
-            "cid", "print", "n", F.col("doc_id").alias("id"), F.col("root").alias("family")))
+            "cid", "print", "n", "head", F.col("root").alias("family")))
         sizes = members.groupBy("family").agg(F.greatest(
             F.ceil(F.count("*") / F.lit(GROUP_SETS)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES))).alias("blocks"))
         wanted = members.join(sizes, "family")
-        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select(
+        sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (
+            F.col("text_hash") == F.col("head.text_hash"))).select(
             "cid", "family", "blocks", "text", "print").mapInArrow(
             _sets(shingle_words), "cid long, family long, blocks long, elements array<long>")
         sets = steps.keep(sets)
@@ -268,11 +272,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         if not large.isEmpty():
             links = links.union(_large_families(large, percent, steps))
         roots = components(links, steps)
-        owned = classes.select("print", "cid", "doc_id").join(roots, F.col("cid") == F.col("node"), "left").withColumn(
+        owned = classes.select("print", "cid", "head").join(roots, F.col("cid") == F.col("node"), "left").withColumn(
             "root", F.coalesce("root", "cid"))
-        named = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        owned = owned.join(named, "root").select("print", "component_id")
+        named = owned.groupBy("root").agg(F.min("head").alias("least"))
+        owned = owned.join(named, "root").select("print", "least")
         out = signed.filter("n_shingles > 0").drop("bands").join(owned, "print").select(
-            "doc_id", "n_shingles", "component_id")
-        alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return materialize(out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+            "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "text_hash",
+            F.col("least.text_hash").alias("first_hash"))
+        alone = signed.filter("n_shingles = 0").select(
+            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.col("text_hash").alias("first_hash"))
+        kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+        return materialize(out.union(alone).select(
+            "doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash",
+            (kept & (F.col("text_hash") == F.col("first_hash"))).alias("chosen")))

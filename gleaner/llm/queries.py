@@ -56,4 +56,5 @@ FROM sets s LEFT JOIN members m ON m.doc_id = s.doc_id LEFT JOIN roots r ON r.no
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")

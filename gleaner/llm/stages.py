@@ -1,6 +1,44 @@
 """The stages of the corpus pipeline.
 
 Each takes (spark, docs, sf_dir) and, but for the last, returns the columns it was given.
+Rows are matched back by doc_id and text, so a repeated or null doc_id does no harm.
 """
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def matched(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the columns that found has for (doc_id, text_hash), as a struct named found."""
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"),
+                         F.struct(*found.columns).alias("found"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (
+        F.xxhash64("row.text") == F.col("found_hash")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-duplicates on five-word shingles at 0.8: the smallest doc_id of each group stays.
+
+    Rows that repeat its id and text count once; texts without words all stay.
+    """
+    from gleaner.llm.near_dedup import near_duplicates
+
+    chosen = near_duplicates(docs, shingle_words=5, percent=80).filter("chosen").select(
+        "doc_id", "text_hash", (F.col("n_shingles") == 0).alias("empty"))
+    order = Window.partitionBy("found_id", "found_hash").orderBy("found_id")
+    rows = matched(docs, chosen.distinct()).withColumn("nth", F.row_number().over(order))
+    return rows.filter("nth = 1 or found.empty").select("row.*")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+without_repeats = without_leaks = packed = keep_good
