@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,23 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@register(sql=rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS k, {WORDS} AS w FROM documents),
+starts AS (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35),
+windows AS (SELECT k, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS j FROM windows JOIN often USING (h)),
+lost AS (SELECT k, list(j) AS js FROM gone GROUP BY k),
+kept AS (SELECT doc_id, w, coalesce(len(js), 0) AS r, coalesce(js, []::BIGINT[]) AS js FROM docs LEFT JOIN lost USING (k)),
+marked AS (SELECT doc_id, w, r, map_from_entries(list_transform(js, lambda j: {{'k': j, 'v': true}})) AS m FROM kept)
+SELECT doc_id, len(w)::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(
+  list_filter(w, lambda x, i: m[i] IS NULL), ' ')) AS kept_sha256 FROM marked
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.substring import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
+    return rows.select("doc.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
