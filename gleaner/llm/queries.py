@@ -79,3 +79,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
     words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
     return rows.select("doc.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@register()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gleaner.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
