@@ -88,3 +88,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@register()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "votes", "posterior")
