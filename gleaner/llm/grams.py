@@ -62,13 +62,16 @@ class Runs:
 
 
 class Slice:
-    """The words of some whole texts: byte spans, hashes and where each text's words begin."""
+    """The words of some whole texts: byte spans, hashes and where each text's words begin.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    gaps, if given, tells by byte value what stands between words instead of white space.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, gaps: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         word = np.ones(len(data) + 2, bool)
         word[0] = word[-1] = False
-        word[1:-1] = (data != 32) & ((data - np.uint8(9)) > 4)
+        word[1:-1] = (data != 32) & ((data - np.uint8(9)) > 4) if gaps is None else ~gaps[data]
         inner = np.zeros(len(data) + 1, bool)  # a text starts here, so a word ends before it
         inner[offsets] = True
         self.starts = np.flatnonzero(word[1:] & (~word[:-1] | inner))
@@ -105,14 +108,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, fold: bool = False) -> Iterator[tuple[int, Slice]]:
+def slices(column: pa.Array, fold: bool = False, gaps: np.ndarray | None = None) -> Iterator[tuple[int, Slice]]:
     """Consecutive slices of whole texts, each with its first row."""
     data, offsets = text_buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
         part = offsets[row:end + 1]
-        yield row, Slice(data[part[0]:part[-1]], part - part[0], fold)
+        yield row, Slice(data[part[0]:part[-1]], part - part[0], fold, gaps)
         row = end
 
 

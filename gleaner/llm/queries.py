@@ -97,3 +97,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "votes", "posterior")
+
+
+@register()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3, 1, 0.7)
+
+
+@register()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0, 0.3)
