@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=U) * U(_ODD))
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
+FOLDED = _BYTES.copy()
+FOLDED[65:91] = _BYTES[97:123]
 _powers = {}
 
 
@@ -77,7 +77,7 @@ class Slice:
         self.starts = np.flatnonzero(word[1:] & (~word[:-1] | inner))
         self.ends = np.flatnonzero(word[:-1] & (~word[1:] | inner))
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = Runs((_FOLDED if fold else _BYTES)[data]).of(self.starts, self.ends)
+        self.hashes = Runs((FOLDED if fold else _BYTES)[data]).of(self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -1,7 +1,7 @@
 """Quality by supervised subword embeddings.
 
 A text is the average of learned vectors, one for each hashed word and character n-gram in
-it, and a softmax over two classes reads that average.  Vectors and output are trained
+it and for each word that follows itself, and a softmax over two classes reads that average.  Vectors and output are trained
 together by stochastic gradient descent in numpy.  With the output fixed, each bucket's
 vector comes down to one number, so that is what goes to the tasks.
 """
@@ -22,6 +22,7 @@ U = np.uint64
 BITS, SIZE = 17, 8
 GRAMS = (3, 4)  # character n-grams, in code points, a word's edges included
 EDGE = 32
+REPEATED = U(1 << 63)  # the word pair of any word that follows itself
 
 
 def features(text: bytes) -> np.ndarray:
@@ -31,7 +32,9 @@ def features(text: bytes) -> np.ndarray:
     codes[gap] = EDGE
     runs = grams.Runs(grams.mix(codes * U(0x9E3779B97F4A7C15)))
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    found = [np.zeros(1, U), runs.of(starts, ends)]
+    words = runs.of(starts, ends)
+    again = np.full(np.count_nonzero(words[1:] == words[:-1]), REPEATED)
+    found = [np.zeros(1, U), words, again]
     gaps = np.r_[0, np.cumsum(gap)]
     for n in GRAMS:
         # an edge may begin or end an n-gram, not stand within it

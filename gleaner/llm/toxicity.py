@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, pairs of neighbours and pairs with one or two words between
-them, hashed to a fixed number of buckets.  Per-coordinate rates and L1 leave few weights,
+Features are the distinct words, also by their first four and five bytes as a plain stem,
+pairs of neighbours, and pairs with one or two words between them, hashed to a fixed number
+of buckets.  Per-coordinate rates and L1 leave few weights,
 which go to the tasks as two short arrays.
 """
 
@@ -19,22 +20,30 @@ from gleaner.llm.labelled import in_fold, sample
 
 U = np.uint64
 BITS = 20
+STEMS = (4, 5)
+GAPS_BETWEEN = (1, 2, 3)
 _code = np.arange(256)
 # Words of this model: runs of ASCII letters and digits and of all other characters beyond ASCII.
 GAPS = ~(((_code >= 48) & (_code <= 57)) | ((_code >= 65) & (_code <= 90)) | ((_code >= 97) & (_code <= 122)) | (_code >= 128))
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """Distinct buckets of a text's words, pairs and skip-pairs; bucket 0 is the bias."""
-    parts = [words] + [grams.mix(words[:-gap] * U(3) + words[gap:] + U(gap)) for gap in (1, 2, 3)]
-    found = np.concatenate(parts) >> U(64 - BITS)
-    return np.unique(np.r_[U(0), found]).astype(np.int64)
+def features(part: grams.Slice) -> list[np.ndarray]:
+    """Each text's distinct buckets of words, stems, pairs and skip-pairs; bucket 0 is the bias."""
+    runs = grams.Runs(grams.FOLDED[part.data])
+    stems = [grams.mix(runs.of(part.starts, np.minimum(part.ends, part.starts + k)) + U(k)) for k in STEMS]
+    out = []
+    for i in range(len(part)):
+        words, mine = part.words(i), slice(part.first[i], part.first[i + 1])
+        pairs = [grams.mix(words[:-gap] * U(3) + words[gap:] + U(gap)) for gap in GAPS_BETWEEN]
+        found = np.concatenate([words, *(s[mine] for s in stems), *pairs]) >> U(64 - BITS)
+        out.append(np.unique(np.r_[U(0), found]).astype(np.int64))
+    return out
 
 
 class Ftrl:
     """FTRL-proximal: weights follow from z and n, and are zero while |z| stays within l1."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
 
@@ -51,10 +60,10 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(was + g * g) - np.sqrt(was)) / self.alpha * w
 
 
-def train(texts: pa.Table, epochs: int = 4, **rates: float) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: pa.Table, epochs: int = 10, **rates: float) -> tuple[np.ndarray, np.ndarray]:
     """Buckets with a weight, and the weights."""
     model = Ftrl(1 << BITS, **rates)
-    seen = [features(part.words(i)) for _, part in grams.slices(texts["text"], True, GAPS) for i in range(len(part))]
+    seen = [f for _, part in grams.slices(texts["text"], True, GAPS) for f in features(part)]
     labels = texts["y"].to_pylist()
     order = np.random.default_rng(11)
     for _ in range(epochs):
@@ -72,7 +81,7 @@ def _score(model) -> object:
         weights[at] = values
         for batch in batches:
             for row, part in grams.slices(batch.column(1), True, GAPS):
-                sums = np.array([weights[features(part.words(i))].sum(dtype=float) for i in range(len(part))])
+                sums = np.array([weights[f].sum(dtype=float) for f in features(part)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(part)), pa.array(1 / (1 + np.exp(-sums)))], names=["doc_id", "score"])
     return run
