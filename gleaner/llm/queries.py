@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import Steps, materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -76,9 +78,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_t
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.substring import remove_repeats
 
-    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
     words = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
-    return rows.select("doc.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+    with Steps(spark, "repeats") as steps:
+        rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), steps, length=35)
+        return materialize(rows.select("doc.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256")))
 
 
 @register()
@@ -111,3 +114,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.quality import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0, 0.3)
+
+
+@register()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.decontaminate import find_leaks
+
+    rows = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
