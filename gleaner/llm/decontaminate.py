@@ -149,7 +149,7 @@ def _scan(index: Broadcast, least: int, share: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = MIN_MATCH) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = MIN_MATCH) -> DataFrame:
     """One row per document: doc (a struct of the given columns) and leaks.
 
     leaks lists the items of which tiles of at least `least` tokens cover `share` or more:

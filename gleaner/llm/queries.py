@@ -122,3 +122,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc.doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@register()
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.sharding import shuffle_to_shards
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shuffle_to_shards(docs, 8).select("doc.*", F.lit("rows").alias("law"), "shard", "slot",
+                                             F.lit(None).cast("int").alias("grown_shard"))
