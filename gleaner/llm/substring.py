@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
-from gleaner.session import Steps, materialize
+from gleaner.session import Steps
 
 SEED = 8
 
@@ -69,7 +70,7 @@ def _windows(length: int):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             probes = batch.column(2).to_pylist()
-            for row, part in grams.slices(batch.column(1)):
+            for row, part in grams.slices(pc.struct_field(batch.column(1), "text")):
                 found = []
                 for i in range(len(part)):
                     prints = grams.Runs(part.words(i)).windows(length)
@@ -87,8 +88,8 @@ def _windows(length: int):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            repeats = batch.column(2).to_pylist()
-            for row, part in grams.slices(batch.column(1)):
+            repeats = batch.column(1).to_pylist()
+            for row, part in grams.slices(pc.struct_field(batch.column(0), "text")):
                 words, removed, texts = [], [], []
                 for i in range(len(part)):
                     starts, ends = part.spans(i)
@@ -111,7 +112,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, partitions: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame:
     """One row per document: doc (a struct of the given columns), n_words, n_removed, kept_text.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  Every word covered by a window
@@ -120,31 +121,31 @@ def remove_repeats(docs: DataFrame, length: int = 35, partitions: int | None = N
     text has no words and an empty kept_text.  Rows that repeat an id or a whole row are rows
     like others: both copies of a repeated text of `length` words or more lose all words.
     Needs the columns doc_id and text; other columns, of whatever name, stay in doc.
+
+    The rows are not written yet: they read the tables that `steps` keeps until it ends.
     """
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("doc"))
-    with Steps(spark, "repeats") as steps:
-        seeds = keyed.select("key", "doc.text").mapInArrow(
-            _seeds(length, SEED), "anchor long, context long, key long, first int, count int")
-        common = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-        met = steps.keep(seeds.join(common, "anchor"))
-        contexts = met.groupBy("anchor", "context").agg(
-            F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
-        contexts = steps.keep(contexts)
-        whole = met.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select(
-            "key", "first", "count")
-        mixed = contexts.groupBy("anchor").count().filter("count > 1").select("anchor")
-        probes = contexts.join(mixed, "anchor").groupBy("one.key").agg(F.collect_list(F.struct(
-            "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
-        dealt = keyed.repartition(partitions, "key")
-        windows = dealt.join(probes.withColumnRenamed("key", "probe_key"), F.col("key") == F.col("probe_key")).select(
-            "key", "doc.text", "probes").mapInArrow(
-            _windows(length), "window long, key long, first int, lone boolean")
-        shared = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-        edges = windows.filter("lone").join(shared, "window").select("key", "first", F.lit(1).alias("count"))
-        repeats = whole.union(edges).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("repeats"))
-        out = dealt.join(repeats.withColumnRenamed("key", "repeat_key"), F.col("key") == F.col("repeat_key"), "left")
-        schema = out.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
-                            F.lit("").alias("kept_text")).schema
-        return materialize(out.select("doc", "doc.text", "repeats").mapInArrow(_cut(length), schema))
+    seeds = keyed.select("key", "doc.text").mapInArrow(
+        _seeds(length, SEED), "anchor long, context long, key long, first int, count int")
+    common = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    met = steps.keep(seeds.join(common, "anchor"))
+    contexts = steps.keep(met.groupBy("anchor", "context").agg(
+        F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one")))
+    whole = met.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select(
+        "key", "first", "count")
+    mixed = contexts.groupBy("anchor").count().filter("count > 1").select("anchor")
+    probes = contexts.join(mixed, "anchor").groupBy(F.col("one.key").alias("probe_key")).agg(F.collect_list(F.struct(
+        "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
+    # Both uses of the texts take the same columns, so that Spark deals the texts out once.
+    dealt = keyed.repartition(partitions, "key")
+    windows = dealt.join(probes, F.col("key") == F.col("probe_key")).select("key", "doc", "probes").mapInArrow(
+        _windows(length), "window long, key long, first int, lone boolean")
+    shared = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    edges = windows.filter("lone").join(shared, "window").select("key", "first", F.lit(1).alias("count"))
+    repeats = whole.union(edges).groupBy(F.col("key").alias("repeat_key")).agg(
+        F.collect_list(F.struct("first", "count")).alias("repeats"))
+    out = dealt.join(repeats, F.col("key") == F.col("repeat_key"), "left").select("doc", "repeats")
+    schema = out.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
+                        F.lit("").alias("kept_text")).schema
+    return out.mapInArrow(_cut(length), schema)
