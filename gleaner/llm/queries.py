@@ -147,3 +147,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@register()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.html_crf import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
