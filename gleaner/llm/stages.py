@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.session import Steps, materialize
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,7 +40,42 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Texts whose quality score reaches 0.3; the score reads the text alone, so repeated rows fare alike."""
+    from gleaner.llm.quality import quality_scores
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
+    scored = quality_scores(rows, _table(spark, sf_dir, "labels"), "row", folds=5, held=0)
+    return scored.filter("score >= 0.3").select("key.*")
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur elsewhere are cut out; every document stays, if only as an empty text.
+
+    A text that loses nothing is left as it is; n_chars, where there is one, follows the text.
+    """
+    from gleaner.llm.substring import remove_repeats
+
+    with Steps(spark, "stage") as steps:
+        rows = remove_repeats(docs, steps, length=35)
+        text = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
+        chars = F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(
+            F.length("kept_text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
+        changed = {"text": text, "n_chars": chars}
+        return materialize(rows.select(*[
+            (changed[c] if c in changed and changed[c] is not None else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which tiles cover half of a benchmark item or more are dropped."""
+    from gleaner.llm.decontaminate import find_leaks
+
+    return find_leaks(docs, _table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select("doc.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of sequences of at most 2048 tokens, with their ids."""
+    import public_tokenizers
 
+    from gleaner.llm.packing import pack
 
-without_repeats = without_leaks = packed = keep_good
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
