@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -69,7 +70,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 class Steps:
-    """Written intermediate tables of one job, deleted together when the job's result is written."""
+    """Written intermediate tables of one job.
+
+    As a context they are deleted when it ends, so the job's result must be written by then.
+    A job that returns rows that still read them calls last_until_exit instead.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -80,9 +85,21 @@ class Steps:
         return self
 
     def __exit__(self, *exc: object) -> None:
+        self.delete()
+
+    def delete(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def last_until_exit(self) -> "Steps":
+        """Delete the tables when the session's program ends, if the session still runs then."""
+        atexit.register(self._delete_if_running)
+        return self
+
+    def _delete_if_running(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.delete()
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Write rows under the job's folder and read them back."""
         self.count += 1
