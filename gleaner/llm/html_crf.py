@@ -9,6 +9,7 @@ neighbours, is trained on labelled pages by stochastic gradient steps on the log
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,8 @@ def _bucket(feature: str) -> int:
 
 
 def path_features(path: tuple) -> list[str]:
-    out = ["all"]
+    tags = [tag for tag, _ in path[-2:]]
+    out = ["all", "<".join(["pair", *tags])]
     for depth, (tag, names) in enumerate(reversed(path)):
         out.append(f"in {tag}")
         out += [f"name {n}" for n in names]
@@ -54,9 +56,9 @@ def text_features(block: Block, place: float) -> list[str]:
     return out
 
 
-def beside(found: list[Block], i: int) -> list[str]:
+def beside(found: list[Block], i: int, alike: Counter) -> list[str]:
     path = found[i].path
-    return [f"before same {i > 0 and found[i - 1].path == path}", f"after same {i + 1 < len(found) and found[i + 1].path == path}"]
+    return [f"alike {min(alike[path], 3)}", f"before same {i > 0 and found[i - 1].path == path}", f"after same {i + 1 < len(found) and found[i + 1].path == path}"]
 
 
 class Field:
@@ -71,21 +73,21 @@ class Field:
     @staticmethod
     def features(found: list[Block], drop: np.random.Generator) -> list[np.ndarray]:
         """For training: now and then without a block's own text or its ancestors' names, so that neither is all that counts."""
-        out = []
+        out, alike = [], Counter(b.path for b in found)
         for i, b in enumerate(found):
             path = tuple((tag, () if drop.random() < 0.15 else names) for tag, names in b.path)
             names = path_features(path)
             if drop.random() < 0.8:
                 names += text_features(b, i / len(found))
-            names += beside(found, i)
+            names += beside(found, i, alike)
             out.append(np.unique([_bucket(n) for n in names]))
         return out
 
     def scores(self, found: list[Block]) -> np.ndarray:
         """Label scores of each block, as features() and the weights give them; paths are remembered."""
-        out = np.zeros((len(found), 2))
+        out, alike = np.zeros((len(found), 2)), Counter(b.path for b in found)
         for i, b in enumerate(found):
-            names = text_features(b, i / len(found)) + beside(found, i)
+            names = text_features(b, i / len(found)) + beside(found, i, alike)
             part = self.known.get(b.path)
             if part is None:
                 if len(self.known) > 50_000:

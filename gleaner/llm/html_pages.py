@@ -91,7 +91,7 @@ def blocks(html: str) -> list[Block]:
                 if stack[k][0] == name:
                     pop_to(k)
                     break
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
+                if name not in BLOCKS and name not in UNSEEN and stack[k][0] in BLOCKS:
                     break
             continue
         if name in RAW:
@@ -245,7 +245,7 @@ class Pages:
                 out.append(f"<div>{m}{self.prose(1, 4)}</div>")
             else:
                 out.append("<table>" + "".join(f"<tr><td>{m}{r.choice(self.words)}</td><td>{m}{self.sentence(1, 5)}</td></tr>" for _ in range(3)) + "</table>")
-            if r.random() < 0.06:
+            if r.random() < 0.12:
                 out.append(self.boilerplate(r.choice(["ad", "share", "side", "form"])))
         return "".join(out)
 
