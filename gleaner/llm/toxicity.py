@@ -43,7 +43,7 @@ def features(part: grams.Slice) -> list[np.ndarray]:
 class Ftrl:
     """FTRL-proximal: weights follow from z and n, and are zero while |z| stays within l1."""
 
-    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 16.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
 
