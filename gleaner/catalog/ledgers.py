@@ -102,11 +102,43 @@ def stream_new_keys(spark, folder):
 @query("stream_daily_keys", """
 SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events""")
 def stream_daily_keys(spark, folder):
-    """Each user once a day, with state that is dropped behind the watermark."""
+    """Each user once a day."""
     path = scratch_path(spark, "daily")
     _finished(stream_dedupe_daily(_stream(spark, folder), "user_id", "ts", "event_id", path,
                                   scratch_path(spark, "daily-log")))
-    return spark.read.parquet(path).select("day", "user_id")
+    return spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "user_id")
+
+
+def _arriving(spark, folder, order):
+    """The events as three files that come one batch at a time; ``order`` tells the file of a row."""
+    events = _events(spark, folder)
+    path = scratch_path(spark, "arriving")
+    for k in range(3):
+        events.filter(order == k).write.parquet(f"{path}/{k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+    return stream.option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_late_days", """
+SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events""")
+def stream_late_days(spark, folder):
+    """Each user once a day over several batches, of which the first days come last."""
+    path = scratch_path(spark, "late")
+    day = F.dayofmonth("ts")
+    late = _arriving(spark, folder, F.when(day > 20, 0).when(day > 10, 1).otherwise(2))
+    _finished(stream_dedupe_daily(late, "user_id", "ts", "event_id", path, scratch_path(spark, "late-log")))
+    return spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "user_id")
+
+
+@query("stream_batches", """
+SELECT user_id, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) = 1""")
+def stream_batches(spark, folder):
+    """First event per user in order of arrival, over several batches."""
+    path = scratch_path(spark, "batches")
+    _finished(stream_only_new(_arriving(spark, folder, F.col("event_id") % 3), "user_id", "event_id", path,
+                              scratch_path(spark, "batches-log")))
+    return spark.read.parquet(path).select("user_id", "event_id")
 
 
 @query("uniq_users", """

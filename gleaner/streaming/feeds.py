@@ -1,7 +1,14 @@
-"""Dedupe on growing feeds."""
+"""Dedupe on growing feeds.
+
+What was accepted is a Parquet table, and that table is the state: a batch reads
+the keys it needs, leaves out what they hold, and adds its own folder.  Nothing
+is dropped behind a watermark, so a row that arrives late is judged like any
+other, by the keys of its own day.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,74 +16,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.dedupe import uniq_by
-from gleaner.operators.enrich import only_new
 from gleaner.operators.ledger import utc_day
+from gleaner.operators.skew import first_per_group
 
-BATCH = "batch"
+RUN, BATCH, DAY = "run", "batch", "day"
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+def _earlier(spark: SparkSession, path: str, run: str, batch_id: int, columns: list[str]) -> DataFrame | None:
+    """What other runs and earlier batches of this one accepted; only the named columns are read."""
     try:
-        return spark.read.parquet(path).filter(F.col(BATCH) < batch_id)
+        table = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+    mine = (F.col(RUN).cast("string") == run) & (F.col(BATCH) >= batch_id)
+    return table.filter(~mine).select(*columns)
 
 
-def accept_batch(key: str, order: str, path: str) -> Callable[[DataFrame, int], None]:
+def accept_batch(key: str, order: str, path: str, run: str = "feed",
+                 ts: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch function that appends the rows whose key no earlier batch had.
 
-    A batch owns the folder named after it and overwrites it, so running a
-    batch again gives the same table.
+    With ``ts`` a key counts once a UTC day, and of the earlier batches only the
+    days that occur in the batch are read.  A batch owns the folder named after
+    its run and number and overwrites it, so running a batch again gives the
+    same table, and a run with a new checkpoint leaves the folders of the old
+    one alone.
     """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        first = uniq_by(batch.filter(F.col(key).cast("string") != ""), F.col(key), order)
-        seen = _earlier(batch.sparkSession, path, batch_id)
-        fresh = first if seen is None else only_new(first, seen, key, seen_key=key)
-        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-
-    return run
-
-
-def stream_only_new(stream: DataFrame, key: str, order: str, path: str,
-                    checkpoint: str) -> StreamingQuery:
-    """First row per key over the whole life of the feed, as a Parquet table."""
+    keys = [DAY, key] if ts else [key]
+
+    def accept(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.filter(F.col(key).cast("string") != "")
+        if ts:
+            rows = rows.withColumn(DAY, utc_day(F.col(ts)))
+        first = first_per_group(rows, [F.col(k) for k in keys], [F.col(order)])
+        seen = _earlier(spark, path, run, batch_id, keys)
+        if seen is not None:
+            if ts:
+                days = [r[DAY] for r in rows.select(DAY).distinct().collect()]  # a batch spans few days
+                seen = seen.withColumn(DAY, F.col(DAY).cast("string")).filter(F.col(DAY).isin(days))
+            first = first.join(seen.distinct(), keys, "left_anti")
+        writer = first.write.mode("overwrite")
+        (writer.partitionBy(DAY) if ts else writer).parquet(f"{path}/{RUN}={run}/{BATCH}={batch_id}")
+
+    return accept
+
+
+def _run_name(checkpoint: str) -> str:
+    """A run is known by its checkpoint: going on with it goes on with the run."""
+    return "c" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
+def stream_only_new(stream: DataFrame, key: str, order: str, path: str, checkpoint: str,
+                    ts: str | None = None) -> StreamingQuery:
+    """First row per key over the whole life of the feed, as a Parquet table; with ``ts``, per key and UTC day."""
     return (
-        stream.writeStream.foreachBatch(accept_batch(key, order, path))
+        stream.writeStream.foreachBatch(accept_batch(key, order, path, _run_name(checkpoint), ts))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def dedupe_daily(stream: DataFrame, key: str, ts: str, spread: str, salts: int = 16) -> DataFrame:
-    """One row per key and UTC day; the state of a day ends with its watermark.
-
-    The first step drops repeats within each of ``salts`` slices, so a hot key
-    reaches the second step with one row per slice at most.
-    """
-    daily = (
-        stream.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withColumn("day", utc_day(F.col(ts)))
-        .withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(salts)))
-        .withWatermark(ts, "1 day")
-    )
-    return (
-        daily.dropDuplicatesWithinWatermark(["day", key, "_slice"])
-        .dropDuplicatesWithinWatermark(["day", key])
-        .drop("_slice")
-    )
-
-
-def stream_dedupe_daily(stream: DataFrame, key: str, ts: str, spread: str, path: str,
+def stream_dedupe_daily(stream: DataFrame, key: str, ts: str, order: str, path: str,
                         checkpoint: str) -> StreamingQuery:
-    return (
-        dedupe_daily(stream, key, ts, spread)
-        .writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """One row per key and UTC day; late rows count for their own day."""
+    return stream_only_new(stream, key, order, path, checkpoint, ts)
