@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
-from gleaner.operators.skew import HOT_ROWS, first_per_group, hot_keys
-from gleaner.session import materialize
-
-STALL_SHARE = 0.05
-PREFIX_ROWS = 200_000
-REST_ROWS = 20_000
+from gleaner.operators.skew import first_per_group
+from gleaner.session import Steps, materialize
 
 
 def uniq_by(df: DataFrame, key: Column, order: str = "seq") -> DataFrame:
@@ -44,109 +40,82 @@ def posting_keys(post_id: str = "li_job_id", url: str = "job_url", company: str
     }
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep or drop a bounded run of rows in order; returns the kept ones.
+def _numbered(keyed: DataFrame, steps: Steps) -> DataFrame:
+    """``keyed`` with a long ``rid`` in the order of ``seq``; another order than whole numbers is sorted once."""
+    if isinstance(keyed.schema["seq"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return keyed.withColumn("rid", F.col("seq").cast("long"))
+    ranged = keyed.repartitionByRange("seq").sortWithinPartitions("seq")
+    return steps.keep(ranged.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def _chained(single: DataFrame, steps: Steps) -> DataFrame:
+    """(rid, last, odd): where the pointers of rows with one rival lead, and whether by an odd number of steps.
 
-    The input has one line per row and key.
+    Doubling: every round halves the number of steps left, so a chain of n rows takes log2(n).
     """
-    taken: set[str] = set()
-    kept = []
-    for seq, keys in pdf.sort_values("seq").groupby("seq", sort=True)["key"]:
-        mine = set(keys)
-        if taken.isdisjoint(mine):
-            taken |= mine
-            kept.append(seq)
-    return pd.DataFrame({"seq": kept}, dtype="int64")
-
-
-def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq",
-                hot_rows: int = HOT_ROWS, stall_share: float = STALL_SHARE,
-                prefix_rows: int = PREFIX_ROWS, rest_rows: int = REST_ROWS) -> DataFrame:
+    chain = steps.keep(single.select("rid", F.col("rival").alias("last"), F.lit(True).alias("odd")))
+    while True:
+        ahead = chain.select(F.col("rid").alias("last"), F.col("last").alias("next"), F.col("odd").alias("more"))
+        if chain.join(ahead, "last", "left_semi").isEmpty():
+            return chain
+        chain = steps.keep(chain.join(ahead, "last", "left").select(
+            "rid", F.coalesce("next", "last").alias("last"),
+            (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")))
+
+
+def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") -> DataFrame:
     """``seq`` of the rows a scan in ``seq`` order would keep.
 
     The scan drops a row when any of its non-blank keys belongs to an earlier
-    *kept* row; a dropped row's keys block nobody.  In rounds over the rows not
-    yet decided: a row that comes first on all of its keys is kept, and every
-    row sharing a key with a kept one is decided too.
+    *kept* row; a dropped row's keys block nobody.  A null key is a blank one.
+    It is worked out in rounds over the rows not yet decided:
 
     * Rows with the same set of keys are folded to their first before anything
       else, so a mass of identical copies costs one row per task.
-    * Finding the firsts is an aggregation by key (combined before the shuffle)
-      and one by row; no join is involved.
-    * Striking out neighbours joins on the key.  Keys with a large share of the
-      rows take a broadcast join over a bounded list and never shuffle.
-    * Long chains decide few rows per round.  When a round decides less than
-      ``stall_share`` of the rest, the rows of the next ``prefix_rows`` keys in
-      order are scanned one after the other in one task: their outcome depends
-      on nothing later, so this is exact, and the task's size is fixed.  The
-      same scan ends the work once no more than ``rest_rows`` keys are left.
+    * Of every key only the first two undecided rows are looked at; Spark trims
+      each task's rows to two before the shuffle.  A row that is first on all
+      its keys is kept.  A row whose only rival is one earlier row is kept
+      exactly when that one is not, and chains of such rows are resolved by
+      pointer doubling.
+    * Rows that share a key with a kept row are decided too.  Whoever is left
+      goes into the next round, which is written anew; the rest shrinks as
+      firsts and chains go.
+
+    All rounds are joins and aggregations by key or row; no path depends on the
+    number of rows.
     """
-    names = list(keys)
-    keyed = df.select(F.col(seq).cast("long").alias("seq"),
-                      *[keys[n].alias(n) for n in names])
-    folded = keyed.groupBy(*names).agg(F.min("seq").alias("seq"))
-    tagged = F.array_compact(F.array(*[
-        F.when(F.col(n) != "", F.concat(F.lit(f"{i}:"), F.col(n))) for i, n in enumerate(names)]))
-    long = materialize(
-        folded.select("seq", tagged.alias("keys"))
-        .select("seq", F.size("keys").alias("width"), F.explode_outer("keys").alias("key")))
-    left = long.filter(F.col("key").isNotNull())
-
-    remaining, rounds, stalled = left.count(), 0, False
-    has_hot = False
-    if remaining >= hot_rows:  # else no key can have that many
-        hot = materialize(hot_keys(left, "key", hot_rows))
-        has_hot = not hot.isEmpty()
-
-    def sharing(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        """``seq`` of the rows that hold any of the taken keys."""
-        if not has_hot:
-            return rows.join(taken, "key", "left_semi").select("seq")
-        small = F.broadcast(hot)
-        warm = rows.join(F.broadcast(taken.join(small, "key", "left_semi")), "key", "left_semi")
-        cold = rows.join(small, "key", "left_anti").join(taken, "key", "left_semi")
-        return warm.select("seq").union(cold.select("seq"))
-
-    kept = left.select("seq").limit(0)
-    while remaining:
-        if stalled or (rounds and remaining <= rest_rows):
-            run = left
-            if remaining > prefix_rows:
-                head = left.select("seq").orderBy("seq").limit(prefix_rows)
-                run = materialize(left.filter(F.col("seq") <= head.agg(F.max("seq")).scalar()))
-            winners = materialize(run.groupBy().applyInPandas(_walk, "seq long"))
-            if run is left:
-                kept = kept.union(winners)
-                break
-            taken = run.join(winners, "seq", "left_semi").select("key")
-            decided = run.select("seq").union(sharing(left, taken))
-        else:
-            firsts = left.groupBy("key").agg(
-                F.min("seq").alias("seq"), F.min_by("width", "seq").alias("width"))
-            # a row has at most len(names) keys, so the lists stay that short
-            winners = materialize(
-                firsts.groupBy("seq")
-                .agg(F.collect_list("key").alias("keys"), F.max("width").alias("width"))
-                .filter(F.size("keys") == F.col("width"))
-                .select("seq", "keys"))
-            taken = winners.select(F.explode("keys").alias("key"))
-            decided = sharing(left, taken)
-        kept = kept.union(winners.select("seq"))
-        left = materialize(left.join(decided.distinct(), "seq", "left_anti"))
-        before, remaining = remaining, left.count()
-        stalled = not stalled and before - remaining < stall_share * before
-        rounds += 1
-        if rounds % 16 == 0:
-            kept = materialize(kept)
-
-    if not long.filter(F.col("key").isNull()).isEmpty():
-        # rows without any key were folded too, but nothing is compared to them
-        kept = kept.union(keyed.filter(F.concat(*[F.col(n) for n in names]) == "").select("seq"))
-    return kept
-
-
-def greedy_dedupe(df: DataFrame, keys: Mapping[str, Column] | None = None, seq: str = "seq",
-                  **limits) -> DataFrame:
+    spark, names = df.sparkSession, list(keys)
+    with Steps(spark, "greedy") as steps:
+        keyed = steps.keep(df.select(F.col(seq).alias("seq"), *[X.text(keys[n]).alias(n) for n in names]))
+        keyed = _numbered(keyed, steps)
+        tagged = F.array_compact(F.array(*[
+            F.when(F.col(n) != "", F.concat(F.lit(f"{i}:"), F.col(n))) for i, n in enumerate(names)]))
+        folded = keyed.groupBy(*names).agg(F.min("rid").alias("rid")).select("rid", tagged.alias("keys"))
+        left = steps.keep(folded.select("rid", F.size("keys").alias("width"), F.explode("keys").alias("key")))
+        kept = keyed.filter(F.concat(*[F.col(n) for n in names]) == "").select("rid")
+        by_key = Window.partitionBy("key").orderBy("rid")
+        while not left.isEmpty():
+            heads = left.withColumn("nth", F.row_number().over(by_key)).filter("nth <= 2").withColumn(
+                "rival", F.when(F.col("nth") == 2, F.lag("rid").over(by_key)))
+            state = steps.keep(heads.groupBy("rid", "width").agg(
+                F.count("*").alias("heads"), F.min("rival").alias("rival"), F.max("rival").alias("other"),
+                F.count("rival").alias("seconds")))
+            first = state.filter("heads = width and seconds = 0").select("rid")
+            single = state.filter("heads = width and seconds > 0 and rival = other")
+            winners = first
+            if not single.isEmpty():
+                # an even number of steps behind a kept row; the row one step behind it is dropped
+                winners = first.union(_chained(single, steps).filter("not odd").join(
+                    first.withColumnRenamed("rid", "last"), "last", "left_semi").select("rid"))
+            winners = steps.keep(winners)
+            kept = kept.union(winners)
+            taken = left.join(winners, "rid", "left_semi").select("key")
+            decided = left.join(taken, "key", "left_semi").select("rid").distinct()
+            left = steps.keep(left.join(decided, "rid", "left_anti"))
+        return materialize(kept.join(keyed.select("rid", "seq"), "rid").select("seq"))
+
+
+def greedy_dedupe(df: DataFrame, keys: Mapping[str, Column] | None = None, seq: str = "seq") -> DataFrame:
     """Rows of ``df`` left by :func:`greedy_keep`."""
-    kept = greedy_keep(df, keys or posting_keys(), seq, **limits)
+    kept = greedy_keep(df, keys or posting_keys(), seq)
     return df.join(kept.withColumnRenamed("seq", seq), seq, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.operators.skew import SALTS, lookup
+from gleaner.operators.skew import lookup
 
 
 def only_new(df: DataFrame, seen: DataFrame, key: str, seen_key: str = "key") -> DataFrame:
@@ -26,13 +26,12 @@ def advance_seen(seen: DataFrame, accepted: DataFrame, key: str,
 
 
 def with_descriptions(cards: DataFrame, details: DataFrame, row_id: str = "seq",
-                      key: str = "job_id", unique_cards: bool = False, **limits) -> DataFrame:
+                      key: str = "job_id") -> DataFrame:
     """Description by posting number; empty where there is none.
 
-    ``details`` holds one row per number; ``unique_cards`` says that cards do too.
+    ``details`` holds one row per number.
     """
-    joined = lookup(cards, details.select(key, "description"), key, row_id,
-                    unique_left=unique_cards, **limits)
+    joined = lookup(cards, details.select(key, "description"), key, row_id)
     return joined.withColumn("description", X.text(F.col("description")))
 
 
@@ -60,14 +59,16 @@ def _run_pattern(starts_word: bool, runs: int) -> str:
 
 
 def match_vocab(df: DataFrame, row_id: str, body: str, vocab: DataFrame,
-                term: str = "term", salts: int = SALTS) -> DataFrame:
+                term: str = "term") -> DataFrame:
     """(row, term) pairs of the terms occurring as whole words.
 
     For vocabularies too large for one expression per term.  A term between
     word boundaries is exactly a sequence of whole runs of the text, so the
     match is an equi-join on the run sequences of the shapes the vocabulary
-    has.  Spark broadcasts the vocabulary when it is small; beyond that a
-    frequent word's rows are spread over ``salts`` tasks.
+    has.  Spark broadcasts the vocabulary when it is small; beyond that the
+    adaptive skew join splits a frequent word's rows.  The shapes are listed
+    when the plan is built: there are at most twice as many as the longest term
+    has runs, whatever the size of the vocabulary.
     """
     terms = vocab.select(F.col(term), F.lower(F.col(term)).alias("gram")).distinct()
     run_count = F.size(F.regexp_extract_all("gram", F.lit(r"\w+|[^\w]+"), F.lit(0)))
@@ -78,7 +79,5 @@ def match_vocab(df: DataFrame, row_id: str, body: str, vocab: DataFrame,
     found = [F.regexp_extract_all(low, F.lit(_run_pattern(s["word"], s["runs"])), F.lit(1))
              for s in shapes]
     grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
-    rows = df.select(row_id, F.explode(grams).alias("gram")).withColumn(
-        "_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    spread = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(spread, ["gram", "_salt"]).select(row_id, term)
+    rows = df.select(row_id, F.explode(grams).alias("gram"))
+    return rows.join(terms, "gram").select(row_id, term)

@@ -1,4 +1,4 @@
-"""Helpers for keys that hold a large share of the rows."""
+"""Joins and groups whose keys may hold a large share of the rows."""
 
 from __future__ import annotations
 
@@ -6,62 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
 SALTS = 64
-WIDEN = 8
 GROUP_LIMIT = 1000  # Spark trims groups before the shuffle up to this many rows
 
 
-def widen(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
-    """Spread rows over more cores when their scan has few splits.
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """Left join to a table that is unique on ``key``.
 
-    For small files ahead of heavy text work: every split is cut in up to WIDEN
-    parts, as far as there are cores.  A large scan has more splits than cores
-    and passes through without a shuffle.  ``scan`` names the table whose splits
-    decide when ``df`` already holds joins.
-    """
-    splits = (df if scan is None else scan).rdd.getNumPartitions()
-    parts = min(df.sparkSession.sparkContext.defaultParallelism, WIDEN * splits)
-    return df if splits >= parts else df.repartition(parts, key)
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows and 1/MAX_HOT_KEYS of all rows.
-
-    At most MAX_HOT_KEYS keys can hold that share, which bounds the result
-    whatever the data, so it may be broadcast.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows"))
-    share = F.coalesce(total.scalar() / MAX_HOT_KEYS, F.lit(0))
-    return counts.filter((F.col("rows") >= hot_rows) & (F.col("rows") > share)).select(key)
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, unique_left: bool = False,
-           hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Left join to a table that is unique on ``key``, safe for hot left keys.
-
-    Rows of a hot key are spread over ``salts`` tasks by a hash of the column
-    ``spread``, and only the right rows of hot keys are copied to match.  Rows
-    without a key match nothing, so they are spread too instead of meeting in
-    the null partition.  ``unique_left`` says that no key repeats on the left,
-    which saves the count that finds hot keys.
+    Rows without a key match nothing, so a hash of the column ``spread`` deals
+    them out instead of letting them meet in the null partition.  Rows of a hot
+    key are split by the adaptive skew join: both sides are shuffled for this
+    join alone, which is what it needs.
     """
     bucket = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    if unique_left:
-        salted = left.withColumn("_salt", F.when(F.col(key).isNull(), bucket).otherwise(F.lit(0)))
-        copies = right.withColumn("_salt", F.lit(0))
-    else:
-        hot = F.broadcast(hot_keys(left, key, hot_rows).withColumn("_hot", F.lit(True)))
-        salted = left.join(hot, key, "left").withColumn(
-            "_salt", F.when(F.col(key).isNull() | F.col("_hot"), bucket).otherwise(F.lit(0))
-        ).drop("_hot")
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        copies = right.join(hot, key, "left").withColumn(
-            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-        ).drop("_hot")
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    salted = left.withColumn("_salt", F.when(F.col(key).isNull(), bucket).otherwise(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.lit(0)), [key, "_salt"], "left").drop("_salt")
 
 
 def first_per_group(df: DataFrame, group: list[Column], order: list[Column], n: int = 1,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -52,9 +51,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """A path and its file system, as the cluster sees them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}"
+    path, store = _hadoop(spark, root)
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -73,7 +83,8 @@ class Steps:
     """Written intermediate tables of one job.
 
     As a context they are deleted when it ends, so the job's result must be written by then.
-    A job that returns rows that still read them calls last_until_exit instead.
+    Rows that are returned unwritten may go on reading them where there is no context: then
+    they go with the application's scratch folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -85,20 +96,8 @@ class Steps:
         return self
 
     def __exit__(self, *exc: object) -> None:
-        self.delete()
-
-    def delete(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def last_until_exit(self) -> "Steps":
-        """Delete the tables when the session's program ends, if the session still runs then."""
-        atexit.register(self._delete_if_running)
-        return self
-
-    def _delete_if_running(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            self.delete()
+        path, store = _hadoop(self.spark, self.root)
+        store.delete(path, True)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write rows under the job's folder and read them back."""

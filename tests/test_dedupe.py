@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import skew
 from gleaner.operators.dedupe import greedy_dedupe, greedy_keep, soft_dedupe, uniq_by
-from gleaner.operators.skew import first_per_group, hot_keys, lookup
+from gleaner.operators.skew import first_per_group, lookup
 
 SCHEMA = "seq long, a string, b string, c string"
 
@@ -24,9 +24,9 @@ def scan(rows):
     return kept
 
 
-def kept_by_spark(spark, rows, **limits):
+def kept_by_spark(spark, rows):
     frame = spark.createDataFrame(rows, SCHEMA)
-    return sorted(r["seq"] for r in greedy_keep(frame, {n: F.col(n) for n in "abc"}, **limits).collect())
+    return sorted(r["seq"] for r in greedy_keep(frame, {n: F.col(n) for n in "abc"}).collect())
 
 
 def random_rows(seed, n, spread, hot=0.0):
@@ -43,23 +43,51 @@ def random_rows(seed, n, spread, hot=0.0):
     return [(s, key("a"), key("b"), key("c")) for s in order]
 
 
-@pytest.mark.parametrize("seed,n,spread,hot,limits", [
-    (1, 60, 40, 0.0, {}),
-    (2, 300, 150, 0.0, {"rest_rows": 0}),
-    (3, 300, 150, 0.35, {"rest_rows": 0, "hot_rows": 5}),
-    (4, 300, 60, 0.35, {"rest_rows": 0, "hot_rows": 1}),
-    (5, 200, 120, 0.0, {"rest_rows": 0, "stall_share": 0.9, "prefix_rows": 7}),
-    (6, 200, 120, 0.35, {"rest_rows": 0, "stall_share": 0.9, "prefix_rows": 7, "hot_rows": 3}),
-])
-def test_greedy_equals_scan(spark, seed, n, spread, hot, limits):
+@pytest.mark.parametrize("seed,n,spread,hot", [
+    (1, 60, 40, 0.0), (2, 300, 150, 0.0), (3, 300, 150, 0.35), (4, 300, 60, 0.35), (5, 200, 120, 0.0), (6, 200, 30, 0.1)])
+def test_greedy_equals_scan(spark, seed, n, spread, hot):
     rows = random_rows(seed, n, spread, hot)
-    assert kept_by_spark(spark, rows, **limits) == scan(rows)
+    assert kept_by_spark(spark, rows) == scan(rows)
 
 
 def test_long_chain(spark):
-    """Each row shares a key with the next: the worst case for the rounds."""
-    rows = [(i, f"k{i // 2}", f"m{(i + 1) // 2}", "") for i in range(120)]
-    assert kept_by_spark(spark, rows, rest_rows=0, prefix_rows=25) == scan(rows)
+    """Each row shares a key with the next, so that every decision hangs on the one before."""
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("k"), F.col("id") / 2 - F.col("id") % 2 / 2).alias("a"),
+                                  F.concat(F.lit("m"), (F.col("id") + 1) / 2 - (F.col("id") + 1) % 2 / 2).alias("b"), F.lit("").alias("c"))
+    kept = greedy_keep(chain, {k: F.col(k) for k in "abc"})
+    assert kept.agg(F.count("*"), F.sum(F.col("seq") % 2)).first()[:] == (n // 2, 0)
+
+
+def test_chains_that_meet(spark):
+    """Chains of which one row has two rivals wait for both."""
+    rows = [(i, f"k{i // 2}", f"m{(i + 1) // 2}", "z" if i in (11, 30) else "") for i in range(60)]
+    assert kept_by_spark(spark, rows) == scan(rows)
+
+
+def test_null_keys_are_blank(spark):
+    rows = [(1, None, None, None), (2, "k", None, ""), (3, None, None, None), (4, "k", None, None)]
+    assert kept_by_spark(spark, rows) == [1, 2, 3]
+
+
+def test_other_orders_than_numbers(spark):
+    rows = [(f"r{s:05}", *keys) for s, *keys in random_rows(8, 80, 40)]
+    frame = spark.createDataFrame(rows, SCHEMA.replace("long", "string"))
+    got = sorted(r["seq"] for r in greedy_keep(frame, {n: F.col(n) for n in "abc"}).collect())
+    assert got == scan(rows)
+    pair = frame.withColumn("seq", F.struct(F.lit(1).alias("rank"), F.col("seq").alias("own")))
+    assert sorted(r["seq"]["own"] for r in greedy_dedupe(pair, {n: F.col(n) for n in "abc"}).collect()) == scan(rows)
+
+
+def test_steps_are_deleted(spark):
+    from pathlib import Path
+
+    from gleaner.session import scratch_path
+
+    root = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = {p.name for p in root.iterdir()}
+    kept_by_spark(spark, random_rows(9, 60, 30))
+    assert not any(p.name.startswith("greedy") for p in root.iterdir() if p.name not in before)
 
 
 def test_documented_case(spark):
@@ -128,20 +156,11 @@ def test_first_per_group_beyond_the_group_limit(spark, monkeypatch):
     assert set(got.columns) == {"i", "g"}
 
 
-def test_hot_keys(spark):
-    frame = spark.createDataFrame([("h",)] * 50 + [(None,)] * 70 + [("x",), ("y",)], "k string")
-    assert [r["k"] for r in hot_keys(frame, "k", hot_rows=10).collect()] == ["h"]
-
-
-@pytest.mark.parametrize("unique_left", [True, False])
-def test_lookup(spark, unique_left):
-    if unique_left:
-        left = [(i, f"k{i}" if i % 5 else None) for i in range(100)]
-    else:
-        left = [(i, "hot" if i % 3 == 0 else (f"k{i % 7}" if i % 5 else None)) for i in range(300)]
+def test_lookup(spark):
+    left = [(i, "hot" if i % 3 == 0 else (f"k{i % 7}" if i % 5 else None)) for i in range(300)]
     details = {"hot": "H", "k1": "one", "k2": "two", "k9": "nine"}
     got = lookup(spark.createDataFrame(left, "seq long, k string"),
                  spark.createDataFrame(list(details.items()), "k string, d string"),
-                 "k", "seq", unique_left=unique_left, hot_rows=20, salts=4).collect()
+                 "k", "seq", salts=4).collect()
     assert sorted((r["seq"], r["k"] or "", r["d"] or "") for r in got) == sorted(
         (i, k or "", details.get(k, "")) for i, k in left)
