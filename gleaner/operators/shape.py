@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner import config as C
 from gleaner import schema as S
@@ -14,9 +15,6 @@ from gleaner.functions import rules as R
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
 
-SEQ_BITS = 58
-
-
 def unify(df: DataFrame, aliases: Mapping[str, Sequence[str]] = S.COLUMN_ALIASES,
           keep: Sequence[str] = ("seq",)) -> DataFrame:
     """Fixed columns, each from the first alias with a non-blank value."""
@@ -74,15 +72,27 @@ def shape_web(hits: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
     )
 
 
+def as_place(df: DataFrame, seq: str) -> Column:
+    """A feed's order as a place (file, start, pos, item), whatever type it has."""
+    kind = df.schema[seq].dataType
+    if kind == S.PLACE:
+        return F.col(seq)
+    nought = F.lit(0).cast("long")
+    if isinstance(kind, T.StringType):
+        return F.struct(F.col(seq).alias("file"), nought.alias("start"), nought.alias("pos"), nought.alias("item"))
+    return F.struct(F.lit("").alias("file"), nought.alias("start"), F.col(seq).cast("long").alias("pos"),
+                    nought.alias("item"))
+
+
 def ordered_union(*feeds: DataFrame, seq: str = "seq") -> DataFrame:
-    """All rows, earlier feeds first; ``seq`` becomes one number for the whole.
+    """All rows, earlier feeds first; ``seq`` becomes the pair (rank of the feed, the feed's own seq).
 
-    The feed's rank takes the bits above the feed's own ``seq``.
+    Feeds whose seqs differ in type are ordered by place.
     """
+    same = len({str(feed.schema[seq].dataType) for feed in feeds}) == 1
     parts = [
-        feed.withColumn("source_rank", F.lit(rank))
-        .withColumn(seq, F.shiftleft(F.lit(rank).cast("long"), SEQ_BITS)
-                    + F.col(seq).cast("long"))
+        feed.withColumn("source_rank", F.lit(rank)).withColumn(seq, F.struct(
+            F.lit(rank).alias("rank"), (F.col(seq) if same else as_place(feed, seq)).alias("own")))
         for rank, feed in enumerate(feeds)
     ]
     out = parts[0]

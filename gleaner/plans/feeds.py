@@ -1,4 +1,4 @@
-"""The three feeds as lazy DataFrames."""
+"""The board and web feeds as lazy DataFrames, and their merge, which writes its rounds."""
 
 from __future__ import annotations
 
@@ -19,6 +19,14 @@ def unique_cards(cards: DataFrame) -> DataFrame:
     return uniq_by(cards, U.posting_key(c("jobUrl"), c("company"), c("position")))
 
 
+def likely_cards(cards: DataFrame, config: Config = Config()) -> DataFrame:
+    """Unique cards whose title and place pass the tests that need no description."""
+    c = F.col
+    return unique_cards(cards).filter(
+        R.title_likely_match(c("position"), config.role_phrases, config.negative_words)
+        & R.place_or_remote_quick(c("location"), c("position"), config.places))
+
+
 def board_feed(cards: DataFrame, details: DataFrame, config: Config = Config(),
                seen: DataFrame | None = None) -> DataFrame:
     """Cards (with ``seq``) and descriptions by posting number to output rows.
@@ -28,11 +36,9 @@ def board_feed(cards: DataFrame, details: DataFrame, config: Config = Config(),
     unique by key stay so, which saves a second pass.
     """
     c = F.col
-    picked = unique_cards(cards).filter(
-        R.title_likely_match(c("position"), config.role_phrases, config.negative_words)
-        & R.place_or_remote_quick(c("location"), c("position"), config.places))
+    picked = likely_cards(cards, config)
     described = with_descriptions(
-        picked.withColumn("job_id", U.job_id(c("jobUrl"))), details, unique_cards=True)
+        picked.withColumn("job_id", U.job_id(c("jobUrl"))), details)
     fit = described.filter(R.experience_allowed(
         F.concat(X.text(c("position")), F.lit(" "), c("description"))))
     if config.soft_dedupe:
@@ -72,5 +78,5 @@ def combined_feed(web: DataFrame, board: DataFrame) -> DataFrame:
     return ordered_union(unify(web), unify(board))
 
 
-def merged_feed(web: DataFrame, board: DataFrame, **limits) -> DataFrame:
-    return greedy_dedupe(combined_feed(web, board), posting_keys(), **limits)
+def merged_feed(web: DataFrame, board: DataFrame) -> DataFrame:
+    return greedy_dedupe(combined_feed(web, board), posting_keys())

@@ -58,4 +58,8 @@ HITS_PAGE = T.StructType([
     T.StructField("searchInformation", _strings("totalResults")),
 ])
 
-JSONLD = _strings("company", "title", "posted_at", "location", "description")
+# Where a row stands in landed files: file, start of the split, place in the scan, item on the page.
+PLACE = T.StructType([
+    T.StructField("file", T.StringType(), False), T.StructField("start", T.LongType(), False),
+    T.StructField("pos", T.LongType(), False), T.StructField("item", T.LongType(), False),
+])

@@ -9,6 +9,17 @@ from gleaner import schema as S
 from gleaner.functions import text as X
 
 
+def place() -> Column:
+    """Where a row of a file scan stands.
+
+    Spark deals splits out by size, but reads each from its start on, so file,
+    start of the split and the running number within the task tell the order.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("pos"), F.lit(0).cast("long").alias("item"))
+
+
 def explode_hits(pages: DataFrame, items: Column, *keep: str) -> DataFrame:
     """One row per hit that has a link; a page without items gives none."""
     return (
@@ -24,10 +35,11 @@ def hits_from_json(body: Column) -> Column:
 
 
 def read_hits(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Hits of all response pages under a path; ``seq`` follows file and item order.
+    """Hits of all response pages under a path; ``seq`` is their place: file name, page and item.
 
     ``multi_line`` is for pretty-printed bodies, one per file; the default is
     one body per line, which splits.
     """
     pages = spark.read.schema(S.HITS_PAGE).option("multiLine", multi_line).json(path)
-    return explode_hits(pages, F.col("items")).withColumn("seq", F.monotonically_increasing_id())
+    hits = explode_hits(pages.withColumn("seq", place()), F.col("items"), "seq")
+    return hits.withColumn("seq", F.col("seq").withField("item", F.col("hit_pos").cast("long")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gleaner import schema as S
 from gleaner.functions import text as X
+from gleaner.sources.hits import place
 
 # Names the web feed is looked up by, and the fallback pattern
 WEB_FILE_NAMES = ("google_jobs.csv", "google_results.csv", "google.csv")
@@ -21,19 +22,15 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema.add("seq", T.LongType()))
-
-
-def _as_empty_text(df: DataFrame) -> DataFrame:
-    return df.select(*[X.trimmed(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return spark.createDataFrame([], schema.add("seq", S.PLACE))
 
 
 def read_postings_csv(spark: SparkSession, path: str | None,
                       schema: T.StructType = S.UNIFIED, multi_line: bool = True) -> DataFrame:
     """Relaxed CSV read: every cell a trimmed string, columns named by the header.
 
-    A missing or blank file gives no rows of ``schema``.  ``seq`` follows the
-    file order.  ``multi_line`` allows line breaks inside quotes and reads a
+    A missing or blank file gives no rows of ``schema``.  ``seq`` is the row's
+    place: files by name, then their rows.  ``multi_line`` allows line breaks inside quotes and reads a
     file in one task; feeds whose cells hold none can turn it off so that large
     files split.
     """
@@ -51,22 +48,29 @@ def read_postings_csv(spark: SparkSession, path: str | None,
         raise
     if not raw.columns:
         return _empty(spark, fallback)
-    named = raw.toDF(*[c.strip(X.SPACE_CHARS) for c in raw.columns])
-    return _as_empty_text(named).withColumn("seq", F.monotonically_increasing_id())
+    cells = [X.trimmed(F.col(f"`{c}`")).alias(c.strip(X.SPACE_CHARS)) for c in raw.columns]
+    return raw.select(*cells, place().alias("seq"))
 
 
 def latest_file(spark: SparkSession, folder: str, preferred: Sequence[str] = WEB_FILE_NAMES,
                 pattern: str = WEB_FILE_PATTERN) -> str | None:
-    """Newest non-empty file among the preferred names, else among the pattern."""
+    """Newest non-empty file among the preferred names, else among the pattern.
+
+    A folder of part files, as Spark writes, counts as one file of its name.
+    """
     try:
-        listing = spark.read.format("binaryFile").load(folder)
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    name = F.element_at(F.split("path", "/"), -1)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = store.makeQualified(root).toString().rstrip("/")
+    below = F.split(F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")), "/")
     best = (
-        listing.select("path", "length", "modificationTime", name.alias("name"))
+        listing.select("path", "length", "modificationTime", F.element_at(below, 1).alias("name"))
+        .groupBy("name").agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
         .filter(F.col("length") > 0)
         .withColumn("rank", F.when(F.col("name").isin(*preferred), 0)
                     .when(F.col("name").rlike(pattern), 1))
@@ -75,7 +79,7 @@ def latest_file(spark: SparkSession, folder: str, preferred: Sequence[str] = WEB
         .limit(1)
         .collect()
     )
-    return best[0]["path"] if best else None
+    return f"{base}/{best[0]['name']}" if best else None
 
 
 def read_latest(spark: SparkSession, folder: str, preferred: Sequence[str] = WEB_FILE_NAMES,

@@ -17,7 +17,7 @@ from gleaner.plans import jobs
 from gleaner.plans.feeds import board_feed, unique_cards
 from gleaner.sources.state import load_seen
 from gleaner.sources.tables import read_postings_csv
-from gleaner.streaming.feeds import accept_batch, dedupe_daily, stream_dedupe_daily, stream_only_new
+from gleaner.streaming.feeds import accept_batch, stream_dedupe_daily, stream_only_new
 
 
 def card(position, company, place, url):
@@ -250,8 +250,72 @@ def test_daily_stream_equals_batch(spark, folder, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_daily_state_is_bounded_by_a_watermark(spark, folder):
-    events = spark.readStream.schema(
-        spark.read.parquet(f"{folder}/events.parquet").schema).parquet(f"{folder}/event[s].parquet")
-    plan = dedupe_daily(events, "user_id", "ts", "event_id")._jdf.queryExecution().analyzed().toString()
-    assert "EventTimeWatermark" in plan and "DeduplicateWithinWatermark" in plan
+def test_late_rows_are_not_lost(spark, tmp_path):
+    """A day's first row may come long after later days."""
+    path, run = str(tmp_path / "out"), accept_batch("k", "seq", str(tmp_path / "out"), "r", ts="ts")
+    rows = [(1, "a", "2024-01-10 08:00:00"), (2, "a", "2024-01-01 08:00:00"), (3, "a", "2024-01-10 23:00:00"), (4, "b", "2024-01-01 09:00:00"),
+            (5, "b", "2024-01-01 23:59:59"), (6, None, "2024-01-02 00:00:00")]
+    frame = spark.createDataFrame(rows, "seq long, k string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for number, seqs in enumerate([(1,), (2, 3), (4, 5, 6)]):
+        run(frame.filter(F.col("seq").isin(*seqs)), number)
+    run(frame.filter(F.col("seq").isin(2, 3)), 1)
+    assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == [1, 2, 4]
+
+
+def test_a_new_checkpoint_keeps_what_the_old_one_accepted(spark, folder, tmp_path):
+    feed, out = event_files(spark, folder, str(tmp_path / "in"), 3), str(tmp_path / "out")
+    stream_only_new(feed, "user_id", "event_id", out, str(tmp_path / "log1")).awaitTermination()
+    first = sorted(r["event_id"] for r in spark.read.parquet(out).collect())
+    stream_only_new(feed, "user_id", "event_id", out, str(tmp_path / "log2")).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == first
+
+
+# ---- what the jobs leave alone ----------------------------------------------------
+
+def test_a_blank_detail_page_does_not_hide_a_full_one(spark, tmp_path, board_pages):
+    pages, landed = board_pages
+    blank = spark.createDataFrame([("1000001", "<p></p>", 0), ("1000001", None, 1)], "job_id string, html string, landed_at int")
+    both = blank.union(landed.withColumn("landed_at", F.lit(5))).union(
+        spark.createDataFrame([("1000001", '<div class="show-more-less-html__markup">later</div>', 9)], blank.schema))
+    jobs.run_board(spark, pages, both, str(tmp_path), "2024-01-01", "r1")
+    rows = {r["li_job_id"]: r["description"] for r in read_postings_csv(spark, f"{tmp_path}/results.csv").collect()}
+    assert rows["1000001"].startswith("0-2 years")
+
+
+def test_incremental_run_merges_new_rows_only(spark, tmp_path, board_pages, web_inputs):
+    out, config = str(tmp_path / "out"), Config(incremental=True)
+    pages, landed = board_pages
+    jobs.run_all(spark, pages, landed, *web_inputs, out, "2024-01-01", "r1", config)
+    more = spark.createDataFrame([(2, "<ul>" + card("QA Engineer", "Delta", "Pune, India", BASE + "qa-1000009") + card(
+        "Java Developer", "Acme", "Pune, India", BASE + "dev-1000001") + "</ul>")], "page_id long, html string")
+    clean = jobs.run_all(spark, more, landed, *web_inputs, out, "2024-01-02", "r2", config)
+    assert sorted(r["li_job_id"] for r in clean.collect() if r["li_job_id"]) == ["1000009"]
+    # a run without any row leaves the rows of the run before, and they are merged as the file's would be
+    clean = jobs.run_all(spark, more.limit(0), landed, *web_inputs, out, "2024-01-03", "r3", config)
+    assert sorted(r["li_job_id"] for r in clean.collect() if r["li_job_id"]) == ["1000009"]
+
+
+def test_merge_of_a_folder_that_jobs_wrote(spark, tmp_path, board_pages, web_inputs):
+    out = str(tmp_path / "out")
+    jobs.run_web(spark, *web_inputs, out, "2024-01-01", "r1")
+    jobs.run_board(spark, *board_pages, out, "2024-01-01", "r1")
+    assert jobs.run_merge(spark, out, str(tmp_path / "merged")).count() == 4
+
+
+def test_only_wanted_pages_are_parsed(spark, tmp_path, board_pages, monkeypatch):
+    """Detail pages of cards that fail the title or place test never reach the parser."""
+    from gleaner.sources import pages as P
+
+    seen = []
+    parse = P._parse
+    monkeypatch.setattr(P, "_parse", lambda pages, key, *a: (seen.append(pages), parse(pages, key, *a))[1])
+    jobs.run_board(spark, *board_pages, str(tmp_path), "2024-01-01", "r1")
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "job_id" in plan
+
+
+def test_page_ids_of_any_kind(spark):
+    cards_ = spark.createDataFrame([(2**60, 1), (2**60, 0), (5, 3_000_000)], "page_id long, item_pos int")
+    assert [tuple(r["seq"])[2:] for r in jobs.numbered(cards_).orderBy("seq").collect()] == [(5, 3_000_000), (2**60, 0), (2**60, 1)]
+    named = spark.createDataFrame([("b", 0), ("a", 7)], "page_id string, item_pos int")
+    assert [r["seq"]["file"] for r in jobs.numbered(named).orderBy("seq").collect()] == ["a", "b"]

@@ -3,12 +3,11 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from gleaner import schema as S
-from gleaner.operators.shape import unify
+from gleaner.operators.shape import ordered_union, unify
 from gleaner.sources.hits import read_hits
-from gleaner.sources.state import append_seen, load_seen
+from gleaner.sources.state import Snapshots, append_seen, load_seen
 from gleaner.sources.tables import (
     latest_file, read_latest, read_postings_csv, write_if_any, write_postings_csv)
 
@@ -120,7 +119,50 @@ def test_web_rows_lose_source_columns(spark):
     assert (row["li_job_id"], row["date_posted"], row["location"]) == ("", "2025-09-16", "L")
 
 
-def test_column_pruning_reaches_the_scan(spark, folder):
-    plan = spark.read.parquet(f"{folder}/orders.parquet").select(
-        F.col("o_orderkey"))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+def test_rows_follow_file_names_not_sizes(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    put(folder / "part-0.csv", "k\n1\n")
+    put(folder / "part-1.csv", "k\n2\n" + "".join(f"{k}\n" for k in range(3, 5000)))
+    put(folder / "part-2.csv", "k\n5000\n")
+    for multi_line in (True, False):
+        rows = read_postings_csv(spark, str(folder), multi_line=multi_line).orderBy("seq").collect()
+        assert [int(r["k"]) for r in rows] == list(range(1, 5001))
+    hits = tmp_path / "hits"
+    hits.mkdir()
+    put(hits / "page-1.json", '{"items": [{"link": "https://a", "title": "small"}]}\n')
+    put(hits / "page-2.json", '{"items": [{"link": "https://a", "title": "large", "snippet": "' + "x" * 50_000 + '"}]}\n')
+    assert [r["title"] for r in read_hits(spark, str(hits)).orderBy("seq").collect()] == ["small", "large"]
+
+
+def test_feeds_of_different_orders_can_be_joined(spark, tmp_path):
+    path = put(tmp_path / "a.csv", "title\nx\ny\n")
+    numbers = unify(spark.createDataFrame([(2**38, "n"), (7, "m")], "seq long, title string"))
+    both = ordered_union(unify(read_postings_csv(spark, path)), numbers)
+    assert [r["title"] for r in both.orderBy("seq").collect()] == ["x", "y", "m", "n"]
+
+
+def test_newest_folder_of_part_files(spark, tmp_path):
+    frame = unify(spark.createDataFrame([("1",)], "id string"))
+    write_postings_csv(frame, str(tmp_path / "google_jobs.csv"))
+    write_postings_csv(frame, str(tmp_path / "web_seen" / "day=1" / "run=a"))
+    put(tmp_path / "google.csv", "title\nold\n", age=900)
+    assert latest_file(spark, str(tmp_path)).endswith("/google_jobs.csv")
+    assert read_latest(spark, str(tmp_path)).count() == 1
+
+
+def test_snapshots(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    store, noon = Snapshots(spark, str(tmp_path / "s"), 3600), datetime(2024, 1, 1, 12)
+    rows = spark.createDataFrame([(1,)], "seq long")
+    assert store.get("k", noon) is None and store.size() == 0 and store.purge(noon) == 0
+    assert store.put("k", rows, noon) and not store.put("none", rows.limit(0), noon)
+    assert store.put("k", rows.union(rows), noon + timedelta(minutes=10)) and store.put("other", rows, noon)
+    assert store.size() == 2
+    assert store.get("k", noon + timedelta(minutes=5)).count() == 1
+    assert store.get("k", noon + timedelta(minutes=70)).count() == 2
+    assert store.get("k", noon + timedelta(minutes=71)) is None and store.get("k", noon - timedelta(seconds=1)) is None
+    assert store.purge(noon + timedelta(minutes=65)) == 2 and store.size() == 1
+    store.clear()
+    assert store.size() == 0
