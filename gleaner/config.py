@@ -74,14 +74,6 @@ EXCLUDE_TOKENS = (
     " mid level", "mid-level", "staff",
 )
 
-SEARCH_PLACES = (
-    "India", "Remote India", "Remote - India", "Remote in India", "Anywhere in India",
-    "Work from India", "IST", "India Standard Time", "UTC+5:30", "Asia/Kolkata",
-    "Bengaluru", "Bangalore", "Hyderabad", "Pune", "Chennai", "Mumbai", "Navi Mumbai",
-    "Gurgaon", "Gurugram", "Noida", "Delhi", "NCR", "Kolkata", "Ahmedabad", "Jaipur",
-    "Indore", "Kochi",
-)
-
 REMOTE_WORDS = ("remote", "wfh")
 HOME_PATTERN = r"work\s*from\s*home"
 
@@ -129,9 +121,6 @@ class Config:
     skills: tuple[str, ...] = SKILLS
     places: tuple[str, ...] = ("india",)
     experiences: tuple[str, ...] = ("internship", "entry level", "associate")
-    date_window: str = "24hr"
-    sort_by: str = "recent"
-    limit_per_query: int = 5000
     soft_dedupe: bool = False
     incremental: bool = False
 
@@ -141,14 +130,9 @@ class Config:
     career_path: str = CAREER_PATH_PATTERN
     include_tokens: tuple[str, ...] = INCLUDE_TOKENS
     exclude_tokens: tuple[str, ...] = EXCLUDE_TOKENS
-    search_places: tuple[str, ...] = SEARCH_PLACES
-    date_restrict: str = "d7"
-    daily_budget: int = 90
     pages_per_role: int = 2
     out_csv: str = "google_jobs.csv"
 
-    cache_ttl_seconds: int = 3600
-
     @property
     def role_phrases(self) -> tuple[str, ...]:
         return tuple(t.lower() for t in self.titles)
@@ -160,10 +144,6 @@ class Config:
         changes: dict = {}
         if "ROLES" in found:
             changes["roles"] = tuple(r.strip() for r in found["ROLES"].split(",") if r.strip())
-        if "DATE_RESTRICT" in found:
-            changes["date_restrict"] = found["DATE_RESTRICT"]
-        if "DAILY_QUERY_BUDGET" in found:
-            changes["daily_budget"] = int(found["DAILY_QUERY_BUDGET"])
         if "MAX_PAGES_PER_ROLE" in found:
             changes["pages_per_role"] = int(found["MAX_PAGES_PER_ROLE"])
         if "OUT_CSV" in found:
@@ -171,12 +151,17 @@ class Config:
         return replace(cls(), **changes)
 
 
-def _number(value) -> float:
-    """Numeric reading of an option; anything unreadable counts as 0."""
+MOST_ROWS = 2**31 - 1  # the largest limit or offset that a plan can hold
+
+
+def number(value) -> float:
+    """Numeric reading of an option; anything unreadable, and anything below 0, counts as 0."""
     try:
-        return float(value or 0)
+        found = float(value or 0)
     except (TypeError, ValueError):
         return 0.0
+    written = not isinstance(value, str) or set(value.strip()) <= set("0123456789+-.eE")
+    return min(max(found, 0.0), float(MOST_ROWS)) if written and found == found else 0.0
 
 
 @dataclass(frozen=True)
@@ -198,11 +183,23 @@ class Criteria:
 
     @property
     def row_limit(self) -> int:
-        return int(_number(self.limit))
+        return int(number(self.limit))
 
     @property
     def row_offset(self) -> int:
-        return int(_number(self.page) * BOARD_PAGE_ROWS)
+        return int(min(number(self.page) * BOARD_PAGE_ROWS, MOST_ROWS))
+
+    @property
+    def snapshot_key(self) -> str:
+        """Name under which a result is kept: all codes, the offset and the limit."""
+        def plus(text: str) -> str:
+            return "+".join(text.split())
+
+        return "|".join(map(str, (
+            plus(self.keyword), plus(self.location), DATE_WINDOW_CODES.get(self.date_since_posted.lower(), ""),
+            SALARY_CODES.get(str(self.salary), ""), self.experience_code, self.remote_code, self.job_type_code,
+            str(bool(self.has_verification)).lower(), str(bool(self.under_10_applicants)).lower(),
+            self.row_offset, SORT_CODES.get(self.sort_by, ""), self.row_limit)))
 
     @property
     def window_seconds(self) -> int | None:

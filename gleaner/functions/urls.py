@@ -40,6 +40,28 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(X.trimmed(url), DOTALL + WEB_URL_PATTERN, 3))
 
 
+DOT_SEGMENT = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
+UNSAFE_IN_PATH = r"""[^!#-;=?-\[\]_a-z|~]"""  # what a path may only hold as percent escapes
+
+
+def _path(path: Column) -> Column:
+    """Dot segments worked off and unsafe characters escaped, on the few paths that have any."""
+    def step(done: Column, part: Column) -> Column:
+        name = F.regexp_replace(part, r"(?i)%2e", ".")
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    short = F.aggregate(parts, F.array().cast("array<string>"), step)
+    # a path that ends in a dot segment ends in a slash
+    ends = F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}$"), "/").otherwise("")
+    joined = F.concat(F.lit("/"), F.array_join(short, "/"), F.when(F.size(short) > 0, ends).otherwise(""))
+    plain = F.when(path.rlike(DOT_SEGMENT), joined).otherwise(path)
+    escaped = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(
+        c.rlike(UNSAFE_IN_PATH), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)), "")
+    return F.when(plain.rlike(UNSAFE_IN_PATH), escaped).otherwise(plain)
+
+
 def canonical(url: Column) -> Column:
     """URL without query, fragment, default port and one trailing slash.
 
@@ -58,7 +80,7 @@ def canonical(url: Column) -> Column:
     web = F.concat(
         scheme, F.lit("://"), part(2), F.lower(part(3)),
         F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-        F.regexp_replace(part(5), "/$", ""),
+        F.regexp_replace(_path(part(5)), "/$", ""),
     )
     other_pattern = DOTALL + OTHER_URL_PATTERN
     other = F.concat(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from gleaner import config as C
 from gleaner.config import Config, Criteria
 from gleaner.functions import text as X
 from gleaner.operators.skew import first_per_group
+from gleaner.sources.state import Snapshots
 
 ANY = "any"
 
@@ -35,8 +37,8 @@ def encode_criteria(options: DataFrame) -> DataFrame:
         "few_applicants_code": F.when(c("under_10_applicants"), "true").otherwise("false"),
         "keyword_code": X.plus_joined(c("keyword")),
         "location_code": X.plus_joined(c("location")),
-        "start": X.as_count(c("page")) * C.BOARD_PAGE_ROWS,
-        "row_limit": X.as_count(c("limit")),
+        "start": F.least(F.floor(X.as_count(c("page")) * C.BOARD_PAGE_ROWS), F.lit(C.MOST_ROWS)).cast("int"),
+        "row_limit": F.floor(X.as_count(c("limit"))).cast("int"),
     })
 
 
@@ -100,11 +102,29 @@ def limit_n(ordered: DataFrame, n: int) -> DataFrame:
 
 
 def search_postings(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFrame:
-    found = sort_postings(matching(postings, criteria, as_of), criteria.sort_by,
-                          criteria.keyword.strip())
-    if criteria.row_offset:
-        found = found.offset(criteria.row_offset)
-    return limit_n(found, criteria.row_limit)
+    """One page of the matches, or all from the page's start on where no limit is set.
+
+    Without a limit the rows before the page are left out by a join, since a
+    bare offset would pass the whole result through one task.
+    """
+    def ordered(rows: DataFrame) -> DataFrame:
+        return sort_postings(rows, criteria.sort_by, criteria.keyword.strip())
+
+    found = matching(postings, criteria, as_of)
+    if criteria.row_offset and not criteria.row_limit:
+        before = ordered(found).limit(criteria.row_offset).select("seq")
+        return ordered(found.join(before, "seq", "left_anti"))
+    page_start = ordered(found).offset(criteria.row_offset) if criteria.row_offset else ordered(found)
+    return limit_n(page_start, criteria.row_limit)
+
+
+def search_stored(store: Snapshots, postings: DataFrame, criteria: Criteria, now: datetime,
+                  as_of: Column) -> DataFrame:
+    """A stored result that is still good, else a search whose result is stored unless it is empty."""
+    stored = store.get(criteria.snapshot_key, now)
+    if stored is None and store.put(criteria.snapshot_key, search_postings(postings, criteria, as_of), now):
+        stored = store.get(criteria.snapshot_key, now)
+    return postings.limit(0) if stored is None else stored
 
 
 def top_per_group(postings: DataFrame, group: Column, pages: int = 2,

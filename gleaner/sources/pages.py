@@ -37,13 +37,22 @@ DETAIL_CONTAINERS = (
     ".show-more-less-html__markup", "#job-details", "section.description", "div.description",
 )
 
-JSONLD_BLOCK_PATTERN = (
-    r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-)
+JSONLD_TYPE = r"application/ld\+json"
 
 # ---------------------------------------------------------------------------
 
 
+# Whole scripts and whole comments in page order, so that a script inside a comment is part of
+# the comment and a comment inside a script part of the script.
+_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')"""
+SCRIPT_OR_COMMENT = rf"(?is)<!--.*?-->|<script(?=[\s/>]){_ATTRS}*+>.*?</script\s*>"
+# The attribute type, by its whole name, with exactly this value.
+JSONLD_SCRIPT = (
+    rf"(?s)^<(?i:script)(?=[\s/]){_ATTRS}*?[\s/](?i:type)\s*=\s*"
+    rf"(?:\"{JSONLD_TYPE}\"|'{JSONLD_TYPE}'|{JSONLD_TYPE}(?=[\s>]))")
+SCRIPT_BODY = rf"(?is)^<script{_ATTRS}*+>(.*)</script\s*>$"
+
+
 def _parse(pages: DataFrame, key: str, html: str, fields: Sequence[Field],
            item_tag: str | None) -> DataFrame:
     fields = tuple(fields)
@@ -109,14 +118,14 @@ def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html",
 
 
 def html_text(col: Column) -> Column:
-    """All text of a markup fragment, entities decoded, ends trimmed."""
+    """All text of a markup fragment, entities decoded, ends trimmed; null costs nothing and gives an empty text."""
 
     @F.pandas_udf(T.StringType())
     def whole(markup: pd.Series) -> pd.Series:
         field = (Field("text"),)
-        return markup.map(lambda m: "".join(row["text"] for row in collect(m, field)))
+        return markup.map(lambda m: None if m is None else "".join(row["text"] for row in collect(m, field)))
 
-    return X.trimmed(whole(X.text(col)))
+    return X.trimmed(whole(col))
 
 
 def first_jsonld(html: Column, kind: str = "JobPosting") -> Column:
@@ -125,7 +134,9 @@ def first_jsonld(html: Column, kind: str = "JobPosting") -> Column:
     Blocks that do not parse are skipped; of an array only the first element
     counts.  Everything stays in the row, so no shuffle is needed.
     """
-    blocks = F.regexp_extract_all(X.text(html), F.lit(JSONLD_BLOCK_PATTERN), F.lit(1))
+    scripts = F.filter(F.regexp_extract_all(X.text(html), F.lit(SCRIPT_OR_COMMENT), F.lit(0)),
+                       lambda s: s.rlike(JSONLD_SCRIPT))
+    blocks = F.transform(scripts, lambda s: F.regexp_extract(s, SCRIPT_BODY, 1))
 
     def head(block: Column) -> Column:
         value = F.try_parse_json(block)
@@ -168,6 +179,7 @@ def extract_jsonld(pages: DataFrame, key: str = "url", html: str = "html",
         .select(key, *[c.alias(n) for n, c in posting_fields(F.col("posting")).items()])
     )
     body = F.col("description")
-    return found.withColumn(
-        "description", F.when(body.rlike("[<&]"), html_text(body)).otherwise(
-            F.btrim(body, F.lit(X.SPACE_CHARS))))
+    # the parsing step runs for every row whatever condition stands around it, so it is given nulls
+    marked = body.rlike("[<&]")
+    parsed = html_text(F.when(marked, body))
+    return found.withColumn("description", F.when(marked, parsed).otherwise(F.btrim(body, F.lit(X.SPACE_CHARS))))

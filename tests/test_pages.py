@@ -122,3 +122,20 @@ def test_jsonld_script_spelling(spark, quotes):
     html = (f"<SCRIPT id=x type={quotes}application/ld+json{quotes}>\n"
             f"{json.dumps(posting())}\n</SCRIPT >")
     assert extract_jsonld(spark.createDataFrame([(1, html)], "url int, html string")).count() == 1
+
+
+def test_jsonld_blocks_by_their_exact_type(spark):
+    body = json.dumps({"@type": "JobPosting", "title": "T", "description": "a <!-- b --> c"})
+    rows = [
+        (1, f'<script type="application/ld+json">{body}</script>', True),
+        (2, f'<script type="application/ld+json; charset=utf-8">{body}</script>', False),
+        (3, f'<script data-type="application/ld+json">{body}</script>', False),
+        (4, f'<!-- <script type="application/ld+json">{body}</script> -->', False),
+        (5, f"<!-- x --><script id='a>b' type='application/ld+json' >{body}</script >", True),
+        (6, f"<SCRIPT TYPE=application/ld+json>{body}</SCRIPT>", True),
+        (7, f'<script type="APPLICATION/LD+JSON">{body}</script>', False),
+        (8, f'<script>var a = "<!--";</script><script type="application/ld+json">{body}</script>', True),
+        (9, f"<script title='type=\"application/ld+json\"'>{body}</script>", False),
+    ]
+    pages = spark.createDataFrame([r[:2] for r in rows], "url long, html string")
+    assert sorted(r["url"] for r in extract_jsonld(pages).collect()) == [k for k, _, good in rows if good]

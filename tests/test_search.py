@@ -5,7 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.catalog.views import postings
 from gleaner.config import Config, Criteria
+from gleaner.functions import text as X
 from gleaner.operators import search as S
 from gleaner.operators.enrich import advance_seen, match_vocab, only_new, with_descriptions
 from gleaner.operators.ledger import admit_daily, day_budget, fresh_snapshots, funnel, purge
@@ -157,7 +159,28 @@ def test_funnel(spark):
 
 
 def test_config_overrides():
-    config = Config.from_mapping({"ROLES": "A, ,B ", "DAILY_QUERY_BUDGET": "5", "OUT_CSV": "",
-                                  "MAX_PAGES_PER_ROLE": "3", "DATE_RESTRICT": "d1", "OTHER": "x"})
-    assert (config.roles, config.daily_budget, config.pages_per_role, config.date_restrict,
-            config.out_csv) == (("A", "B"), 5, 3, "d1", "google_jobs.csv")
+    config = Config.from_mapping({"ROLES": "A, ,B ", "OUT_CSV": "", "MAX_PAGES_PER_ROLE": "3", "OTHER": "x"})
+    assert (config.roles, config.pages_per_role, config.out_csv) == (("A", "B"), 3, "google_jobs.csv")
+
+
+@pytest.mark.parametrize(("written", "value"), [
+    ("1e2", 100), (" 5 ", 5), ("2.5", 2.5), ("", 0), (None, 0), ("x", 0), ("inf", 0), ("nan", 0), ("1_0", 0), ("-3", 0), ("+4", 4),
+    (".5", 0.5), ("7.", 7), ("1e400", 2**31 - 1), ("12d", 0), ("99999999999", 2**31 - 1)])
+def test_number_options_follow_one_rule(column, written, value):
+    from gleaner.config import number
+
+    assert number(written) == value and column(X.as_count, [written]) == [value]
+
+
+def test_fractional_pages_and_limits():
+    assert Criteria(page="2.5", limit="1e1").row_offset == 62 and Criteria(limit="1e1").row_limit == 10
+    assert Criteria(limit="inf").row_limit == 0
+
+
+def test_offset_without_limit(spark, folder):
+    rows = postings(spark, folder).select("seq", "title", "date_posted", "description")
+    for sort_by in ("", "recent"):
+        ordered = S.search_postings(rows, Criteria(sort_by=sort_by), F.lit(None).cast("date"))
+        paged = S.search_postings(rows, Criteria(page="2", sort_by=sort_by), F.lit(None).cast("date"))
+        assert "CollectLimit -1" not in paged._jdf.queryExecution().executedPlan().toString()
+        assert [r["seq"] for r in paged.collect()] == [r["seq"] for r in ordered.collect()][50:]

@@ -210,3 +210,33 @@ def test_count_coercion(column):
 
 def test_occurrences(column):
     assert column(lambda c: X.occurrences(c, "aa"), ["aaaa A aa", "", None]) == [3, 0, 0]
+
+
+def test_emails_that_touch(column):
+    """The quick scan finds what the plain pattern finds, also where one match follows another directly."""
+    import random
+    import re
+
+    plain = re.compile(X.EMAIL_PATTERN)
+    r = random.Random(1)
+    texts = ["a@b.co1x@y.zz", "a@b.coc@d.ef", "@a@b.cd", "a@b@c.de", "x.y+z@h-1.example.comfoo@bar.de,"] + [
+        "".join(r.choice("ab1.@- ") for _ in range(60)) + "@c.de" for _ in range(300)]
+    assert column(X.emails, texts) == [list(dict.fromkeys(plain.findall(t))) for t in texts]
+
+
+def test_emails_in_linear_time(column):
+    import time
+
+    column(X.emails, ["warm@up.de"])
+    started = time.time()
+    assert column(X.emails, ["a" * 1_000_000 + " x@y", "z@" + "b" * 1_000_000, "@" + "a." * 300_000]) == [[], [], []]
+    assert time.time() - started < 5
+
+
+def test_paths_in_canonical_urls(column):
+    pairs = {
+        "https://h/a/../b/": "https://h/b", "https://h/a/./b": "https://h/a/b", "https://h/../..": "https://h",
+        "https://h/a/b/..": "https://h/a", "https://h/a/%2E%2e/c?x": "https://h/c", "https://h/a b": "https://h/a%20b",
+        "https://h/caf\u00e9": "https://h/caf%C3%A9", "https://h/a%20b": "https://h/a%20b", "https://h/a..b/.c": "https://h/a..b/.c",
+        "https://h/a//b": "https://h/a//b", "https://h/x/.": "https://h/x", "https://h/\"q\"": "https://h/%22q%22"}
+    assert column(U.canonical, list(pairs)) == list(pairs.values())
