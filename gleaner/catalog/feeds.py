@@ -14,7 +14,6 @@ from gleaner.functions import text as X
 from gleaner.functions import urls as U
 from gleaner.operators.dedupe import greedy_dedupe, greedy_keep, posting_keys
 from gleaner.operators.ledger import merge_counts
-from gleaner.operators.shape import SEQ_BITS
 from gleaner.plans.feeds import board_feed, combined_feed, merged_feed, web_feed
 from gleaner.session import materialize
 
@@ -71,7 +70,6 @@ def _split_feeds(spark, folder):
     return as_web, as_board
 
 
-_RANK_1 = 1 << SEQ_BITS
 _BLANKS = ("matched_role", "is_remote", "ago_time", "salary", "contact_emails", "contact_phones",
            "skills")
 
@@ -79,7 +77,7 @@ _BLANKS = ("matched_role", "is_remote", "ago_time", "salary", "contact_emails",
 _MERGE_SQL = f"""
 {POSTINGS_SQL},
 feed AS MATERIALIZED (
-  SELECT CASE WHEN job_url LIKE 'https://ats.%' THEN seq ELSE seq + {_RANK_1} END AS seq,
+  SELECT row_number() OVER (ORDER BY job_url NOT LIKE 'https://ats.%', seq) AS seq, seq AS own_seq,
     CASE WHEN job_url LIKE 'https://ats.%' THEN 0 ELSE 1 END AS source_rank,
     coalesce({Q.sql_job_id('job_url')}, '') AS li_job_id, company, title, location,
     CAST(date_posted AS VARCHAR) AS date_posted, job_url, description FROM postings),
@@ -88,12 +86,12 @@ feed AS MATERIALIZED (
 
 @query("merged_feed", f"""
 WITH RECURSIVE {_MERGE_SQL}
-SELECT * EXCLUDE (description), md5({Q.sql_trim('description')}) AS description,
+SELECT * EXCLUDE (description, seq, own_seq), own_seq AS seq, md5({Q.sql_trim('description')}) AS description,
   {", ".join(f"'' AS {b}" for b in _BLANKS)}
 FROM feed WHERE seq IN (SELECT seq FROM kept)""")
 def merged(spark, folder):
     rows = merged_feed(*_split_feeds(spark, folder))
-    return rows.withColumn("description", F.md5("description"))
+    return rows.withColumn("description", F.md5("description")).withColumn("seq", F.col("seq.own"))
 
 
 @query("merge_funnel", f"""
@@ -108,18 +106,19 @@ def merge_funnel(spark, folder):
 @query("full_feed", f"""
 WITH RECURSIVE {_BOARD_SQL}, {_WEB_SQL},
 both_feeds AS MATERIALIZED (
-  SELECT seq, '' AS li_job_id, company, title, '' AS matched_role, job_url, description FROM web
-  UNION ALL
-  SELECT seq + {_RANK_1}, li_job_id, company, title, matched_role, job_url, description FROM board),
+  SELECT * REPLACE (row_number() OVER (ORDER BY source_rank, seq) AS seq), seq AS own_seq FROM (
+    SELECT 0 AS source_rank, seq, '' AS li_job_id, company, title, '' AS matched_role, job_url, description FROM web
+    UNION ALL
+    SELECT 1, seq, li_job_id, company, title, matched_role, job_url, description FROM board)),
 {Q.sql_walk('both_feeds')}
-SELECT seq, {Q.sql_trim('li_job_id')} AS li_job_id, {Q.sql_trim('company')} AS company,
+SELECT source_rank, own_seq AS seq, {Q.sql_trim('li_job_id')} AS li_job_id, {Q.sql_trim('company')} AS company,
   {Q.sql_trim('title')} AS title, matched_role, {Q.sql_trim('job_url')} AS job_url,
-  CAST(length({Q.sql_trim('description')}) AS INTEGER) AS description_chars
+  md5({Q.sql_trim('description')}) AS description_md5
 FROM both_feeds WHERE seq IN (SELECT seq FROM kept)""")
 def full(spark, folder):
     """Board and web feeds of the given tables, merged."""
     both = combined_feed(web(spark, folder),
                          board_feed(cards(spark, folder), details(spark, folder), Q.CONFIG))
     rows = greedy_dedupe(materialize(both))
-    return rows.select("seq", "li_job_id", "company", "title", "matched_role", "job_url",
-                       F.length(X.text(F.col("description"))).alias("description_chars"))
+    return rows.select("source_rank", F.col("seq.own").alias("seq"), "li_job_id", "company", "title", "matched_role",
+                       "job_url", F.md5(X.text(F.col("description"))).alias("description_md5"))

@@ -140,7 +140,7 @@ _OPTIONS = """
     CASE WHEN verified THEN 'recent' ELSE 'Recent' END AS sort_by,
     verified AS has_verification, applicants < 10 AS under_10_applicants,
     concat('  ', title, ' ') AS keyword, location,
-    CASE WHEN seq % 3 = 0 THEN 'x' ELSE CAST(seq % 7 AS VARCHAR(9)) END AS page,
+    CASE WHEN seq % 3 = 0 THEN 'x' WHEN seq % 13 = 0 THEN '1e2' WHEN seq % 17 = 0 THEN ' 2.5 ' ELSE CAST(seq % 7 AS VARCHAR(9)) END AS page,
     CASE WHEN seq % 5 = 0 THEN '' ELSE CAST(seq % 11 AS VARCHAR(9)) END AS "limit"
   FROM postings"""
 
@@ -164,8 +164,8 @@ coded AS (SELECT seq,
   CASE WHEN under_10_applicants THEN 'true' ELSE 'false' END AS few_applicants_code,
   regexp_replace(trim(keyword), ' +', '+', 'g') AS keyword_code,
   regexp_replace(trim(location), ' +', '+', 'g') AS location_code,
-  coalesce(TRY_CAST(page AS INTEGER), 0) * 25 AS start,
-  coalesce(TRY_CAST("limit" AS INTEGER), 0) AS row_limit
+  CAST(floor(coalesce(TRY_CAST(page AS DOUBLE), 0) * 25) AS INTEGER) AS start,
+  CAST(floor(coalesce(TRY_CAST("limit" AS DOUBLE), 0)) AS INTEGER) AS row_limit
 FROM options)
 SELECT *, concat_ws('|', keyword_code, location_code, date_code, salary_code, experience_code,
   remote_code, job_type_code, verified_code, few_applicants_code, start, sort_code, row_limit)
@@ -452,7 +452,7 @@ def shape_postings(spark, folder):
 
 
 @query("ordered_union", _with("""
-SELECT CAST(rank AS BIGINT) * 288230376151711744 + seq AS seq, rank AS source_rank, title FROM (
+SELECT seq, rank AS source_rank, title FROM (
   SELECT 0 AS rank, seq, title FROM postings WHERE job_url LIKE 'https://ats.%'
   UNION ALL
   SELECT 1 AS rank, seq, title FROM postings WHERE NOT job_url LIKE 'https://ats.%')"""))
@@ -460,4 +460,4 @@ def union_in_order(spark, folder):
     rows = postings(spark, folder).select("seq", "title", "job_url")
     ats = C("job_url").startswith("https://ats.")
     both = ordered_union(rows.filter(ats).drop("job_url"), rows.filter(~ats).drop("job_url"))
-    return both.orderBy("seq")
+    return both.orderBy("seq").select(F.col("seq.own").alias("seq"), "source_rank", "title")

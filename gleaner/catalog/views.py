@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gleaner.catalog.registry import table
 from gleaner.functions import urls as U
 from gleaner.operators.dedupe import uniq_by
-from gleaner.operators.skew import widen
 
 # concat(x, '') hands the engine plain strings where it would keep dictionaries
 POSTINGS_SQL = """
@@ -79,7 +78,7 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         .join(customers, c("c_custkey") == c("o_custkey"))
         .join(part, c("p_partkey") == c("part_slot"))
     )
-    rows = widen(narrow, "o_orderkey", scan=orders).join(documents, c("doc_id") == c("doc_slot"))
+    rows = narrow.join(documents, c("doc_id") == c("doc_slot"))
     board_url = F.concat(
         F.lit("https://jobs.example.com/view/"), F.replace("p_name", F.lit(" "), F.lit("-")),
         F.lit("-"), (c("o_custkey") + 100000).cast("string"),

@@ -8,7 +8,8 @@ from gleaner.operators.dedupe import uniq_by
 
 PARSING = {"html_text", "detail_text", "card_extract", "jsonld_extract", "enrich_fallback",
            "shape_web_rows", "web_feed"}
-WRITING = {"greedy_dedupe", "merged_feed", "merge_funnel", "full_feed", "csv_round_trip", "stream_new_keys",
+WRITING = {"multi_file_order", "csv_relaxed", "merge_files", "seen_state", "snapshot_reuse", "stream_late_days", "stream_batches",
+           "greedy_dedupe", "merged_feed", "merge_funnel", "full_feed", "csv_round_trip", "stream_new_keys",
            "stream_daily_keys"}
 
 
