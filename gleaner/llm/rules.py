@@ -71,11 +71,11 @@ def _rules() -> dict[str, tuple[Column, Column]]:
         "length": (c("n_words") < 10, c("n_words") >= 40),
         "repetition": (100 * c("n_repeat_words") > 20 * c("n_words"), 100 * c("n_repeat_words") <= 2 * c("n_words")),
         "symbols": (10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words")),
-        "lines": (10 * c("n_dup_lines") > 3 * c("n_lines"), c("n_dup_lines") == 0),
+        "lines": (2 * c("n_dup_lines") > c("n_lines"), c("n_dup_lines") == 0),
         "word_length": ((2 * c("word_chars") < 5 * c("n_words")) | (c("word_chars") > 12 * c("n_words")),
                         c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
         "capitals": (2 * c("n_upper") > c("n_letters"), 5 * c("n_upper") <= c("n_letters")),
-        "plain_words": (10 * c("n_plain_words") < 8 * c("n_words"), 100 * c("n_plain_words") >= 95 * c("n_words")),
+        "plain_words": (10 * c("n_plain_words") < 7 * c("n_words"), 100 * c("n_plain_words") >= 95 * c("n_words")),
         "variety": (c("n_words") > 10 * c("n_distinct_words"), c("n_words") <= 4 * c("n_distinct_words")),
     }
 
