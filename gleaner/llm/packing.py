@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.grams import text_buffers
-from gleaner.session import Steps, materialize
+from gleaner.session import Steps
 
 CACHED_WORDS = 300_000  # distinct words after which a task's memory moves to the older half
 MERGED_AT_ONCE = 4096  # open windows merged in one group
+BROADCAST_WINDOWS = 500_000  # up to so many merged windows, of 24 bytes each, are broadcast
 END = np.array([1], "<u4").tobytes()
 
 
@@ -179,15 +180,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, most_open: int = 6
     the vocabulary file, the same on every machine.  Needs the columns doc_id and text.
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, ids array<int>"
-    with Steps(docs.sparkSession, "pack") as steps:
-        pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(
-            _pack(tokenizer, window, most_open, with_ids), fields))
-        fills = pieces.groupBy("window").agg(F.sum("length").alias("fill")).filter(F.col("fill") < window)
-        fills = steps.keep(fills)
-        groups = fills.count() // MERGED_AT_ONCE + 1
-        merged = steps.keep(fills.groupBy(F.pmod(F.xxhash64("window"), F.lit(groups)).alias("g")).applyInPandas(
-            _merge(window), "old long, sequence_id long, moved long"))
-        placed = pieces.join(merged, F.col("window") == F.col("old"), "left")
-        return materialize(placed.select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.coalesce("sequence_id", "window").alias("sequence_id"),
-            (F.col("offset") + F.coalesce("moved", F.lit(0))).alias("offset"), *["ids"] * with_ids))
+    steps = Steps(docs.sparkSession, "pack")
+    pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, most_open, with_ids), fields))
+    fills = steps.keep(pieces.groupBy("window").agg(F.sum("length").alias("fill")).filter(F.col("fill") < window))
+    still_open = fills.count()
+    groups = still_open // MERGED_AT_ONCE + 1
+    merged = steps.keep(fills.groupBy(F.pmod(F.xxhash64("window"), F.lit(groups)).alias("g")).applyInPandas(
+        _merge(window), "old long, sequence_id long, moved long"))
+    if still_open <= BROADCAST_WINDOWS:
+        merged = F.broadcast(merged)
+    placed = pieces.join(merged, F.col("window") == F.col("old"), "left")
+    return placed.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.coalesce("sequence_id", "window").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("moved", F.lit(0))).alias("offset"), *["ids"] * with_ids)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import Steps, materialize
+from gleaner.session import Steps
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +55,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     from gleaner.llm.substring import remove_repeats
 
-    with Steps(spark, "stage") as steps:
-        rows = remove_repeats(docs, steps, length=35)
-        text = F.when(F.col("n_removed") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
-        chars = F.when(F.col("n_removed") == 0, F.col("doc.n_chars")).otherwise(
-            F.length("kept_text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
-        changed = {"text": text, "n_chars": chars}
-        return materialize(rows.select(*[
-            (changed[c] if c in changed and changed[c] is not None else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]))
+    rows = remove_repeats(docs, Steps(spark, "stage"), length=35)
+    whole = F.col("n_removed") == 0
+    new = {"text": F.when(whole, F.col("doc.text")).otherwise(F.col("kept_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("doc.n_chars")).otherwise(
+            F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
