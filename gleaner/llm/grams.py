@@ -99,21 +99,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a text column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    _, at, data = column.buffers()
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(at, np.int64)[column.offset:column.offset + len(column) + 1]
+    _, at, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(at, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return values[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, fold: bool = False, gaps: np.ndarray | None = None) -> Iterator[tuple[int, Slice]]:
+def slices(column: pa.Array, fold: bool = False, gaps: np.ndarray | None = None,
+           size: int = SLICE_BYTES) -> Iterator[tuple[int, Slice]]:
     """Consecutive slices of whole texts, each with its first row."""
     data, offsets = text_buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         part = offsets[row:end + 1]
         yield row, Slice(data[part[0]:part[-1]], part - part[0], fold, gaps)
         row = end

@@ -6,16 +6,18 @@ the bound is reached, the fullest open window is emitted.  The windows left open
 of the partitions are then merged by best fit, in groups of bounded size.
 
 Token ids come from runs of text between ASCII white space, which the tokenizer never joins,
-so each distinct run is encoded once and looked up from then on.
+so each distinct run is encoded once by a worker and looked up by its fingerprint from then on.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,38 +27,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.grams import text_buffers
+from gleaner.llm.grams import Slice, slices
 from gleaner.session import Steps
 
-CACHED_WORDS = 300_000  # distinct words after which a task's memory moves to the older half
+CACHED_WORDS = 600_000  # distinct words, of some 32 bytes each, after which a worker forgets what it doesn't need just then
+SLICE_BYTES = 3 << 19  # text whose distinct words are looked up together
 MERGED_AT_ONCE = 4096  # open windows merged in one group
 BROADCAST_WINDOWS = 500_000  # up to so many merged windows, of 24 bytes each, are broadcast
-END = np.array([1], "<u4").tobytes()
+END = 1
 
 
 class Encoder:
-    """Token ids of UTF-8 texts as little-endian 32-bit bytes, with the end id appended.
+    """Token ids of whole texts, each with the end id appended.
 
     The tokenizer's own normaliser and splitter spend most of its time on keeping track of
     character offsets.  Both steps are done here on distinct words instead, by the rules in
     the vocabulary file, and its model gets what comes out: letters of the byte alphabet,
-    blanks between words.  Every word's last id, and no other, stands for an end of word.
+    blanks between words; special tokens in a text are ordinary text.  Every token's last id, and no other, stands for an end of word.
+    What words are known lies in arrays, sorted by the words' fingerprints.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
-        spec = json.loads(self.exact.to_str())
+        spec = json.loads(Path(path).read_text())
         model, names = spec["model"], [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if names != ["NFC", "Replace", "Lowercase"] or not split["invert"] or not model["end_of_word_suffix"]:
             raise ValueError(f"{path} is not a lower-case vocabulary with word ends")
         self.pattern = regex.compile("\n|" + split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.model = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"]))
-        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(spec | bare))
         self.final = np.zeros(1 + max(model["vocab"].values()), bool)
         self.final[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet shows as they are
@@ -64,8 +65,8 @@ class Encoder:
         self.alphabet[shown] = shown
         self.alphabet[[b for b in range(256) if b not in shown]] = 256 + np.arange(256 - len(shown))
         self.alphabet[[10, 32]] = 32
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.prints, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")  # ids of the known words, one after the other
 
     def split(self, words: list[bytes]) -> tuple[str, list[int]]:
         """The words' tokens with a blank between any two, and how many each word has."""
@@ -76,27 +77,68 @@ class Encoder:
         counts = [len(part.split(" ")) - 2 for part in f" {text} ".split("\n")]
         return text, counts
 
-    def learn(self, words: set[bytes]) -> None:
-        """Have the ids of these words; of earlier ones, those used lately stay known."""
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        new = words.difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = list(new.difference(again))
-        for low in range(0, len(new), 1024):
-            part = new[low:low + 1024]
-            joined, counts = self.split(part)
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        flat, lengths = [], []
+        for low in range(0, len(words), 1024):
+            joined, counts = self.split(words[low:low + 1024])
             if not joined.isascii():
                 joined = self.alphabet[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
-            ids = np.array(self.model.encode(joined, add_special_tokens=False).ids, "<u4")
-            ends = np.r_[0, 1 + np.flatnonzero(self.final[ids])][np.cumsum([0, *counts])] * 4
-            data = ids.tobytes()
-            self.known.update((w, data[a:b]) for w, a, b in zip(part, ends, ends[1:], strict=False))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        """Of one text's words; all of them must have been learned."""
-        return b"".join(map(self.known.__getitem__, words)) + END
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.r_[0, 1 + np.flatnonzero(self.final[ids])][np.cumsum([0, *counts])]
+            flat.append(ids)
+            lengths.append(np.diff(ends))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def learn(self, part: Slice, prints: np.ndarray, first: np.ndarray) -> None:
+        """Have the ids of the slice's distinct words, given by fingerprint and one place of each."""
+        if len(self.prints) > CACHED_WORDS:
+            mine = np.flatnonzero(np.isin(self.prints, prints, assume_unique=True))
+            self.flat = self.flat[spread(self.starts[mine], self.lengths[mine])]
+            self.prints, self.lengths = self.prints[mine], self.lengths[mine]
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        at = np.searchsorted(self.prints, prints)
+        new = np.ones(len(prints), bool)
+        inside = at < len(self.prints)
+        new[inside] = self.prints[at[inside]] != prints[inside]
+        if new.any():
+            data = part.data.tobytes()
+            words = [data[a:b] for a, b in zip(part.starts[first[new]].tolist(), part.ends[first[new]].tolist(), strict=True)]
+            flat, lengths = self.encode(words)
+            self.prints = np.insert(self.prints, at[new], prints[new])
+            self.starts = np.insert(self.starts, at[new], len(self.flat) + np.cumsum(lengths) - lengths)
+            self.lengths = np.insert(self.lengths, at[new], lengths)
+            self.flat = np.concatenate([self.flat, flat])
+
+    def ids(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slice's texts, and where each text's begin and end."""
+        prints, first, place = np.unique(part.hashes, return_index=True, return_inverse=True)
+        self.learn(part, prints, first)
+        known = np.searchsorted(self.prints, prints)
+        # after its words each text has the end id, which is kept as one more word
+        starts = np.r_[self.starts[known], len(self.flat)]
+        lengths = np.r_[self.lengths[known], 1]
+        order = np.insert(place, part.first[1:], len(prints))
+        counts = np.r_[0, np.cumsum(lengths[order])]
+        out = np.r_[self.flat, np.array([END], "<u4")][spread(starts[order], lengths[order])]
+        return out, counts[part.first + np.arange(len(part) + 1)]
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all the runs (start, length), one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: later tasks of the worker find it with the words it knows.
+
+    It hangs on a module of the interpreter, since this one comes to the worker anew with each task.
+    """
+    kept = sys.__dict__.setdefault("_gleaner_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class Packer:
@@ -128,30 +170,24 @@ COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "window", "offset", "id
 
 def _pack(path: str, window: int, most_open: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(window, most_open, TaskContext.get().partitionId() << 32)
+        coder, packer = encoder(path), Packer(window, most_open, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            row = 0
-            while row < len(offsets) - 1:
-                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (4 << 20), "right")) - 1)
-                texts = [data[a:b].tobytes().split() for a, b in zip(offsets[row:end], offsets[row + 1:end + 1], strict=True)]
-                encoder.learn(set().union(*texts))
+            for row, part in slices(batch.column(1), size=SLICE_BYTES):
+                ids, ends = coder.ids(part)
                 rows, out = [], {c: [] for c in COLUMNS}
-                for i, words in enumerate(texts, row):
-                    ids = encoder.ids(words)
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        piece = ids[4 * start:4 * (start + window)]
-                        number, offset = packer.place(len(piece) // 4)
-                        rows.append(i)
-                        values = (start, len(piece) // 4, zlib.crc32(piece), total, number, offset,
-                                  np.frombuffer(piece, "<u4").astype(np.int32) if with_ids else None)
+                for i in range(len(part)):
+                    mine = ids[ends[i]:ends[i + 1]]
+                    for start in range(0, len(mine), window):
+                        piece = mine[start:start + window]
+                        number, offset = packer.place(len(piece))
+                        rows.append(row + i)
+                        values = (start, len(piece), zlib.crc32(piece.tobytes()), len(mine), number, offset,
+                                  piece.astype(np.int32) if with_ids else None)
                         for c, v in zip(COLUMNS, values, strict=True):
                             out[c].append(v)
                 types = [pa.int64()] * 6 + [pa.list_(pa.int32())]
                 arrays = [pa.array(out[c], t) for c, t in zip(COLUMNS, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *arrays], names=["doc_id", *COLUMNS])
-                row = end
     return run
 
 
