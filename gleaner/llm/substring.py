@@ -128,13 +128,14 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("doc"))
     seeds = keyed.select("key", "doc.text").mapInArrow(
         _seeds(length, SEED), "anchor long, context long, key long, first int, count int")
-    common = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written by themselves, the keys below are shuffled for their joins alone, which lets Spark split a hot anchor's rows.
+    common = steps.keep(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     met = steps.keep(seeds.join(common, "anchor"))
     contexts = steps.keep(met.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one")))
     whole = met.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select(
         "key", "first", "count")
-    mixed = contexts.groupBy("anchor").count().filter("count > 1").select("anchor")
+    mixed = steps.keep(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"))
     probes = contexts.join(mixed, "anchor").groupBy(F.col("one.key").alias("probe_key")).agg(F.collect_list(F.struct(
         "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
     # Both uses of the texts take the same columns, so that Spark deals the texts out once.
