@@ -1,0 +1,126 @@
+"""The pipeline's stages, each against brute force on what the stage before it kept."""
+
+import re
+import sys
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.llm import stages
+from gleaner.llm.decontaminate import tile, tokens
+from gleaner.llm.quality import score_quality
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_dedup import WORD, cut_by_hand, groups  # noqa: E402
+from test_shards_packs import exact  # noqa: E402
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs"))
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(path + "/d")
+    return spark.read.parquet(path + "/d")
+
+
+def as_rows(frame):
+    return sorted((r["doc_id"], r["text"]) for r in frame.collect())
+
+
+def test_quality_stage(spark, docs, folder):
+    good = stages.keep_good(spark, docs, folder)
+    assert good.columns == COLUMNS
+    scores = score_quality(docs, spark.read.parquet(f"{folder}/labels.parquet")).filter("score >= 0.3")
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(r["doc_id"] for r in scores.collect())
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").join(docs, "doc_id")
+    assert labels.join(good, "doc_id", "left_anti").count() <= 0.03 * labels.count()
+
+
+def test_near_duplicate_stage(spark, docs, folder):
+    left = stages.one_of_each(spark, docs, folder)
+    assert left.columns == COLUMNS
+    rows = as_rows(docs)
+    assert as_rows(left) == [r for r, (doc, _, least) in zip(rows, sorted(groups(rows, 5, 80)), strict=True) if doc == least]
+
+
+def test_one_of_repeated_rows_stays(spark, frame, folder):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(3, text), (3, text), (4, text + " more"), (5, "x y"), (None, text), (6, ""), (6, ""), (7, None)]
+    left = stages.one_of_each(spark, frame(rows), folder)
+    assert sorted(as_rows_with_nulls(left), key=str) == sorted([(3, text), (5, "x y"), (6, ""), (6, ""), (7, None)], key=str)
+
+
+def as_rows_with_nulls(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+def test_substring_stage(spark, docs, folder):
+    rows = as_rows(docs)
+    left = stages.without_repeats(spark, docs, folder)
+    assert left.columns == COLUMNS
+    got = {r["doc_id"]: r for r in left.collect()}
+    for (doc, text), (_, _, removed, kept) in zip(rows, sorted(cut_by_hand(rows, 35)), strict=True):
+        assert " ".join(WORD.findall(got[doc]["text"])) == kept
+        assert got[doc]["n_chars"] == len(got[doc]["text"])
+        if not removed:
+            assert got[doc]["text"] == text
+
+
+def test_leak_stage(spark, docs, folder):
+    """Every document against every item, without an index."""
+    def words(frame, key):
+        rows = frame.orderBy(key).collect()
+        return {rows[row + i][key]: part.words(i).copy() for row, part in tokens(pa.array([r["text"] for r in rows])) for i in range(len(part))}
+
+    items = [w for w in words(spark.read.parquet(f"{folder}/benchmark.parquet"), "item_id").values() if len(w) >= 5]
+    leaky = set()
+    for doc, text in words(docs, "doc_id").items():
+        here = set(text.tolist())
+        for item in items:
+            if np.mean([w in here for w in item.tolist()]) >= 0.5 and sum(n for *_, n in tile(item, text, 5)) >= 0.5 * len(item):
+                leaky.add(doc)
+    left = stages.without_leaks(spark, docs, folder)
+    assert leaky and left.columns == COLUMNS
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in leaky)
+
+
+def test_packing_stage(spark, docs, folder):
+    some = docs.filter("doc_id % 10 = 0")
+    pieces = {}
+    for r in stages.packed(spark, some, folder).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    for r in some.collect():
+        assert [i for _, ids in sorted(pieces[r["doc_id"]]) for i in ids] == exact(r["text"])
+
+
+@pytest.mark.parametrize("stage", ["keep_good", "one_of_each", "without_repeats", "without_leaks", "packed"])
+def test_stages_of_odd_rows(spark, odd, folder, stage):
+    run = getattr(stages, stage)
+    out = run(spark, odd, folder)
+    assert out.count() > 0
+    if stage != "packed":
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+        rows = {(r["doc_id"], r["row"], r["key"], r["doc"], r["found"]) for r in out.collect()}
+        assert rows <= {(r["doc_id"], "r", 7, "d", 1) for r in odd.collect()}
+    assert run(spark, odd.limit(0), folder).count() == 0
+
+
+def test_whole_pipeline(spark, folder):
+    import corpus_pipeline
+
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "packing"]
+    assert corpus_pipeline.ORACLE_SQL is None
+    rows = corpus_pipeline.run(spark, folder)
+    assert rows.count() > 100 and rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_registered_queries():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert [n for n in (f"op{k}_" for k in range(1, 11)) if not any(q.startswith(n) for q in names)] == []
+    assert "pipeline" in names and all(re.match(r"op(4|7|10)_", q) for q in entry.oracle_sql() if q.startswith("op"))
