@@ -26,6 +26,13 @@ def test_query_equals_sql(spark, folder, database, name):
     assert left.equals(right)
 
 
+def test_order_of_sorted_queries(spark, folder, database):
+    got = [r["seq"] for r in QUERIES["sort_recent"](spark, folder).collect()]
+    assert got == [r[0] for r in database.execute(SQL["sort_recent"]).fetchall()]
+    both = [(r["source_rank"], r["seq"]) for r in QUERIES["ordered_union"](spark, folder).collect()]
+    assert both == sorted(both) and len({rank for rank, _ in both}) == 2
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
