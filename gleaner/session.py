@@ -67,6 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+WIDE_BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch, for rows that carry whole texts.
+
+    At Spark's default of 10,000 a batch of long texts takes hundreds of megabytes on both sides
+    of the Python boundary.  A value that the session sets itself is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(WIDE_BATCH_ROWS))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing the rows to the shared folder and reading them back.
 
