@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
-from gleaner.session import Steps, materialize
+from gleaner.session import Steps, materialize, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -81,17 +81,17 @@ def _rules() -> dict[str, tuple[Column, Column]]:
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each pattern, vote rates [class, rule, vote] and the share of good.
+    """Posterior of good for each pattern, vote rates [class, rule, bad or good] and the share of good.
 
-    patterns hold -1, 0 or 1 by rule.  Rates start at a belief that rules are right more often
-    than not and keep a few pseudo-votes of it; a rule's votes never come to speak for the
-    opposite class.
+    patterns hold -1, 0 or 1 by rule; where a rule abstains it says nothing.  Rates start at
+    a belief that rules are right more often than not and keep a few pseudo-votes of it; a
+    rule's votes never come to speak for the opposite class.
     """
-    belief = np.array([[0.30, 0.20, 0.50], [0.02, 0.18, 0.80]])  # bad, abstain, good on bad and on good texts
+    belief = np.array([[0.40, 0.60], [0.02, 0.98]])  # votes bad and good on bad and on good texts
     rules = patterns.shape[1]
     rates = np.repeat(belief[:, None, :], rules, axis=1)
     share = 0.8
-    hot = patterns[:, :, None] == np.array([-1, 0, 1])
+    hot = patterns[:, :, None] == np.array([-1, 1])
     good = np.full(len(patterns), share)
     for _ in range(rounds):
         log = np.stack([(hot * np.log(rates[k])).sum((1, 2)) for k in (0, 1)])
@@ -103,7 +103,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tu
         weight = np.stack([counts * (1 - good), counts * good])
         rates = np.einsum("cp,prv->crv", weight, hot) + 20 * belief[:, None, :]
         rates /= rates.sum(2, keepdims=True)
-        for vote, side in ((0, 1), (2, 0)):  # a bad vote is at least as frequent on bad texts, a good one on good texts
+        for vote, side in ((0, 1), (1, 0)):  # a bad vote is at least as frequent on bad texts, a good one on good texts
             rates[side, :, vote] = np.minimum(rates[side, :, vote], rates[1 - side, :, vote])
         rates /= rates.sum(2, keepdims=True)
         share = float(np.clip((weight[1].sum() + 16) / (weight.sum() + 20), 0.02, 0.98))
@@ -119,6 +119,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     one: no words, so base_failed.  Repeated rows and null ids are judged like other rows; an
     empty table gives an empty result.  Needs the columns doc_id and text.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     fields = ", ".join(f"{c} long" for c in ["doc_id", *MEASURES])
     vote = [F.when(bad, "-").when(good, "+").otherwise("0") for bad, good in _rules().values()]
