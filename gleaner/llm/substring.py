@@ -133,8 +133,9 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     met = steps.keep(seeds.join(common, "anchor"))
     contexts = steps.keep(met.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one")))
-    whole = met.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"]).select(
-        "key", "first", "count")
+    # Every stretch gets its context's count; those of lone contexts say nothing.
+    whole = met.join(contexts.select("anchor", "context", "n"), ["anchor", "context"]).select(
+        "key", F.when(F.col("n") > 1, F.struct("first", "count")).alias("repeat"))
     mixed = steps.keep(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"))
     probes = contexts.join(mixed, "anchor").groupBy(F.col("one.key").alias("probe_key")).agg(F.collect_list(F.struct(
         "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
@@ -143,9 +144,10 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     windows = dealt.join(probes, F.col("key") == F.col("probe_key")).select("key", "doc", "probes").mapInArrow(
         _windows(length), "window long, key long, first int, lone boolean")
     shared = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    edges = windows.filter("lone").join(shared, "window").select("key", "first", F.lit(1).alias("count"))
+    edges = windows.filter("lone").join(shared, "window").select(
+        "key", F.struct("first", F.lit(1).alias("count")).alias("repeat"))
     repeats = whole.union(edges).groupBy(F.col("key").alias("repeat_key")).agg(
-        F.collect_list(F.struct("first", "count")).alias("repeats"))
+        F.collect_list("repeat").alias("repeats"))
     out = dealt.join(repeats, F.col("key") == F.col("repeat_key"), "left").select("doc", "repeats")
     schema = out.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                         F.lit("").alias("kept_text")).schema
