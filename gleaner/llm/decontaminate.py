@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import grams
 from gleaner.llm.toxicity import GAPS
+from gleaner.session import small_batches
 
 U = np.uint64
 MIN_MATCH = 5
@@ -159,6 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
     their own entry, and a null doc_id or item_id is carried along.  Needs the columns text
     of docs, item_id and text of benchmark; other columns, of whatever name, stay in doc.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.array().cast(LEAK).alias("leaks"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleaner.llm.html_pages import Block, Pages, blocks
+from gleaner.session import small_batches
 
 BITS = 16
 TRAIN_PAGES = 2500  # labelled pages made for training; a bound that no input changes
@@ -181,6 +182,7 @@ def main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
     and a page without content blocks, has an empty text.  Repeated rows and null ids or urls
     pass like others.  Needs the columns page_id, url and html.
     """
+    small_batches(pages.sparkSession)
     field = field or trained()
     at = np.flatnonzero(field.weights.any(1))
     model = pages.sparkSession.sparkContext.broadcast((at, field.weights[at], field.steps, field.ends))

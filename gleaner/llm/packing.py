@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.grams import Slice, slices
-from gleaner.session import Steps
+from gleaner.session import Steps, small_batches
 
 CACHED_WORDS = 600_000  # distinct words, of some 32 bytes each, after which a worker forgets what it doesn't need just then
 SLICE_BYTES = 3 << 19  # text whose distinct words are looked up together
@@ -215,6 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, most_open: int = 6
     that repeat a doc_id, or have none, are packed like others.  `tokenizer` is the path of
     the vocabulary file, the same on every machine.  Needs the columns doc_id and text.
     """
+    small_batches(docs.sparkSession)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, ids array<int>"
     steps = Steps(docs.sparkSession, "pack")
     pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, most_open, with_ids), fields))

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.llm import grams
 from gleaner.llm.labelled import in_fold, sample
+from gleaner.session import small_batches
 
 U = np.uint64
 BITS, SIZE = 17, 8
@@ -71,10 +74,12 @@ def train(texts: pa.Table, epochs: int = 6, rate: float = 0.5) -> np.ndarray:
 
 
 def _score(model) -> object:
+    """Scores of the last column's texts, or of the field text where the only column is a struct."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.value
         for batch in batches:
-            data, offsets = grams.text_buffers(batch.column(1))
+            last = batch.column(batch.num_columns - 1)
+            data, offsets = grams.text_buffers(pc.struct_field(last, "text") if batch.num_columns == 1 else last)
             odds = np.array([weights[features(data[a:b].tobytes())].mean(dtype=float)
                              for a, b in zip(offsets, offsets[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-odds)))], names=["key", "score"])
@@ -83,15 +88,17 @@ def _score(model) -> object:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str, folds: int = 5, held: int = 0,
                    train_rows: int = 4_000) -> DataFrame:
-    """Rows (key, score) for every document, key being any column of docs.
+    """Rows (key, score) for every document; key is a column of docs, or a struct of the document with its text.
 
     Trained on at most `train_rows` rows of labels (doc_id, quality) outside the held-out
     fold, the one documented bound; every document is scored by its whole text.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(sample(docs, labels, "quality", folds, held, train_rows)))
     schema = docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).schema
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(_score(model), schema)
+    rows = docs.select(F.col(key).alias("key"), *["text"] * (not isinstance(docs.schema[key].dataType, StructType)))
+    return rows.mapInArrow(_score(model), schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
-from gleaner.session import Steps
+from gleaner.session import Steps, small_batches
 
 SEED = 8
 
@@ -124,6 +124,7 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
 
     The rows are not written yet: they read the tables that `steps` keeps until it ends.
     """
+    small_batches(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("doc"))
     seeds = keyed.select("key", "doc.text").mapInArrow(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import grams
 from gleaner.llm.labelled import in_fold, sample
+from gleaner.session import small_batches
 
 U = np.uint64
 BITS = 20
@@ -96,6 +97,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     text gets the score of the bias alone.  Null ids are in no fold and repeated rows score
     alike.  Without any label every score is one half.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(sample(docs, labels, "toxic", folds, held, train_rows)))
     scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
