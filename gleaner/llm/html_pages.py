@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape, unescape
@@ -21,6 +22,8 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt",
           "option": ("option", "select datalist"), "body": ("head", "html")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
+DEPTH = 60  # elements above a block that are looked at, from the nearest on
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
@@ -50,6 +53,7 @@ def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order: runs of text between block-level tags, references decoded."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     hidden = links = linked = 0
     parts: list[str] = []
     at, size, lower = 0, len(html), None
@@ -57,9 +61,9 @@ def blocks(html: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(e for e in stack if e[0] in BLOCKS), text, linked))
+                out.append(Block(tuple(e for e in stack[-DEPTH:] if e[0] in BLOCKS), text, linked))
             parts.clear()
         linked = 0
 
@@ -68,13 +72,14 @@ def blocks(html: str) -> list[Block]:
         for name, _ in stack[k:]:
             hidden -= name in UNSEEN
             links -= name == "a"
+            opened[name] -= 1
         del stack[k:]
 
     while at < size:
         tag = TAG.search(html, at)
         until = tag.start() if tag else size
         if until > at and not hidden:
-            text = html[at:until]
+            text = unescape(html[at:until])
             parts.append(text)
             if links:
                 linked += len(text)
@@ -87,7 +92,7 @@ def blocks(html: str) -> list[Block]:
         if tag["end"]:
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     pop_to(k)
                     break
@@ -105,7 +110,7 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             closed, within = _CLOSES.get(name, (frozenset(("p",)), frozenset()))
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closed) else ():
                 if stack[k][0] in within or (not within and stack[k][0] in BLOCKS and stack[k][0] != "p"):
                     break
                 if stack[k][0] in closed:
@@ -119,6 +124,7 @@ def blocks(html: str) -> list[Block]:
         stack.append((name, names(tag["attrs"])))
         hidden += name in UNSEEN
         links += name == "a"
+        opened[name] += 1
     flush()
     return out
 

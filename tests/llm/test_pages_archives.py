@@ -38,6 +38,7 @@ def test_ancestors():
 
 def test_many_open_elements_and_odd_tags_end():
     assert texts("<div>" * 3000 + "x" + "</p>" * 3000) == ["x"]
+    assert texts("<div>x" * 20_000) == ["x"] * 20_000 and texts("</b>" * 20_000 + "&am<b>p;") == ["&amp;"]
     assert texts("<a '" * 3000) == [] and texts("<p " * 2000 + ">x")[-1:] == ["x"]
 
 
