@@ -64,7 +64,7 @@ class Ftrl:
 def train(texts: pa.Table, epochs: int = 10, **rates: float) -> tuple[np.ndarray, np.ndarray]:
     """Buckets with a weight, and the weights."""
     model = Ftrl(1 << BITS, **rates)
-    seen = [f for _, part in grams.slices(texts["text"], True, GAPS) for f in features(part)]
+    seen = [f.astype(np.int32) for _, part in grams.slices(texts["text"], True, GAPS) for f in features(part)]
     labels = texts["y"].to_pylist()
     order = np.random.default_rng(11)
     for _ in range(epochs):
