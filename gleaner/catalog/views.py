@@ -78,7 +78,8 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         .join(customers, c("c_custkey") == c("o_custkey"))
         .join(part, c("p_partkey") == c("part_slot"))
     )
-    rows = narrow.join(documents, c("doc_id") == c("doc_slot"))
+    # Both sides grow with the data, so they are always dealt out by the document: no plan that holds one of them whole.
+    rows = narrow.join(documents.hint("merge"), c("doc_id") == c("doc_slot"))
     board_url = F.concat(
         F.lit("https://jobs.example.com/view/"), F.replace("p_name", F.lit(" "), F.lit("-")),
         F.lit("-"), (c("o_custkey") + 100000).cast("string"),

@@ -53,14 +53,15 @@ def _chained(single: DataFrame, steps: Steps) -> DataFrame:
 
     Doubling: every round halves the number of steps left, so a chain of n rows takes log2(n).
     """
-    chain = steps.keep(single.select("rid", F.col("rival").alias("last"), F.lit(True).alias("odd")))
+    chain = single.select("rid", F.col("rival").alias("last"), F.lit(True).alias("odd"))
     while True:
         ahead = chain.select(F.col("rid").alias("last"), F.col("last").alias("next"), F.col("odd").alias("more"))
-        if chain.join(ahead, "last", "left_semi").isEmpty():
-            return chain
-        chain = steps.keep(chain.join(ahead, "last", "left").select(
+        moved = steps.keep(chain.join(ahead, "last", "left").select(
             "rid", F.coalesce("next", "last").alias("last"),
-            (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")))
+            (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved")))
+        chain = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return chain
 
 
 def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") -> DataFrame:
@@ -102,11 +103,9 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") ->
                 F.count("rival").alias("seconds")))
             first = state.filter("heads = width and seconds = 0").select("rid")
             single = state.filter("heads = width and seconds > 0 and rival = other")
-            winners = first
-            if not single.isEmpty():
-                # an even number of steps behind a kept row; the row one step behind it is dropped
-                winners = first.union(_chained(single, steps).filter("not odd").join(
-                    first.withColumnRenamed("rid", "last"), "last", "left_semi").select("rid"))
+            # an even number of steps behind a kept row; the row one step behind it is dropped
+            winners = first.union(_chained(single, steps).filter("not odd").join(
+                first.withColumnRenamed("rid", "last"), "last", "left_semi").select("rid"))
             winners = steps.keep(winners)
             kept = kept.union(winners)
             taken = left.join(winners, "rid", "left_semi").select("key")
