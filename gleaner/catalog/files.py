@@ -16,7 +16,7 @@ from gleaner.operators.search import search_stored
 from gleaner.plans.jobs import run_merge
 from gleaner.session import scratch_path
 from gleaner.sources.hits import read_hits
-from gleaner.sources.state import Snapshots, append_seen, load_seen
+from gleaner.sources.state import Snapshots, append_seen, append_seen_runs, load_seen
 from gleaner.sources.tables import BOARD_FILE_NAME, read_postings_csv, write_postings_csv
 
 
@@ -75,13 +75,23 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(CAST(ts AS DATE) AS VARCHA
 FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2)
   AND CAST(ts AS DATE) >= DATE '2024-01-29'""")
 def seen_state(spark, folder):
-    """Keys remembered by two runs on each of the last days, one of the runs repeated."""
-    path = scratch_path(spark, "seen")
-    events = table(spark, folder, "events").withColumn("day", F.to_date("ts").cast("string"))
-    runs = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    for day in ("2024-01-29", "2024-01-30"):
-        for run in [*runs, runs[0]]:
-            append_seen(events.filter((F.col("day") == day) & (F.col("event_type") == run)).select("user_id"), path, day, run)
+    """Keys remembered by a run per day and event type of the whole table, one of the runs repeated.
+
+    Every run is remembered and loaded; the answer is the part that the SQL asks for.
+    """
+    events, seen = table(spark, folder, "events"), remembered(spark, folder, scratch_path(spark, "seen"))
+    runs = events.select(F.col("event_type").alias("run")).distinct().orderBy(F.col("run").asc_nulls_last()).limit(2)
+    return seen.filter(F.col("day") >= "2024-01-29").join(F.broadcast(runs), "run", "left_semi").select("key", "day", "run")
+
+
+def remembered(spark, folder, path):
+    """The events' users by day and type, remembered under ``path`` and loaded; the first run is written twice."""
+    events = table(spark, folder, "events").select(
+        "user_id", F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("run"))
+    append_seen_runs(events, path)
+    first = events.filter("day IS NOT NULL AND run <> ''").agg(F.min(F.struct("day", "run")).alias("first")).first()["first"]
+    if first:
+        append_seen(events.filter((F.col("day") == first["day"]) & (F.col("run") == first["run"])), path, *first)
     return load_seen(spark, path)
 
 

@@ -41,6 +41,19 @@ def append_seen(keys: DataFrame, path: str, day: str, run: str) -> None:
     )
 
 
+def append_seen_runs(keys: DataFrame, path: str) -> None:
+    """Remember the non-empty keys of many runs in one write; the first column has the keys, ``day`` and ``run`` the runs.
+
+    Each run that has keys replaces what it wrote before; other runs stay as they are.
+    """
+    rows = keys.select(F.col(keys.columns[0]).cast("string").alias("key"), "day", "run")
+    (
+        rows.filter(F.col("key") != "").distinct()
+        .hint("rebalance", F.col("day"), F.col("run"))  # few files a run, and a large run in several tasks
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)
+    )
+
+
 class Snapshots:
     """Stored search results by key, each good for ``ttl_seconds`` after it was stored.
 
