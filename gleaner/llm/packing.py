@@ -43,11 +43,13 @@ class Encoder:
     The tokenizer's own normaliser and splitter spend most of its time on keeping track of
     character offsets.  Both steps are done here on distinct words instead, by the rules in
     the vocabulary file, and its model gets what comes out: letters of the byte alphabet,
-    blanks between words; special tokens in a text are ordinary text.  Every token's last id, and no other, stands for an end of word.
+    blanks between words.  Every token's last id, and no other, stands for an end of word.
+    Words that hold an added token of the file go to the tokenizer as it is, unless special
+    tokens are to be encoded as ordinary text.
     What words are known lies in arrays, sorted by the words' fingerprints.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         spec = json.loads(Path(path).read_text())
@@ -58,6 +60,12 @@ class Encoder:
         self.pattern = regex.compile("\n|" + split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
         bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(spec | bare))
+        added = [t for t in spec["added_tokens"] if not (encode_special_tokens and t["special"])]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"] or regex.search(r"\s", t["content"]) for t in added):
+            raise ValueError(f"{path} has added tokens that can't be found within a word")
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = encode_special_tokens
+        self.added = regex.compile(b"|".join(regex.escape(t["content"].encode()) for t in added)) if added else None
         self.final = np.zeros(1 + max(model["vocab"].values()), bool)
         self.final[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet shows as they are
@@ -79,7 +87,22 @@ class Encoder:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and how many each has."""
-        flat, lengths = [], []
+        if self.added is None or not self.added.search(b"\n".join(words)):
+            return self.encode_plain(words)
+        special = np.array([self.added.search(w) is not None for w in words])
+        plain, counts = self.encode_plain([w for w, s in zip(words, special.tolist(), strict=True) if not s])
+        found = [e.ids for e in self.whole.encode_batch_fast(
+            [w.decode() for w, s in zip(words, special.tolist(), strict=True) if s], add_special_tokens=False)]
+        lengths, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        lengths[~special], lengths[special] = counts, [len(i) for i in found]
+        starts[~special] = np.cumsum(counts) - counts
+        starts[special] = len(plain) + np.cumsum(lengths[special]) - lengths[special]
+        flat = np.concatenate([plain, *[np.array(i, "<u4") for i in found]])
+        return flat[spread(starts, lengths)], lengths
+
+    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without added tokens."""
+        flat, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for low in range(0, len(words), 1024):
             joined, counts = self.split(words[low:low + 1024])
             if not joined.isascii():
@@ -130,15 +153,16 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, encode_special_tokens: bool) -> Encoder:
     """The encoder of this Python worker: later tasks of the worker find it with the words it knows.
 
     It hangs on a module of the interpreter, since this one comes to the worker anew with each task.
     """
     kept = sys.__dict__.setdefault("_gleaner_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    key = (path, encode_special_tokens)
+    if key not in kept:
+        kept[key] = Encoder(*key)
+    return kept[key]
 
 
 class Packer:
@@ -168,9 +192,9 @@ class Packer:
 COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "window", "offset", "ids"]
 
 
-def _pack(path: str, window: int, most_open: int, with_ids: bool):
+def _pack(path: str, window: int, most_open: int, with_ids: bool, encode_special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(path), Packer(window, most_open, TaskContext.get().partitionId() << 32)
+        coder, packer = encoder(path, encode_special_tokens), Packer(window, most_open, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for row, part in slices(batch.column(1), size=SLICE_BYTES):
                 ids, ends = coder.ids(part)
@@ -206,19 +230,22 @@ def _merge(window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, most_open: int = 64, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, most_open: int = 64, with_ids: bool = True,
+         encode_special_tokens: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
 
     A document is the ids of its whole text and then id 1; a null or empty text is id 1
     alone.  Pieces are cut every `window` ids; start counts the document's ids before the
     piece, offset those of its sequence before it.  No sequence exceeds the window.  Rows
     that repeat a doc_id, or have none, are packed like others.  `tokenizer` is the path of
-    the vocabulary file, the same on every machine.  Needs the columns doc_id and text.
+    the vocabulary file, the same on every machine.  `encode_special_tokens` is the tokenizer's
+    switch of that name: special tokens in a text are ordinary text, or else their own ids.
+    Needs the columns doc_id and text.
     """
     small_batches(docs.sparkSession)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, ids array<int>"
     steps = Steps(docs.sparkSession, "pack")
-    pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, most_open, with_ids), fields))
+    pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, most_open, with_ids, encode_special_tokens), fields))
     fills = steps.keep(pieces.groupBy("window").agg(F.sum("length").alias("fill")).filter(F.col("fill") < window))
     still_open = fills.count()
     groups = still_open // MERGED_AT_ONCE + 1

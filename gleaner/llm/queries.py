@@ -90,7 +90,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from gleaner.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False,
+                encode_special_tokens=False)
 
 
 @register()
