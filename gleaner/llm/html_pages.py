@@ -14,7 +14,9 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
 search section summary table tbody td tfoot th thead tr ul""".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head select button svg math object audio video canvas datalist".split())
+UNSEEN = frozenset("head select button svg object audio video canvas datalist".split())
+# Start tags that leave an open head open; any other, and any text, is the start of the body.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # An element that a start tag closes if it is open within the given container.
 CLOSES = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "td": ("td th", "tr table"),
@@ -75,9 +77,17 @@ def blocks(html: str) -> list[Block]:
             opened[name] -= 1
         del stack[k:]
 
+    def close_head() -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "head":
+                pop_to(k)
+                break
+
     while at < size:
         tag = TAG.search(html, at)
         until = tag.start() if tag else size
+        if hidden and opened["head"] and html[at:until].strip(" \t\n\f\r"):
+            close_head()
         if until > at and not hidden:
             text = unescape(html[at:until])
             parts.append(text)
@@ -99,6 +109,8 @@ def blocks(html: str) -> list[Block]:
                 if name not in BLOCKS and name not in UNSEEN and stack[k][0] in BLOCKS:
                     break
             continue
+        if opened["head"] and name not in IN_HEAD:
+            close_head()
         if name in RAW:
             lower = lower or html.lower()
             end = lower.find("</" + name, at) if len(lower) == size else -1
@@ -119,7 +131,7 @@ def blocks(html: str) -> list[Block]:
                         break
         if name == "br":
             parts.append(" ")
-        if name in EMPTY or tag["attrs"].endswith("/") and name not in BLOCKS:
+        if name in EMPTY or name == "head" and opened[name] or tag["attrs"].endswith("/") and name not in BLOCKS:
             continue
         stack.append((name, names(tag["attrs"])))
         hidden += name in UNSEEN
