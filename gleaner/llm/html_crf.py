@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.html_pages import Block, Pages, blocks
+from gleaner.llm.html_pages import Above, Block, Pages, blocks
 from gleaner.session import small_batches
 
 BITS = 16
@@ -43,6 +43,12 @@ def path_features(path: tuple) -> list[str]:
     return sorted(set(out))
 
 
+def above_features(entry: tuple) -> list[str]:
+    """What an ancestor adds that is too far up for the path."""
+    tag, names = entry
+    return [f"in {tag}", *(f"name {n}" for n in names)]
+
+
 def text_features(block: Block, place: float) -> list[str]:
     text = block.text
     words = text.split()
@@ -58,8 +64,8 @@ def text_features(block: Block, place: float) -> list[str]:
 
 
 def beside(found: list[Block], i: int, alike: Counter) -> list[str]:
-    path = found[i].path
-    return [f"alike {min(alike[path], 3)}", f"before same {i > 0 and found[i - 1].path == path}", f"after same {i + 1 < len(found) and found[i + 1].path == path}"]
+    place = found[i].place
+    return [f"alike {min(alike[place], 3)}", f"before same {i > 0 and found[i - 1].place == place}", f"after same {i + 1 < len(found) and found[i + 1].place == place}"]
 
 
 class Field:
@@ -74,10 +80,13 @@ class Field:
     @staticmethod
     def features(found: list[Block], drop: np.random.Generator) -> list[np.ndarray]:
         """For training: now and then without a block's own text or its ancestors' names, so that neither is all that counts."""
-        out, alike = [], Counter(b.path for b in found)
+        out, alike = [], Counter(b.place for b in found)
         for i, b in enumerate(found):
             path = tuple((tag, () if drop.random() < 0.15 else names) for tag, names in b.path)
-            names = path_features(path)
+            names, above = path_features(path), b.above
+            while above:
+                names += above_features(above.entry)
+                above = above.parent
             if drop.random() < 0.8:
                 names += text_features(b, i / len(found))
             names += beside(found, i, alike)
@@ -86,7 +95,7 @@ class Field:
 
     def scores(self, found: list[Block]) -> np.ndarray:
         """Label scores of each block, as features() and the weights give them; paths are remembered."""
-        out, alike = np.zeros((len(found), 2)), Counter(b.path for b in found)
+        out, alike = np.zeros((len(found), 2)), Counter(b.place for b in found)
         for i, b in enumerate(found):
             names = text_features(b, i / len(found)) + beside(found, i, alike)
             part = self.known.get(b.path)
@@ -94,9 +103,23 @@ class Field:
                 if len(self.known) > 50_000:
                     self.known.clear()
                 part = self.known[b.path] = np.unique([_bucket(n) for n in path_features(b.path)])
+            if b.above:
+                part = np.union1d(part, self.far(b.above))
             out[i] = self.weights[np.union1d(part, [_bucket(n) for n in names])].sum(0)
         return out
 
+    def far(self, above: Above) -> np.ndarray:
+        """Features with a weight that the ancestors of a chain have; those that add none share one array."""
+        todo, node = [], above
+        while node and node.buckets is None:
+            todo.append(node)
+            node = node.parent
+        have = node.buckets if node else np.zeros(0, np.int64)
+        for node in reversed(todo):
+            own = np.unique([k for k in map(_bucket, above_features(node.entry)) if self.weights[k].any()]).astype(np.int64)
+            node.buckets = have = have if np.isin(own, have).all() else np.union1d(have, own)
+        return have
+
     def marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of labels and of neighbouring labels, by forward and backward sums."""
         n = len(scores)

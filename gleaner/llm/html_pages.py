@@ -24,7 +24,7 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt",
           "option": ("option", "select datalist"), "body": ("head", "html")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-DEPTH = 60  # elements above a block that are looked at, from the nearest on
+DEPTH = 60  # block-level elements that a path holds, from the nearest on; those above are in a chain that blocks share
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -33,6 +33,15 @@ ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class Above:
+    """An ancestor too far up for a path, and those above it; a page has one for each sequence of ancestors."""
+
+    __slots__ = ("buckets", "entry", "parent")
+
+    def __init__(self, parent: Above | None, entry: tuple[str, tuple[str, ...]]):
+        self.parent, self.entry, self.buckets = parent, entry, None
+
+
 @dataclass
 class Block:
     """Text of a leaf block, the ancestors (tag, names) above it, and how much of the text is in links."""
@@ -41,6 +50,12 @@ class Block:
     text: str
     linked: int = 0
     parts: list = field(default_factory=list)
+    above: Above | None = None  # ancestors before those of the path
+
+    @property
+    def place(self) -> tuple:
+        """Equal for blocks of a page that have equal ancestors."""
+        return self.path, self.above
 
 
 def names(attrs: str) -> tuple[str, ...]:
@@ -55,6 +70,9 @@ def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order: runs of text between block-level tags, references decoded."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    held: list[tuple[str, tuple[str, ...]]] = []  # the stack's block-level elements
+    chain: list[Above] = []  # for each of them but the nearest DEPTH
+    known: dict[tuple, Above] = {}
     opened: Counter[str] = Counter()
     hidden = links = linked = 0
     parts: list[str] = []
@@ -65,7 +83,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(e for e in stack[-DEPTH:] if e[0] in BLOCKS), text, linked))
+                out.append(Block(tuple(held[-DEPTH:]), text, linked, above=chain[-1] if chain else None))
             parts.clear()
         linked = 0
 
@@ -75,7 +93,9 @@ def blocks(html: str) -> list[Block]:
             hidden -= name in UNSEEN
             links -= name == "a"
             opened[name] -= 1
-        del stack[k:]
+            if name in BLOCKS:
+                held.pop()
+        del stack[k:], chain[max(0, len(held) - DEPTH):]
 
     def close_head() -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -134,6 +154,11 @@ def blocks(html: str) -> list[Block]:
         if name in EMPTY or name == "head" and opened[name] or tag["attrs"].endswith("/") and name not in BLOCKS:
             continue
         stack.append((name, names(tag["attrs"])))
+        if name in BLOCKS:
+            held.append(stack[-1])
+            if len(held) > DEPTH:
+                key = (chain[-1] if chain else None, held[-DEPTH - 1])
+                chain.append(known.setdefault(key, Above(*key)))
         hidden += name in UNSEEN
         links += name == "a"
         opened[name] += 1
