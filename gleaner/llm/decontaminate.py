@@ -29,12 +29,21 @@ from gleaner.session import small_batches
 U = np.uint64
 MIN_MATCH = 5
 BLOCK_TOKENS = 1_000_000
+# Scripts written without spaces, each character of which is a token, and what beyond ASCII stands between tokens.
+ALONE = "[" + "".join(rf"\p{{{script}}}" for script in (
+    "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tai_Le New_Tai_Lue Tai_Tham Javanese Balinese".split())) + r"\x{30FC}\x{FF70}]"
+BETWEEN = r"[^\x00-\x7F\p{L}\p{M}\p{N}]"
 LEAK = "array<struct<item_id: long, item_tokens: int, covered_tokens: int, tiles: int, longest: int, coverage: double>>"
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, grams.Slice]]:
-    """Lower-case runs of letters and digits."""
-    return grams.slices(pc.utf8_lower(column.cast(pa.large_string())), False, GAPS)
+    """Lower-case runs of letters, their marks, and digits; single characters in scripts written without spaces."""
+    texts = pc.utf8_lower(column.cast(pa.large_string()))
+    odd = pc.fill_null(pc.match_substring_regex(texts, f"{BETWEEN}|{ALONE}"), False)
+    if pc.any(odd).as_py():
+        parted = pc.replace_substring_regex(pc.replace_substring_regex(texts.filter(odd), f"{BETWEEN}+", " "), f"({ALONE})", r" \1 ")
+        texts = pc.replace_with_mask(texts, odd, parted)
+    return grams.slices(texts, False, GAPS)
 
 
 def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -155,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
 
     leaks lists the items of which tiles of at least `least` tokens cover `share` or more:
     item_id, item_tokens, covered_tokens, tiles, longest, coverage.  Tokens are lower-case
-    runs of letters and digits.  Null and empty texts have no leaks; items of fewer than
+    runs of letters and digits, or single characters where a script has no spaces.  Null and empty texts have no leaks; items of fewer than
     `least` tokens, or without text, match nothing.  Repeated documents and items each get
     their own entry, and a null doc_id or item_id is carried along.  Needs the columns text
     of docs, item_id and text of benchmark; other columns, of whatever name, stay in doc.
