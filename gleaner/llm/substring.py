@@ -125,7 +125,6 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     The rows are not written yet: they read the tables that `steps` keeps until it ends.
     """
     small_batches(docs.sparkSession)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("doc"))
     seeds = keyed.select("key", "doc.text").mapInArrow(
         _seeds(length, SEED), "anchor long, context long, key long, first int, count int")
@@ -140,16 +139,16 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     mixed = steps.keep(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"))
     probes = contexts.join(mixed, "anchor").groupBy(F.col("one.key").alias("probe_key")).agg(F.collect_list(F.struct(
         "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
-    # Both uses of the texts take the same columns, so that Spark deals the texts out once.
-    dealt = keyed.repartition(partitions, "key")
-    windows = dealt.join(probes, F.col("key") == F.col("probe_key")).select("key", "doc", "probes").mapInArrow(
+    # Both uses of the texts take the same columns, so that Spark deals the texts out once; dealt for the
+    # joins alone, the rows of a repeated key can be split.
+    windows = keyed.join(probes, F.col("key") == F.col("probe_key")).select("key", "doc", "probes").mapInArrow(
         _windows(length), "window long, key long, first int, lone boolean")
     shared = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     edges = windows.filter("lone").join(shared, "window").select(
         "key", F.struct("first", F.lit(1).alias("count")).alias("repeat"))
     repeats = whole.union(edges).groupBy(F.col("key").alias("repeat_key")).agg(
-        F.collect_list("repeat").alias("repeats"))
-    out = dealt.join(repeats, F.col("key") == F.col("repeat_key"), "left").select("doc", "repeats")
+        F.collect_set("repeat").alias("repeats"))  # rows with equal keys bring the same stretches
+    out = keyed.join(repeats, F.col("key") == F.col("repeat_key"), "left").select("doc", "repeats")
     schema = out.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                         F.lit("").alias("kept_text")).schema
     return out.mapInArrow(_cut(length), schema)
