@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
@@ -196,6 +196,26 @@ def _across(percent: int):
     return run
 
 
+def _offsets(room: DataFrame, steps: Steps) -> DataFrame:
+    """The sum of holds before each (family, root), about the largest first; from (family, root, holds, blocks).
+
+    Roots are dealt to as many buckets as the family has blocks, within powers of two of their
+    size.  Only the buckets' sums are added up in one task a family.
+    """
+    part = ["family", "power", "bucket"]
+
+    def before(name: str, order: Window) -> Column:
+        return F.coalesce(F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    room = steps.keep(room.select("family", "root", "holds", F.floor(F.log2("holds")).alias("power"),
+                                  F.pmod(F.xxhash64("root"), F.col("blocks")).alias("bucket")))
+    sums = room.groupBy(part).agg(F.sum("holds").alias("total"))
+    sums = sums.withColumn("start", before("total", Window.partitionBy("family").orderBy(F.desc("power"), "bucket")))
+    inner = before("holds", Window.partitionBy(part).orderBy(F.desc("holds"), "root"))
+    return room.withColumn("inner", inner).join(sums.drop("total"), part).select(
+        "family", "root", "holds", (F.col("start") + F.col("inner")).alias("before"))
+
+
 def _large_families(members: DataFrame, percent: int, steps: Steps) -> DataFrame:
     """Links within families that one task can't hold, from members (cid, family, blocks, elements)."""
     edge = "a long, b long"
@@ -215,9 +235,7 @@ def _large_families(members: DataFrame, percent: int, steps: Steps) -> DataFrame
         "cid", "family", "blocks", "elements", F.coalesce("root", "cid").alias("root")))
     # Connected members go to the same blocks, so that most pairs of blocks have nothing left to compare.
     weight = F.sum(F.size("elements") + GROUP_SHINGLES // GROUP_SETS).alias("holds")
-    order = Window.partitionBy("family").orderBy(F.desc("holds"), "root")
-    room = placed.groupBy("family", "root").agg(weight).withColumn("before", F.coalesce(
-        F.sum("holds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    room = _offsets(placed.groupBy("family", "root").agg(weight, F.max("blocks").alias("blocks")), steps)
     placed = placed.join(room, ["family", "root"]).withColumn("block", F.floor(
         (F.col("before") + F.pmod(F.xxhash64("cid"), F.col("holds"))) / F.lit(GROUP_SHINGLES)))
     placed = steps.keep(placed.select("cid", "family", "elements", "root", "block"))
