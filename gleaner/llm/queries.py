@@ -155,3 +155,61 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.llm.html_crf import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+def _dearer(weight: str, cost: str, letter: str) -> str:
+    """A path's text of twelve digits of cost and then its audit, one edit longer."""
+    return f"lpad((({weight})[1:12]::BIGINT + {cost})::VARCHAR, 12, '0') || ({weight})[13:] || '{letter}'"
+
+
+_GOOD = "f NOT IN ('blank', 'duplicate')"
+_KEPT = "CASE WHEN f = 'truncated' THEN 5 ELSE 0 END"
+
+
+@register(sql=rf"""
+WITH RECURSIVE bits AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+    lambda v, b: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) r(i))),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT raw.*, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind FROM raw, bits),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+  regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending, left(role, 1) AS s FROM damaged),
+faulty AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+  lag(s) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+paths(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000000', NULL::VARCHAR, '000000000005I', NULL::VARCHAR FROM conversations
+  UNION ALL
+  SELECT conv_id, i, w0, w1, least(w2, {_dearer("least(w0, w1, w3)", "5", "I")}), least(w3, {_dearer("w2", "5", "I")}) FROM (
+    SELECT p.conv_id, p.i + 1 AS i, {_dearer("w0", "2", "D")} AS w0,
+      least({_dearer("w1", "2", "D")}, CASE WHEN {_GOOD} AND s = 's' THEN {_dearer("w0", _KEPT, "K")} END) AS w1,
+      least({_dearer("w2", "2", "D")}, CASE WHEN {_GOOD} AND s = 'u' THEN {_dearer("least(w0, w1, w3)", _KEPT, "K")} END,
+        CASE WHEN {_GOOD} THEN {_dearer("least(w0, w1, w3)", f"1 + {_KEPT}", "R")} END) AS w2,
+      least({_dearer("w3", "2", "D")}, CASE WHEN {_GOOD} AND s = 'a' THEN {_dearer("w2", _KEPT, "K")} END,
+        CASE WHEN {_GOOD} THEN {_dearer("w2", f"1 + {_KEPT}", "R")} END) AS w3
+    FROM paths p JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)),
+best AS (SELECT conv_id, max_by(least(w0, w3), i) AS w FROM paths GROUP BY conv_id),
+edits AS (SELECT r.*, replace(w[13:], 'I', '')[r.i] AS edit FROM faulty r JOIN best b ON r.conv_id IS NOT DISTINCT FROM b.conv_id),
+roles AS (SELECT *, CASE WHEN edit <> 'R' THEN role WHEN coalesce(sum((edit <> 'D' AND NOT (edit = 'K' AND s = 's'))::INT) OVER (
+    PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 0
+    THEN 'user' ELSE 'assistant' END AS new_role FROM edits),
+stats AS (SELECT conv_id, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+  count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || s NOT IN ('su', 'ua', 'au')) AS illegal,
+  string_agg(new_role || ':' || text, chr(10) ORDER BY i) FILTER (edit <> 'D') AS repaired FROM roles GROUP BY conv_id)
+SELECT b.conv_id, coalesce(n_rows, 0)::BIGINT AS n_rows, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  w[1:12]::BIGINT AS cost, w[13:] AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM best b LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM b.conv_id
+""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.conversations import damage, find_repairs, repair_digests
+
+    rows = damage(table(spark, sf_dir, "conversations"))
+    with Steps(spark, "repairs") as steps:
+        return materialize(repair_digests(rows, steps.keep(find_repairs(rows))))

@@ -1,0 +1,142 @@
+"""Repair of conversations against an exhaustive search."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+
+from gleaner.llm import conversations as C
+
+COLUMNS = "conv_id long, turn long, role string, text string, lost_ string, audit string, place int, edit string"
+
+
+def cheapest(rows, costs, most):
+    """Least (cost, audit) over all edits of (fault, initial), with at most so many insertions."""
+    found = []
+
+    def go(i, state, left, cost, audit):
+        if i == len(rows) and state in "ea":
+            found.append((cost, audit))
+        for role in "ua":
+            if left and (state in "esa" if role == "u" else state == "u"):
+                go(i, role, left - 1, cost + costs.insert, audit + "I")
+        if i == len(rows):
+            return
+        fault, initial = rows[i]
+        go(i + 1, state, left, cost + costs.delete, audit + "D")
+        if fault in (C.BLANK, C.DUPLICATE):
+            return
+        extra = costs.truncated if fault else 0
+        for role in "sua":
+            if state == "e" if role == "s" else state in "esa" if role == "u" else state == "u":
+                if initial == role:
+                    go(i + 1, role, left, cost + extra, audit + "K")
+                if role != "s":
+                    go(i + 1, role, left, cost + extra + costs.rerole, audit + "R")
+
+    go(0, "e", most, 0, "")
+    return min(found)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+@pytest.mark.parametrize("costs", [C.Costs(), C.Costs(2, 3, 7, 1), C.Costs(insert=1), C.Costs(2, 2, 1, 3), C.Costs(1, 3, 2, 1)])
+def test_edits_are_the_cheapest(block, costs, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", block)
+    draw = random.Random(block)
+    dear = costs.insert > 2 * costs.delete
+    for _ in range(150):
+        rows = [(draw.choice([0, 0, 0, 1, 2, 3]), draw.choice(" suuaa")) for _ in range(draw.randint(0, 6 if dear else 4))]
+        repair = C.Repair(costs)
+        for fault, initial in rows:
+            repair.add(fault, " sua".index(initial))
+        assert repair.finish() == cheapest(rows, costs, 2 if dear else 5), rows
+
+
+def test_long_conversations_stay_linear():
+    repair = C.Repair(C.Costs())
+    for _ in range(100_001):  # an odd number of user rows: which one goes is known at the end only
+        repair.add(0, C.USER)
+    cost, audit = repair.finish()
+    assert cost == 2 + 50_000 and audit == "D" + "KR" * 50_000
+    assert max(len(block) for block in repair.blocks) <= 4
+
+
+def plain(rows):
+    """The query's result by plain means, conversation by conversation."""
+    word = lambda v: " " if v is None else v
+    talks = {}
+    for conv, turn, role, text in rows:
+        there = talks.setdefault(conv, [])
+        kind = zlib.crc32(f"{word(conv)}:{word(turn)}".encode()) % 20
+        role, text = word(role), word(text)
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        if kind == 4:
+            role = "user"
+        there += [(turn is not None, turn or 0, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    for conv, there in talks.items():
+        there.sort(key=lambda r: (r[0], r[1], r[2].encode(), r[3].encode()))
+        seen, marked, turns = set(), [], [t for known, t, _, _ in there if known]
+        for _, _, role, text in there:
+            body = text.rstrip("\t\n\x0b\x0c\r ")
+            fault = C.BLANK if not body else C.DUPLICATE if (role, text) in seen else 0 if body[-1] in ".!?" else C.TRUNCATED
+            seen.add((role, text))
+            marked.append((fault, role[:1]))
+        cost, audit = cheapest(marked, C.Costs(), 1)
+        out, system = [], 0
+        for edit, (_, _, role, text) in zip(audit, there, strict=True):
+            if edit != "D":
+                if edit == "R":
+                    role = "user" if (len(out) - system) % 2 == 0 else "assistant"
+                elif role[0] == "s":
+                    system = 1
+                out.append(f"{role}:{text}")
+        faults = [fault for fault, _ in marked]
+        yield (conv, len(there), max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *map(faults.count, (1, 2, 3)),
+               sum(a + b not in ("su", "ua", "au") for (_, a), (_, b) in zip(marked, marked[1:])), cost, audit,
+               hashlib.sha256("\n".join(out).encode()).hexdigest())
+
+
+@pytest.fixture
+def talks():
+    draw = random.Random(11)
+    texts = ["Yes.", "No!", "so it goes", "why?  \n", " \t", "", None, "tail\u2028", "a.\u0085", "long " * 5000 + "end."]
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "User", "u"]
+    rows = [(c, t if draw.random() < 0.9 else draw.choice([None, 2, 40]), draw.choice(roles), draw.choice(texts))
+            for c in [None, *range(60)] for t in range(draw.randint(1, 7))]
+    gone = next(c for c in range(1000, 2000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    return rows + rows[5:9] + [(gone, 0, "user", "Lost.")] + [(2**62, None, None, None), (-5, 0, "user", "Hi.")]
+
+
+def run(spark, rows, tmp_path):
+    from gleaner.llm.queries import op11_conversation_repair
+
+    extra = [(*r, "x", "y", 1, "z") for r in rows]
+    spark.createDataFrame(extra, COLUMNS).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    return [tuple(r) for r in op11_conversation_repair(spark, str(tmp_path)).collect()]
+
+
+def test_the_query_equals_a_plain_search(spark, talks, tmp_path):
+    got, want = run(spark, talks, tmp_path), list(plain(talks))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert [r[1:] for r in got if r[0] is not None and r[0] >= 1000 and r[1] == 0] == [(0, 0, 0, 0, 0, 0, 0, "", nothing)]
+    assert {c for r in got for c in r[8]} == set("DKR")
+
+
+def test_empty_table(spark, tmp_path):
+    assert run(spark, [], tmp_path) == []
+
+
+def test_texts_of_the_repaired(spark):
+    rows = spark.createDataFrame([(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hi?"), (1, 2, "assistant", "Hello."),
+                                  (2, 0, "user", "Alone.")], "conv_id long, turn long, role string, text string")
+    costs = C.Costs(insert=1)
+    repairs = C.find_repairs(rows, costs)
+    assert {r["conv_id"]: (r["cost"], r["audit"]) for r in repairs.collect()} == {1: (1, "KRK"), 2: (1, "KI")}
+    got = sorted(tuple(r) for r in C.repaired_rows(rows, repairs).collect())
+    assert got == [(1, 0, "K", 0, "system", "Be kind."), (1, 1, "R", 1, "user", "Hi?"), (1, 2, "K", 2, "assistant", "Hello."),
+                   (2, 0, "K", 0, "user", "Alone."), (2, 1, "I", None, "assistant", "")]
