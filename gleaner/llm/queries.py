@@ -213,3 +213,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damage(table(spark, sf_dir, "conversations"))
     with Steps(spark, "repairs") as steps:
         return materialize(repair_digests(rows, steps.keep(find_repairs(rows))))
+
+
+@register(sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.x), len(c.x)) + 1),
+    lambda i: q.x[i] * c.x[i])), 0)::BIGINT AS score FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored) WHERE rank <= 20
+""")
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.topk import top_k, whole_vectors
+
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"), 64)
+    with Steps(spark, "search") as steps:
+        return materialize(top_k(vectors, F.col("vec_id") % 20 == 0, 20, steps))
