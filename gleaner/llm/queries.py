@@ -224,8 +224,20 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored) WHERE rank <= 20
 """)
 def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.llm.topk import top_k, whole_vectors
+    from gleaner.llm.topk import top_k
+    from gleaner.llm.vectors import whole_vectors
 
     vectors = whole_vectors(table(spark, sf_dir, "embeddings"), 64)
     with Steps(spark, "search") as steps:
         return materialize(top_k(vectors, F.col("vec_id") % 20 == 0, 20, steps))
+
+
+@register()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.vectors import whole_vectors
+    from gleaner.llm.whitening import whiten
+
+    # The contract's + 100000 shifts rows and mean alike: what is centred, and so every column, stays the same.
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"), 1024)
+    with Steps(spark, "whitening") as steps:
+        return materialize(whiten(vectors, 8, steps))

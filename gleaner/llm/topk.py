@@ -23,6 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.vectors import EXACT, matrix, widened
 from gleaner.session import Steps, small_batches
 
 SEGMENTS = (1, 4, 16)
@@ -30,24 +31,6 @@ BLOCK = 512  # queries packed into one row
 PASS_BYTES, PASS_ROWS = 32 << 20, 1 << 16  # a pass holds half as many on average, dealt by block
 QUERY_TILE = 1024
 FIRST = 8  # one candidate in so many sets the scores to reach
-EXACT = float(1 << 53)
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors as rows; shorter ones get zeros at their end."""
-    ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    lengths = np.diff(ends)
-    dims = int(lengths.max(initial=0))
-    if (lengths == dims).all():
-        return flat.reshape(len(lengths), dims)
-    out = np.zeros((len(lengths), dims))
-    out[np.arange(dims) < lengths[:, None]] = flat
-    return out
-
-
-def widened(x: np.ndarray, dims: int) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, dims - x.shape[1])))
 
 
 def features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -185,14 +168,6 @@ def _loaded(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate([np.array(r["ids"], np.int64) for r in rows]), np.concatenate(x)
 
 
-def whole_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, x) of the vectors that hold finite numbers only: x is floor(scale * component) as doubles."""
-    entry = F.col("embedding").cast("array<double>")
-    odd = F.exists(entry, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    scaled = F.transform(entry, lambda e: F.when(F.abs(scale * e) < EXACT, F.floor(scale * e).cast("double")).otherwise(scale * e))
-    return embeddings.filter(F.col("embedding").isNotNull() & ~odd).select(F.col("vec_id").cast("long"), scaled.alias("x"))
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int, steps: Steps) -> DataFrame:
     """The k best candidates of every query: query_id, rank (from 1), vec_id, score.
 

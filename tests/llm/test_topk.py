@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import topk
+from gleaner.llm.vectors import whole_vectors
 from gleaner.session import Steps
 
 FIELDS = "vec_id long, embedding array<float>, label int, x string, query int, rank int, score string"
@@ -29,7 +30,7 @@ def brute(rows, scale, k, every):
 def search(spark, rows, k=5, every=4):
     frame = spark.createDataFrame([(i, v, 1, "x", 2, 3, "s") for i, v in rows], FIELDS).repartition(5)
     with Steps(spark, "test") as steps:
-        vectors = topk.whole_vectors(frame, 64)
+        vectors = whole_vectors(frame, 64)
         return [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % every == 0, k, steps).collect()]
 
 
