@@ -30,6 +30,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+BUTTON = re.compile(r"<(/?)button\b", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -75,6 +76,7 @@ def blocks(html: str) -> list[Block]:
     known: dict[tuple, Above] = {}
     opened: Counter[str] = Counter()
     hidden = links = linked = 0
+    loose = False  # the last button has no end tag of its own
     parts: list[str] = []
     at, size, lower = 0, len(html), None
 
@@ -97,9 +99,9 @@ def blocks(html: str) -> list[Block]:
                 held.pop()
         del stack[k:], chain[max(0, len(held) - DEPTH):]
 
-    def close_head() -> None:
+    def close(name: str) -> None:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "head":
+            if stack[k][0] == name:
                 pop_to(k)
                 break
 
@@ -107,7 +109,7 @@ def blocks(html: str) -> list[Block]:
         tag = TAG.search(html, at)
         until = tag.start() if tag else size
         if hidden and opened["head"] and html[at:until].strip(" \t\n\f\r"):
-            close_head()
+            close("head")
         if until > at and not hidden:
             text = unescape(html[at:until])
             parts.append(text)
@@ -130,17 +132,22 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if opened["head"] and name not in IN_HEAD:
-            close_head()
+            close("head")
         if name in RAW:
             lower = lower or html.lower()
             end = lower.find("</" + name, at) if len(lower) == size else -1
             if len(lower) != size:  # lowering changed the length: look for the end with a pattern
-                close = re.compile("</" + name, re.I).search(html, at)
-                end = close.start() if close else -1
+                found = re.compile("</" + name, re.I).search(html, at)
+                end = found.start() if found else -1
             at = end if end >= 0 else size
             continue
         if name in BLOCKS:
             flush()
+            # a block-level tag is the end of a drawing (but for one that embeds a page), and of a button that nothing else ends
+            if opened["svg"] and not opened["foreignobject"] and not opened["desc"]:
+                close("svg")
+            if loose and opened["button"]:
+                close("button")
             closed, within = _CLOSES.get(name, (frozenset(("p",)), frozenset()))
             for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closed) else ():
                 if stack[k][0] in within or (not within and stack[k][0] in BLOCKS and stack[k][0] != "p"):
@@ -159,6 +166,9 @@ def blocks(html: str) -> list[Block]:
             if len(held) > DEPTH:
                 key = (chain[-1] if chain else None, held[-DEPTH - 1])
                 chain.append(known.setdefault(key, Above(*key)))
+        if name == "button":
+            following = BUTTON.search(html, at)
+            loose = not following or not following[1]
         hidden += name in UNSEEN
         links += name == "a"
         opened[name] += 1

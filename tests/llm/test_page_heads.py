@@ -1,4 +1,4 @@
-"""Pages whose head is not closed, and formulas."""
+"""Pages whose head, drawing or button is not closed, and formulas."""
 
 import pytest
 
@@ -21,3 +21,19 @@ def test_head_and_math(html, want):
 def test_article_under_an_open_head():
     html = f"<!DOCTYPE html><html><head><title>T</title><article><h1>A title of some words</h1><p>{PROSE}</p><p>{PROSE} <math><mi>x</mi></math>.</p></article>"
     assert trained().text(html) == "\n\n".join(["A title of some words", PROSE, f"{PROSE} x."])
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><svg><path><div><p>Text here.</p></div></body>", ["Text here."]),
+    ("<svg><g><text>mark</text></g></svg><p>a", ["a"]), ("<svg><text>mark<p>a</svg><p>b", ["a", "b"]),
+    ("<svg><foreignObject><div>label</div></foreignObject></svg><p>a", ["a"]),
+    ("<button>Menu<article><p>a</p></article>", ["a"]), ("<button><div>Menu</div></button><p>a", ["a"]),
+    ("<button>One<p>a</p><button>Two</button><p>b", ["a", "b"]), ("<div><button>Menu</div><p>a", ["a"])])
+def test_drawings_and_buttons(html, want):
+    assert [b.text for b in blocks(html)] == want
+
+
+@pytest.mark.parametrize("opening", ["<svg><path><circle>", "<button>Menu"])
+def test_article_behind_what_is_not_closed(opening):
+    html = f"<html><body>{opening}<article><h1>A title of some words</h1><p>{PROSE}</p><p>{PROSE} Again.</p></article></body></html>"
+    assert trained().text(html) == "\n\n".join(["A title of some words", PROSE, f"{PROSE} Again."])
