@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from gleaner.session import Steps
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, steps: Steps) -> DataFrame:
     """Hang each node's larger (or other) neighbours on its smallest one.
 
-    The least neighbour is a map-side combined minimum, so a hub costs one row a task.
+    The least neighbour is a map-side combined minimum, so a hub costs one row a task.  It is written
+    by itself: then the edges are shuffled for the join alone, which lets Spark split a hub's.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:
         both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = steps.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     hung = both.join(least, "u")
     out = hung.filter("v > u") if large else hung.filter("v <> m")
     out = out.select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -39,7 +40,7 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
 
     was = state(edges)
     while was[0]:
-        edges = steps.keep(_star(_star(edges, True), False))
+        edges = steps.keep(_star(_star(edges, True, steps), False, steps))
         now = state(edges)
         if now == was:
             break

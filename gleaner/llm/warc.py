@@ -312,19 +312,20 @@ def register(spark: SparkSession) -> None:
 NAME = "urn:page:"
 
 
-def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+def records(pages: DataFrame, steps: Steps, least_bytes: int = 100) -> DataFrame:
     """The archive's records for pages (page_id, url, html), one a row.
 
     Of equal payloads of at least `least_bytes`, the smallest page_id's is the response and
     the others revisit it; rows that repeat the smallest page_id are responses too.  Shorter
     payloads are always responses.  A null html is an empty payload.  A null page_id counts
-    as larger than any other; if no row has one, all are responses.
+    as larger than any other; if no row has one, all are responses.  The payloads that occur
+    more than once are written to `steps` first, so that Spark can split the rows of a hot one.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("target_uri"),
                         F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256)).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    first = rows.filter(F.col("payload_length") >= least_bytes).groupBy("sha").agg(
-        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("same"), "first")
+    first = steps.keep(rows.filter(F.col("payload_length") >= least_bytes).groupBy("sha").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("same"), "first"))
     rows = rows.join(first, (F.col("sha") == F.col("same")) & (F.col("payload_length") >= least_bytes), "left")
     again = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
@@ -350,7 +351,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     register(spark)
     with Steps(spark, "warc") as steps:
         folder = f"{steps.root}/archive"
-        records(pages).write.format("warc").mode("append").save(folder)
+        records(pages, steps).write.format("warc").mode("append").save(folder)
         full = spark.read.format("warc").load(folder).filter("record_type = 'response'").select(
             page_id("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
             F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import warc
 from gleaner.llm.html_crf import main_text, trained
 from gleaner.llm.html_pages import Pages, blocks
+from gleaner.session import Steps
 
 
 def texts(html):
@@ -107,7 +108,8 @@ def test_round_trip(spark, folder):
 def archive(spark, tmp_path):
     warc.register(spark)
     path = str(tmp_path / "archive")
-    warc.records(odd_pages(spark)).repartition(3).write.format("warc").mode("append").save(path)
+    with Steps(spark, "test") as steps:
+        warc.records(odd_pages(spark), steps).repartition(3).write.format("warc").mode("append").save(path)
     return path
 
 
