@@ -8,7 +8,7 @@ common.  A token is in one tile at most, so a passage whose sentences were put i
 order is covered as well as the original, and words that merely occur in both are not.
 
 The test set is the query set.  Its index is broadcast, in blocks of at most BLOCK_TOKENS
-tokens: a larger set makes more blocks, which are looked up one after the other on the way.
+tokens.  A larger set makes more blocks: the leaks found with one are written before the next is sent out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import grams
 from gleaner.llm.toxicity import GAPS
-from gleaner.session import small_batches
+from gleaner.llm.memory import returning
+from gleaner.session import Steps, small_batches
 
 U = np.uint64
 MIN_MATCH = 5
@@ -76,7 +77,7 @@ def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, i
         for p in at_p:
             if free_p[p:p + best].all():
                 for t in at_t[print_t == prints[p]]:
-                    if free_t[t:t + best].all():
+                    if free_t[t:t + best].all() and (pattern[p:p + best] == text[t:t + best]).all():
                         free_p[p:p + best] = free_t[t:t + best] = False
                         found.append((int(p), int(t), best))
                         break
@@ -175,9 +176,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = size // (4 * BLOCK_TOKENS) + 1
+    steps = Steps(spark, "leaks")
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         index = spark.sparkContext.broadcast(Index(part.toArrow(), least))
-        rows = rows.mapInArrow(_scan(index, least, share), rows.schema)
+        rows = rows.mapInArrow(returning(_scan(index, least, share)), rows.schema)
+        if block + 1 < blocks:
+            rows = steps.keep(rows)
+            index.destroy()
     return rows
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleaner.llm.html_pages import Above, Block, Pages, blocks
+from gleaner.llm.memory import returning
 from gleaner.session import small_batches
 
 BITS = 16
@@ -209,4 +210,4 @@ def main_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or trained()
     at = np.flatnonzero(field.weights.any(1))
     model = pages.sparkSession.sparkContext.broadcast((at, field.weights[at], field.steps, field.ends))
-    return pages.select("page_id", "url", "html").mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(returning(_extract(model)), "page_id long, url string, text string, n_chars long")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import grams
 from gleaner.llm.components import components
+from gleaner.llm.memory import give_back, returning
 from gleaner.session import Steps, materialize, small_batches
 
 U = np.uint64
@@ -176,6 +177,8 @@ def _within(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, sets = _read(rows)
         roots = _roots(_linked(sets, sets, percent))
+        if len(ids) > 100:
+            give_back()
         return pd.DataFrame({"a": ids, "b": ids[roots]}).query("a != b")
     return run
 
@@ -192,6 +195,7 @@ def _across(percent: int):
             i, j = np.nonzero(_linked(x, y, percent) & (ra[:, None] != rb[None, :]))
             found = pd.DataFrame({"a": a[i], "b": b[j], "p": ra[i], "q": rb[j]}).drop_duplicates(["p", "q"])
             out = found[["a", "b"]]
+            give_back()
         return pd.DataFrame(out, dtype="int64")
     return run
 
@@ -267,33 +271,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     with Steps(spark, "near") as steps:
         signed = steps.keep(docs.mapInArrow(
-            _sign(shingle_words), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>"))
+            returning(_sign(shingle_words)), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>"))
         head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("head")
         classes = signed.filter("n_shingles > 0").groupBy("print").agg(
             head, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         classes = steps.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
         banded = classes.select("cid", F.explode("bands").alias("band"))
-        hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).filter("c > 1")
+        # Aggregates that their own rows are joined to are written first, so that Spark can split a hot key's rows.
+        hubs = steps.keep(banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count("*").alias("c")).filter("c > 1"))
         families = components(banded.join(hubs, "band").select(
             F.col("cid").alias("a"), F.col("hub").alias("b")), steps)
         members = steps.keep(classes.drop("bands").join(families, F.col("cid") == F.col("node")).select(
             "cid", "print", "n", "head", F.col("root").alias("family")))
-        sizes = members.groupBy("family").agg(F.greatest(
-            F.ceil(F.count("*") / F.lit(GROUP_SETS)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES))).alias("blocks"))
+        sizes = steps.keep(members.groupBy("family").agg(F.greatest(
+            F.ceil(F.count("*") / F.lit(GROUP_SETS)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES))).alias("blocks")))
         wanted = members.join(sizes, "family")
         sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (
             F.col("text_hash") == F.col("head.text_hash"))).select(
             "cid", "family", "blocks", "text", "print").mapInArrow(
-            _sets(shingle_words), "cid long, family long, blocks long, elements array<long>")
+            returning(_sets(shingle_words)), "cid long, family long, blocks long, elements array<long>")
         sets = steps.keep(sets)
         links = sets.filter("blocks = 1").groupBy("family").applyInPandas(_within(percent), "a long, b long")
         large = sets.filter("blocks > 1")
         if not large.isEmpty():
             links = links.union(_large_families(large, percent, steps))
         roots = components(links, steps)
-        owned = classes.select("print", "cid", "head").join(roots, F.col("cid") == F.col("node"), "left").withColumn(
-            "root", F.coalesce("root", "cid"))
-        named = owned.groupBy("root").agg(F.min("head").alias("least"))
+        owned = steps.keep(classes.select("print", "cid", "head").join(roots, F.col("cid") == F.col("node"), "left").withColumn(
+            "root", F.coalesce("root", "cid")))
+        named = steps.keep(owned.groupBy("root").agg(F.min("head").alias("least")))
         owned = owned.join(named, "root").select("print", "least")
         out = signed.filter("n_shingles > 0").drop("bands").join(owned, "print").select(
             "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "text_hash",

@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.grams import Slice, slices
+from gleaner.llm.grams import Slice, equal_spans, slices
+from gleaner.llm.memory import returning
 from gleaner.session import Steps, small_batches
 
-CACHED_WORDS = 600_000  # distinct words, of some 32 bytes each, after which a worker forgets what it doesn't need just then
-SLICE_BYTES = 3 << 19  # text whose distinct words are looked up together
+CACHED_WORDS, CACHED_BYTES = 500_000, 16 << 20  # known words, of some 50 bytes each, and their own bytes, beyond which a worker begins anew
+SLICE_BYTES = 1 << 20  # text whose distinct words are looked up together
 MERGED_AT_ONCE = 4096  # open windows merged in one group
 BROADCAST_WINDOWS = 500_000  # up to so many merged windows, of 24 bytes each, are broadcast
 END = 1
+ODD = regex.compile("[^\n -~]")  # what the byte alphabet shows as another character
 
 
 class Encoder:
@@ -45,8 +48,9 @@ class Encoder:
     the vocabulary file, and its model gets what comes out: letters of the byte alphabet,
     blanks between words.  Every token's last id, and no other, stands for an end of word.
     Words that hold an added token of the file go to the tokenizer as it is, unless special
-    tokens are to be encoded as ordinary text.
-    What words are known lies in arrays, sorted by the words' fingerprints.
+    tokens are to be encoded as ordinary text; it is loaded when the first such word turns up.
+    What words are known lies in arrays, sorted by the words' fingerprints, with the words' bytes:
+    a fingerprint finds a word, its bytes tell whether it is the one.
     """
 
     def __init__(self, path: str, encode_special_tokens: bool = False):
@@ -63,8 +67,7 @@ class Encoder:
         added = [t for t in spec["added_tokens"] if not (encode_special_tokens and t["special"])]
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"] or regex.search(r"\s", t["content"]) for t in added):
             raise ValueError(f"{path} has added tokens that can't be found within a word")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = encode_special_tokens
+        self.path, self.special = path, encode_special_tokens
         self.added = regex.compile(b"|".join(regex.escape(t["content"].encode()) for t in added)) if added else None
         self.final = np.zeros(1 + max(model["vocab"].values()), bool)
         self.final[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
@@ -73,8 +76,23 @@ class Encoder:
         self.alphabet[shown] = shown
         self.alphabet[[b for b in range(256) if b not in shown]] = 256 + np.arange(256 - len(shown))
         self.alphabet[[10, 32]] = 32
-        self.prints, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Know no word."""
+        self.prints = np.zeros(0, np.uint64)
+        self.starts, self.lengths, self.spelt, self.ends = (np.zeros(0, np.int64) for _ in range(4))
         self.flat = np.zeros(0, "<u4")  # ids of the known words, one after the other
+        self.bytes = np.zeros(0, np.uint8)  # and their bytes, from spelt to ends
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is in the file."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = self.special
+        return whole
 
     def split(self, words: list[bytes]) -> tuple[str, list[int]]:
         """The words' tokens with a blank between any two, and how many each word has."""
@@ -105,7 +123,7 @@ class Encoder:
         flat, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for low in range(0, len(words), 1024):
             joined, counts = self.split(words[low:low + 1024])
-            if not joined.isascii():
+            if ODD.search(joined):
                 joined = self.alphabet[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
             ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.r_[0, 1 + np.flatnonzero(self.final[ids])][np.cumsum([0, *counts])]
@@ -115,35 +133,40 @@ class Encoder:
 
     def learn(self, part: Slice, prints: np.ndarray, first: np.ndarray) -> None:
         """Have the ids of the slice's distinct words, given by fingerprint and one place of each."""
-        if len(self.prints) > CACHED_WORDS:
-            mine = np.flatnonzero(np.isin(self.prints, prints, assume_unique=True))
-            self.flat = self.flat[spread(self.starts[mine], self.lengths[mine])]
-            self.prints, self.lengths = self.prints[mine], self.lengths[mine]
-            self.starts = np.cumsum(self.lengths) - self.lengths
+        if len(self.prints) > CACHED_WORDS or len(self.bytes) > CACHED_BYTES:
+            self.forget()
         at = np.searchsorted(self.prints, prints)
         new = np.ones(len(prints), bool)
         inside = at < len(self.prints)
         new[inside] = self.prints[at[inside]] != prints[inside]
         if new.any():
+            starts, ends = part.starts[first[new]], part.ends[first[new]]
             data = part.data.tobytes()
-            words = [data[a:b] for a, b in zip(part.starts[first[new]].tolist(), part.ends[first[new]].tolist(), strict=True)]
-            flat, lengths = self.encode(words)
-            self.prints = np.insert(self.prints, at[new], prints[new])
-            self.starts = np.insert(self.starts, at[new], len(self.flat) + np.cumsum(lengths) - lengths)
-            self.lengths = np.insert(self.lengths, at[new], lengths)
+            flat, lengths = self.encode([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            spans = ends - starts
+            spelt = len(self.bytes) + np.cumsum(spans) - spans
+            for name, values in (("prints", prints[new]), ("starts", len(self.flat) + np.cumsum(lengths) - lengths),
+                                 ("lengths", lengths), ("spelt", spelt), ("ends", spelt + spans)):
+                setattr(self, name, np.insert(getattr(self, name), at[new], values))
             self.flat = np.concatenate([self.flat, flat])
+            self.bytes = np.concatenate([self.bytes, part.data[spread(starts, spans)]])
 
     def ids(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slice's texts, and where each text's begin and end."""
         prints, first, place = np.unique(part.hashes, return_index=True, return_inverse=True)
         self.learn(part, prints, first)
         known = np.searchsorted(self.prints, prints)
+        # every word against the known one of its fingerprint; those that differ are encoded by themselves
+        mine = known[place]
+        strange = np.flatnonzero(~equal_spans((part.data, part.starts, part.ends), (self.bytes, self.spelt[mine], self.ends[mine])))
+        others, other_lengths = self.encode([part.data[part.starts[w]:part.ends[w]].tobytes() for w in strange.tolist()])
         # after its words each text has the end id, which is kept as one more word
-        starts = np.r_[self.starts[known], len(self.flat)]
-        lengths = np.r_[self.lengths[known], 1]
+        starts = np.r_[self.starts[known], len(self.flat), len(self.flat) + 1 + np.cumsum(other_lengths) - other_lengths]
+        lengths = np.r_[self.lengths[known], 1, other_lengths]
+        place[strange] = len(prints) + 1 + np.arange(len(strange))
         order = np.insert(place, part.first[1:], len(prints))
         counts = np.r_[0, np.cumsum(lengths[order])]
-        out = np.r_[self.flat, np.array([END], "<u4")][spread(starts[order], lengths[order])]
+        out = np.concatenate([self.flat, np.array([END], "<u4"), others])[spread(starts[order], lengths[order])]
         return out, counts[part.first + np.arange(len(part) + 1)]
 
 
@@ -205,12 +228,13 @@ def _pack(path: str, window: int, most_open: int, with_ids: bool, encode_special
                         piece = mine[start:start + window]
                         number, offset = packer.place(len(piece))
                         rows.append(row + i)
-                        values = (start, len(piece), zlib.crc32(piece.tobytes()), len(mine), number, offset,
-                                  piece.astype(np.int32) if with_ids else None)
-                        for c, v in zip(COLUMNS, values, strict=True):
+                        for c, v in zip(COLUMNS, (start, len(piece), zlib.crc32(piece.tobytes()), len(mine), number, offset), strict=False):
                             out[c].append(v)
-                types = [pa.int64()] * 6 + [pa.list_(pa.int32())]
-                arrays = [pa.array(out[c], t) for c, t in zip(COLUMNS, types, strict=True)]
+                arrays = [pa.array(out[c], pa.int64()) for c in COLUMNS[:-1]]
+                if with_ids:  # the pieces, in order, are the ids
+                    arrays.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(out["length"])].astype(np.int32), ids.view(np.int32)))
+                else:
+                    arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *arrays], names=["doc_id", *COLUMNS])
     return run
 
@@ -245,7 +269,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, most_open: int = 6
     small_batches(docs.sparkSession)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, ids array<int>"
     steps = Steps(docs.sparkSession, "pack")
-    pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, most_open, with_ids, encode_special_tokens), fields))
+    pieces = steps.keep(docs.select("doc_id", "text").mapInArrow(
+        returning(_pack(tokenizer, window, most_open, with_ids, encode_special_tokens)), fields))
     fills = steps.keep(pieces.groupBy("window").agg(F.sum("length").alias("fill")).filter(F.col("fill") < window))
     still_open = fills.count()
     groups = still_open // MERGED_AT_ONCE + 1

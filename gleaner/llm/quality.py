@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from gleaner.llm import grams
 from gleaner.llm.labelled import in_fold, sample
+from gleaner.llm.memory import returning
 from gleaner.session import small_batches
 
 U = np.uint64
@@ -33,7 +34,7 @@ def features(text: bytes) -> np.ndarray:
     codes = np.frombuffer(b" \0\0\0" + text.decode().encode("utf-32-le") + b" \0\0\0", np.uint32).astype(U)
     gap = (codes == EDGE) | ((codes - U(9)) < 5)
     codes[gap] = EDGE
-    runs = grams.Runs(grams.mix(codes * U(0x9E3779B97F4A7C15)))
+    runs = grams.Buckets(grams.mix(codes * U(0x9E3779B97F4A7C15)))
     starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     words = runs.of(starts, ends)
     again = np.full(np.count_nonzero(words[1:] == words[:-1]), REPEATED)
@@ -98,7 +99,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str, folds: int = 5,
     model = spark.sparkContext.broadcast(train(sample(docs, labels, "quality", folds, held, train_rows)))
     schema = docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).schema
     rows = docs.select(F.col(key).alias("key"), *["text"] * (not isinstance(docs.schema[key].dataType, StructType)))
-    return rows.mapInArrow(_score(model), schema)
+    return rows.mapInArrow(returning(_score(model)), schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3,

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
+from gleaner.llm.memory import returning
 from gleaner.session import Steps, materialize, small_batches
 
 SYMBOLS = b"#*$%&|<>"
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     fields = ", ".join(f"{c} long" for c in ["doc_id", *MEASURES])
     vote = [F.when(bad, "-").when(good, "+").otherwise("0") for bad, good in _rules().values()]
     with Steps(spark, "rules") as steps:
-        voted = steps.keep(docs.select("doc_id", "text").mapInArrow(_measured, fields).withColumn("votes", F.concat(*vote)))
+        voted = steps.keep(docs.select("doc_id", "text").mapInArrow(returning(_measured), fields).withColumn("votes", F.concat(*vote)))
         counted = voted.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** rules rows
         patterns = np.array([["-0+".index(v) - 1 for v in r["votes"]] for r in counted]).reshape(len(counted), len(vote))
         posterior, _, _ = fit_votes(patterns, np.array([r["count"] for r in counted], float))

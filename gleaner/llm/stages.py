@@ -40,7 +40,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose quality score reaches 0.3; the score reads the text alone, so repeated rows fare alike."""
+    """Texts whose quality score reaches 0.3; the score reads the text alone, so repeated rows fare alike.
+
+    A null or empty text has the score of the bias alone; an empty table stays empty.  Where no label is
+    given every score is one half, so all rows stay.
+    """
     from gleaner.llm.quality import quality_scores
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
@@ -65,14 +69,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which tiles cover half of a benchmark item or more are dropped."""
+    """Documents in which tiles cover half of a benchmark item or more are dropped.
+
+    Null and empty texts have no leaks and stay, as all rows do where the benchmark is empty.
+    """
     from gleaner.llm.decontaminate import find_leaks
 
     return find_leaks(docs, _table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of sequences of at most 2048 tokens, with their ids."""
+    """The documents as pieces of sequences of at most 2048 tokens, with their ids.
+
+    A null or empty text is the end id alone; an empty table has no sequences.
+    """
     import public_tokenizers
 
     from gleaner.llm.packing import pack

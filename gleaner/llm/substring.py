@@ -12,6 +12,9 @@ extended as far as each window reaches to the left and right of the seed: one oc
 context gives the fingerprints of its windows, and those that another context shares are
 repeats.  Overlapping windows join to maximal repeats when they are cut.  Work is linear in
 the stretches; copies are never paired.
+
+Contexts, windows and rows are told apart by pairs of fingerprints, 125 bits or more, so that no two
+of a corpus are taken for one.
 """
 
 from __future__ import annotations
@@ -21,13 +24,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import grams
+from gleaner.llm.memory import returning
 from gleaner.session import Steps, small_batches
 
 SEED = 8
+# Of rows, windows and contexts the pairs that tell them apart; a context also names its anchor.
+KEY, WINDOW, CONTEXT = ["key", "key2"], ["window", "window2"], ["anchor", "context", "context2"]
+
+
+def row_key() -> tuple[Column, Column]:
+    """Two hashes of a row's id and text."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(29), "text", "doc_id")
+
+
+def _same(side: str) -> Column:
+    return (F.col("key") == F.col(f"{side}_key")) & (F.col("key2") == F.col(f"{side}_key2"))
 
 
 def stretches(words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -47,20 +62,22 @@ def stretches(words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ..
 def _seeds(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, part in grams.slices(batch.column(1)):
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            for row, part in grams.slices(batch.column(2)):
                 found = []
                 for i in range(len(part)):
                     at, first, count, prints, runs = stretches(part.words(i), length, seed)
                     if len(at):
-                        context = runs.of(first, first + count - 1 + length)
+                        ends = first + count - 1 + length
                         place = (at - first).astype(np.uint64)
-                        found.append((prints[at], grams.mix(context + place), np.full(len(at), keys[row + i]), first, count))
+                        other = grams.Runs(part.other_words(i), 1).of(first, ends)
+                        found.append((prints[at], grams.mix(runs.of(first, ends) + place), grams.mix(other + place),
+                                      np.full(len(at), row + i), first, count))
                 if found:
-                    anchor, context, key, first, count = map(np.concatenate, zip(*found, strict=True))
+                    anchor, context, other, at, first, count = map(np.concatenate, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [grams.signed(anchor), grams.signed(context), pa.array(key), pa.array(first, pa.int32()),
-                         pa.array(count, pa.int32())], names=["anchor", "context", "key", "first", "count"])
+                        [*map(grams.signed, (anchor, context, other)), *[pa.array(k[at]) for k in keys],
+                         pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=[*CONTEXT, *KEY, "first", "count"])
     return run
 
 
@@ -68,20 +85,21 @@ def _windows(length: int):
     """Fingerprints of the windows of given stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            probes = batch.column(2).to_pylist()
-            for row, part in grams.slices(pc.struct_field(batch.column(1), "text")):
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
+            probes = batch.column(3).to_pylist()
+            for row, part in grams.slices(pc.struct_field(batch.column(2), "text")):
                 found = []
                 for i in range(len(part)):
                     prints = grams.Runs(part.words(i)).windows(length)
+                    others = grams.Runs(part.other_words(i), 1).windows(length)
                     starts = np.concatenate([np.arange(p["first"], p["first"] + p["count"]) for p in probes[row + i]])
                     lone = np.repeat([p["lone"] for p in probes[row + i]], [p["count"] for p in probes[row + i]])
-                    found.append((prints[starts], np.full(len(starts), keys[row + i]), starts, lone))
+                    found.append((prints[starts], others[starts], np.full(len(starts), row + i), starts, lone))
                 if found:
-                    window, key, start, lone = map(np.concatenate, zip(*found, strict=True))
+                    window, other, at, start, lone = map(np.concatenate, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [grams.signed(window), pa.array(key), pa.array(start, pa.int32()), pa.array(lone, pa.bool_())],
-                        names=["window", "key", "first", "lone"])
+                        [*map(grams.signed, (window, other)), *[pa.array(k[at]) for k in keys], pa.array(start, pa.int32()),
+                         pa.array(lone, pa.bool_())], names=[*WINDOW, *KEY, "first", "lone"])
     return run
 
 
@@ -125,30 +143,31 @@ def remove_repeats(docs: DataFrame, steps: Steps, length: int = 35) -> DataFrame
     The rows are not written yet: they read the tables that `steps` keeps until it ends.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("doc"))
-    seeds = keyed.select("key", "doc.text").mapInArrow(
-        _seeds(length, SEED), "anchor long, context long, key long, first int, count int")
+    keyed = docs.select(*[k.alias(n) for k, n in zip(row_key(), KEY, strict=True)], F.struct(*docs.columns).alias("doc"))
+    longs = "{0} long, {1} long"
+    seeds = keyed.select(*KEY, "doc.text").mapInArrow(
+        returning(_seeds(length, SEED)), f"anchor long, {longs.format(*CONTEXT[1:])}, {longs.format(*KEY)}, first int, count int")
     # Written by themselves, the keys below are shuffled for their joins alone, which lets Spark split a hot anchor's rows.
     common = steps.keep(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     met = steps.keep(seeds.join(common, "anchor"))
-    contexts = steps.keep(met.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one")))
+    contexts = steps.keep(met.groupBy(CONTEXT).agg(
+        F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "count")).alias("one")))
     # Every stretch gets its context's count; those of lone contexts say nothing.
-    whole = met.join(contexts.select("anchor", "context", "n"), ["anchor", "context"]).select(
-        "key", F.when(F.col("n") > 1, F.struct("first", "count")).alias("repeat"))
+    whole = met.join(contexts.select(*CONTEXT, "n"), CONTEXT).select(
+        *KEY, F.when(F.col("n") > 1, F.struct("first", "count")).alias("repeat"))
     mixed = steps.keep(contexts.groupBy("anchor").count().filter("count > 1").select("anchor"))
-    probes = contexts.join(mixed, "anchor").groupBy(F.col("one.key").alias("probe_key")).agg(F.collect_list(F.struct(
-        "one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
+    probes = contexts.join(mixed, "anchor").groupBy(*[F.col(f"one.{k}").alias(f"probe_{k}") for k in KEY]).agg(
+        F.collect_list(F.struct("one.first", "one.count", (F.col("n") == 1).alias("lone"))).alias("probes"))
     # Both uses of the texts take the same columns, so that Spark deals the texts out once; dealt for the
     # joins alone, the rows of a repeated key can be split.
-    windows = keyed.join(probes, F.col("key") == F.col("probe_key")).select("key", "doc", "probes").mapInArrow(
-        _windows(length), "window long, key long, first int, lone boolean")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    edges = windows.filter("lone").join(shared, "window").select(
-        "key", F.struct("first", F.lit(1).alias("count")).alias("repeat"))
-    repeats = whole.union(edges).groupBy(F.col("key").alias("repeat_key")).agg(
+    windows = keyed.join(probes, _same("probe")).select(*KEY, "doc", "probes").mapInArrow(
+        returning(_windows(length)), f"{longs.format(*WINDOW)}, {longs.format(*KEY)}, first int, lone boolean")
+    shared = windows.groupBy(WINDOW).agg(F.count("*").alias("n")).filter("n > 1").select(WINDOW)
+    edges = windows.filter("lone").join(shared, WINDOW).select(
+        *KEY, F.struct("first", F.lit(1).alias("count")).alias("repeat"))
+    repeats = whole.union(edges).groupBy(*[F.col(k).alias(f"repeat_{k}") for k in KEY]).agg(
         F.collect_set("repeat").alias("repeats"))  # rows with equal keys bring the same stretches
-    out = keyed.join(repeats, F.col("key") == F.col("repeat_key"), "left").select("doc", "repeats")
+    out = keyed.join(repeats, _same("repeat"), "left").select("doc", "repeats")
     schema = out.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                         F.lit("").alias("kept_text")).schema
-    return out.mapInArrow(_cut(length), schema)
+    return out.mapInArrow(returning(_cut(length)), schema)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import grams
 from gleaner.llm.labelled import in_fold, sample
+from gleaner.llm.memory import returning
 from gleaner.session import small_batches
 
 U = np.uint64
@@ -30,7 +31,7 @@ GAPS = ~(((_code >= 48) & (_code <= 57)) | ((_code >= 65) & (_code <= 90)) | ((_
 
 def features(part: grams.Slice) -> list[np.ndarray]:
     """Each text's distinct buckets of words, stems, pairs and skip-pairs; bucket 0 is the bias."""
-    runs = grams.Runs(grams.FOLDED[part.data])
+    runs = grams.Buckets(grams.FOLDED[part.data])
     stems = [grams.mix(runs.of(part.starts, np.minimum(part.ends, part.starts + k)) + U(k)) for k in STEMS]
     out = []
     for i in range(len(part)):
@@ -100,6 +101,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(sample(docs, labels, "toxic", folds, held, train_rows)))
-    scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(returning(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", in_fold("doc_id", folds, held).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
