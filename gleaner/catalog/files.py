@@ -72,16 +72,10 @@ def merge_files(spark, folder):
 
 @query("seen_state", """
 SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS run
-FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2)
-  AND CAST(ts AS DATE) >= DATE '2024-01-29'""")
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type <> ''""")
 def seen_state(spark, folder):
-    """Keys remembered by a run per day and event type of the whole table, one of the runs repeated.
-
-    Every run is remembered and loaded; the answer is the part that the SQL asks for.
-    """
-    events, seen = table(spark, folder, "events"), remembered(spark, folder, scratch_path(spark, "seen"))
-    runs = events.select(F.col("event_type").alias("run")).distinct().orderBy(F.col("run").asc_nulls_last()).limit(2)
-    return seen.filter(F.col("day") >= "2024-01-29").join(F.broadcast(runs), "run", "left_semi").select("key", "day", "run")
+    """Keys remembered by a run per day and event type of the whole table, one of the runs repeated."""
+    return remembered(spark, folder, scratch_path(spark, "seen"))
 
 
 def remembered(spark, folder, path):

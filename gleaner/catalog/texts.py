@@ -8,7 +8,7 @@ from gleaner.catalog import registry as Q
 from gleaner.catalog.registry import query, table
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
-from gleaner.operators.enrich import match_vocab
+from gleaner.operators.dictionary import match_substrings, match_vocab
 from gleaner.session import scratch_path
 from gleaner.sources.tables import CSV_OPTIONS, write_postings_csv
 
@@ -99,6 +99,18 @@ def skill_counts(spark, folder):
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@query("part_mentions", """
+WITH words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+vocab AS (SELECT p_name AS term FROM part UNION SELECT word FROM words UNION SELECT right(word, 3) FROM words)
+SELECT doc_id, term FROM documents JOIN vocab ON contains(lower(text), lower(term))""")
+def part_mentions(spark, folder):
+    """Names of parts, their words and the words' last three letters, wherever they occur in a document."""
+    names = table(spark, folder, "part").select("p_name")
+    words = names.select(F.explode(F.split("p_name", " ")).alias("word"))
+    vocab = names.union(words).union(words.select(F.right("word", F.lit(3)))).withColumnRenamed("p_name", "term")
+    return match_substrings(_documents(spark, folder), "doc_id", "text", vocab)
+
+
 @query("csv_round_trip", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, md5(text) AS text_md5 FROM documents""")
 def csv_round_trip(spark, folder):

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
+from gleaner.operators.groups import connected
 from gleaner.operators.skew import first_per_group
 from gleaner.session import Steps, materialize
 
+SCANNED_AT_ONCE = 1_000_000  # rows of a component that one task scans, holding the keys of those it keeps
+
 
 def uniq_by(df: DataFrame, key: Column, order: str = "seq") -> DataFrame:
     """First row per key in ``order``; an empty key is a key like any other.
@@ -64,26 +69,60 @@ def _chained(single: DataFrame, steps: Steps) -> DataFrame:
             return chain
 
 
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that a scan keeps, from (root, rid, keys) in order: the keys kept so far are one component's."""
+    root, taken = None, set()
+    for batch in batches:
+        kept = []
+        for now, rid, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if now != root:
+                root, taken = now, set()
+            if taken.isdisjoint(keys):
+                taken.update(keys)
+                kept.append(rid)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["rid"])
+
+
+def _first_two(left: DataFrame, chains: bool, steps: Steps) -> DataFrame:
+    """``rid`` of rows that are kept, as the first two undecided rows of every key tell.
+
+    A row that is first on all its keys is kept.  With ``chains``, a row whose only rival is one
+    earlier row is kept exactly when that one is not, and chains of such rows are resolved by
+    pointer doubling.
+    """
+    by_key = Window.partitionBy("key").orderBy("rid")
+    heads = left.withColumn("nth", F.row_number().over(by_key)).filter("nth <= 2").withColumn(
+        "rival", F.when(F.col("nth") == 2, F.lag("rid").over(by_key)))
+    state = heads.groupBy("rid", "width").agg(
+        F.count("*").alias("heads"), F.min("rival").alias("rival"), F.max("rival").alias("other"),
+        F.count("rival").alias("seconds")).filter("heads = width")
+    if not chains:
+        return steps.keep(state.filter("seconds = 0").select("rid"))
+    state = steps.keep(state)
+    first = state.filter("seconds = 0").select("rid")
+    single = state.filter("seconds > 0 and rival = other")
+    # an even number of steps behind a kept row; the row one step behind it is dropped
+    return steps.keep(first.union(_chained(single, steps).filter("not odd").join(
+        first.withColumnRenamed("rid", "last"), "last", "left_semi").select("rid")))
+
+
 def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") -> DataFrame:
     """``seq`` of the rows a scan in ``seq`` order would keep.
 
     The scan drops a row when any of its non-blank keys belongs to an earlier
     *kept* row; a dropped row's keys block nobody.  A null key is a blank one.
-    It is worked out in rounds over the rows not yet decided:
 
     * Rows with the same set of keys are folded to their first before anything
       else, so a mass of identical copies costs one row per task.
-    * Of every key only the first two undecided rows are looked at; Spark trims
-      each task's rows to two before the shuffle.  A row that is first on all
-      its keys is kept.  A row whose only rival is one earlier row is kept
-      exactly when that one is not, and chains of such rows are resolved by
-      pointer doubling.
-    * Rows that share a key with a kept row are decided too.  Whoever is left
-      goes into the next round, which is written anew; the rest shrinks as
-      firsts and chains go.
-
-    All rounds are joins and aggregations by key or row; no path depends on the
-    number of rows.
+    * Rows that are first on all their keys are kept, and rows that share a key with them are not.
+      That settles most rows, and all but one of those around a hot key.
+    * The others fall into components of rows that share keys, directly or by way of others.  The
+      scan's verdict on a row depends on its own component alone, so components are dealt out
+      by their smallest row and each is scanned in order, with the keys it has kept so far.
+    * A component of more than SCANNED_AT_ONCE rows doesn't go to one task.  Its rows are settled by
+      further rounds over the first two rows of every key, which break it up, and what is left falls into components anew.
+
+    The number of jobs depends on neither the rows nor the length of their chains, unless such a component is there.
     """
     spark, names = df.sparkSession, list(keys)
     with Steps(spark, "greedy") as steps:
@@ -91,27 +130,30 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") ->
         keyed = _numbered(keyed, steps)
         tagged = F.array_compact(F.array(*[
             F.when(F.col(n) != "", F.concat(F.lit(f"{i}:"), F.col(n))) for i, n in enumerate(names)]))
-        folded = keyed.groupBy(*names).agg(F.min("rid").alias("rid")).select("rid", tagged.alias("keys"))
-        left = steps.keep(folded.select("rid", F.size("keys").alias("width"), F.explode("keys").alias("key")))
-        kept = keyed.filter(F.concat(*[F.col(n) for n in names]) == "").select("rid")
-        by_key = Window.partitionBy("key").orderBy("rid")
-        while not left.isEmpty():
-            heads = left.withColumn("nth", F.row_number().over(by_key)).filter("nth <= 2").withColumn(
-                "rival", F.when(F.col("nth") == 2, F.lag("rid").over(by_key)))
-            state = steps.keep(heads.groupBy("rid", "width").agg(
-                F.count("*").alias("heads"), F.min("rival").alias("rival"), F.max("rival").alias("other"),
-                F.count("rival").alias("seconds")))
-            first = state.filter("heads = width and seconds = 0").select("rid")
-            single = state.filter("heads = width and seconds > 0 and rival = other")
-            # an even number of steps behind a kept row; the row one step behind it is dropped
-            winners = first.union(_chained(single, steps).filter("not odd").join(
-                first.withColumnRenamed("rid", "last"), "last", "left_semi").select("rid"))
-            winners = steps.keep(winners)
-            kept = kept.union(winners)
+        folded = steps.keep(keyed.groupBy(*names).agg(F.min("rid").alias("rid")).select("rid", tagged.alias("keys")))
+        left = folded.select("rid", F.size("keys").alias("width"), F.explode("keys").alias("key"))
+        kept = [keyed.filter(F.concat(*[F.col(n) for n in names]) == "").select("rid")]
+        chains = False
+        while True:
+            winners = _first_two(left, chains, steps)
+            kept.append(winners)
             taken = left.join(winners, "rid", "left_semi").select("key")
             decided = left.join(taken, "key", "left_semi").select("rid").distinct()
             left = steps.keep(left.join(decided, "rid", "left_anti"))
-        return materialize(kept.join(keyed.select("rid", "seq"), "rid").select("seq"))
+            # A key's rows hang on its first; the aggregate is written, so that a hot key's rows can be split in the join.
+            hubs = steps.keep(left.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"))
+            roots = connected(left.join(hubs, "key").select(F.col("rid").alias("a"), "b"), steps)
+            # rows whose rivals all went have no edge
+            kept.append(steps.keep(left.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left_anti").distinct()))
+            large = steps.keep(roots.groupBy("root").count().filter(F.col("count") > SCANNED_AT_ONCE).select("root"))
+            rows = folded.join(roots.join(large, "root", "left_anti"), F.col("rid") == F.col("node"))
+            kept.append(steps.keep(rows.select("root", "rid", "keys").repartition("root").sortWithinPartitions(
+                "root", "rid").mapInArrow(_scanned, "rid long")))
+            if large.isEmpty():
+                break
+            left = steps.keep(left.join(roots.join(large, "root").select(F.col("node").alias("rid")), "rid", "left_semi"))
+            chains = True
+        return materialize(reduce(DataFrame.union, kept).join(keyed.select("rid", "seq"), "rid").select("seq"))
 
 
 def greedy_dedupe(df: DataFrame, keys: Mapping[str, Column] | None = None, seq: str = "seq") -> DataFrame:

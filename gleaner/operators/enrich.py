@@ -1,4 +1,4 @@
-"""Joins: what was seen before, page details, dictionary terms."""
+"""Joins: what was seen before, page details."""
 
 from __future__ import annotations
 
@@ -44,40 +44,3 @@ def with_found(hits: DataFrame, found: DataFrame, link: str = "link",
     fields = [c for c in found.columns if c != found_key]
     right = found.select(F.col(found_key).alias(link), F.struct(*fields).alias("found"))
     return hits.join(right, link, "left")
-
-
-def _run_pattern(starts_word: bool, runs: int) -> str:
-    """Pattern whose group 1 is every sequence of ``runs`` whole runs.
-
-    A run is a maximal stretch of word characters or of others.  The group sits
-    in a lookahead, so sequences may overlap.
-    """
-    kinds = [starts_word == (i % 2 == 0) for i in range(runs)]
-    before = r"(?<!\w)" if kinds[0] else r"(?<=\w)"
-    after = r"(?!\w)" if kinds[-1] else r"(?=\w)"
-    return f"{before}(?=({''.join(r'\w+' if word else r'[^\w]+' for word in kinds)}){after})"
-
-
-def match_vocab(df: DataFrame, row_id: str, body: str, vocab: DataFrame,
-                term: str = "term") -> DataFrame:
-    """(row, term) pairs of the terms occurring as whole words.
-
-    For vocabularies too large for one expression per term.  A term between
-    word boundaries is exactly a sequence of whole runs of the text, so the
-    match is an equi-join on the run sequences of the shapes the vocabulary
-    has.  Spark broadcasts the vocabulary when it is small; beyond that the
-    adaptive skew join splits a frequent word's rows.  The shapes are listed
-    when the plan is built: there are at most twice as many as the longest term
-    has runs, whatever the size of the vocabulary.
-    """
-    terms = vocab.select(F.col(term), F.lower(F.col(term)).alias("gram")).distinct()
-    run_count = F.size(F.regexp_extract_all("gram", F.lit(r"\w+|[^\w]+"), F.lit(0)))
-    # one row per shape: whether it starts with a word, and its number of runs
-    shapes = terms.select(F.col("gram").rlike(r"^\w").alias("word"), run_count.alias("runs")).filter(
-        F.col("runs") > 0).distinct().orderBy("word", "runs").collect()
-    low = X.lowered(F.col(body))
-    found = [F.regexp_extract_all(low, F.lit(_run_pattern(s["word"], s["runs"])), F.lit(1))
-             for s in shapes]
-    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
-    rows = df.select(row_id, F.explode(grams).alias("gram"))
-    return rows.join(terms, "gram").select(row_id, term)

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import skew
+from gleaner.operators import dedupe, groups, skew
 from gleaner.operators.dedupe import greedy_dedupe, greedy_keep, soft_dedupe, uniq_by
 from gleaner.operators.skew import first_per_group, lookup
+from gleaner.session import Steps
 
 SCHEMA = "seq long, a string, b string, c string"
 
@@ -65,6 +66,54 @@ def test_chains_that_meet(spark):
     assert kept_by_spark(spark, rows) == scan(rows)
 
 
+def braid(n):
+    """Rows that share keys with the one before, the one after and the third from them: chains of two rivals each."""
+    return [(i, f"k{i // 2}", f"m{(i + 1) // 2}", f"z{i // 6}.{i % 3}") for i in range(n)]
+
+
+def test_chains_of_two_rivals(spark):
+    """Every verdict hangs on those before; the number of jobs doesn't grow with the rows."""
+    jobs, tracker = [], spark.sparkContext.statusTracker()
+    for n in (2_000, 100_000):
+        spark.sparkContext.setJobGroup(f"braid {n}", "")
+        rows = spark.range(n).select(F.col("id").alias("seq"), *[F.expr(e).alias(k) for k, e in (
+            ("a", "concat('k', id div 2)"), ("b", "concat('m', (id + 1) div 2)"), ("c", "concat('z', id div 6, '.', id % 3)"))])
+        kept = greedy_keep(rows, {k: F.col(k) for k in "abc"})
+        assert sorted(r["seq"] for r in kept.collect()) == scan(braid(n))
+        jobs.append(len(tracker.getJobIdsForGroup(f"braid {n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] < 1.5 * jobs[0]
+
+
+def test_components_too_large_for_one_task(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "SCANNED_AT_ONCE", 20)
+    rows = braid(50) + [(100 + s, *keys) for s, *keys in random_rows(11, 60, 40)]
+    assert kept_by_spark(spark, rows) == scan(rows)
+
+
+@pytest.mark.parametrize("at_once", [2_000_000, 10])
+def test_connected_rows(spark, monkeypatch, at_once):
+    monkeypatch.setattr(groups, "EDGES_AT_ONCE", at_once)
+    draw = random.Random(3)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(50)] + [
+        (2000, 2001 + i) for i in range(60)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    with Steps(spark, "test") as steps:
+        rows = groups.connected(spark.createDataFrame(edges, "a long, b long"), steps).collect()
+        assert groups.connected(spark.createDataFrame([], "a long, b long"), steps).count() == 0
+    assert sorted(map(tuple, rows)) == sorted((x, find(x)) for x in list(root))
+
+
 def test_null_keys_are_blank(spark):
     rows = [(1, None, None, None), (2, "k", None, ""), (3, None, None, None), (4, "k", None, None)]
     assert kept_by_spark(spark, rows) == [1, 2, 3]

@@ -9,7 +9,8 @@ from gleaner.catalog.views import postings
 from gleaner.config import Config, Criteria
 from gleaner.functions import text as X
 from gleaner.operators import search as S
-from gleaner.operators.enrich import advance_seen, match_vocab, only_new, with_descriptions
+from gleaner.operators.dictionary import match_vocab
+from gleaner.operators.enrich import advance_seen, only_new, with_descriptions
 from gleaner.operators.ledger import admit_daily, day_budget, fresh_snapshots, funnel, purge
 
 
