@@ -10,6 +10,7 @@ from gleaner.operators.ledger import admit_daily, day_budget, fresh_snapshots, p
 from gleaner.operators.skew import first_per_group
 from gleaner.session import scratch_path
 from gleaner.streaming.feeds import stream_dedupe_daily, stream_only_new
+from gleaner.streaming.keyed import stream_first_of_keys
 
 CAP = 90
 TTL = 3600
@@ -141,6 +142,17 @@ def stream_batches(spark, folder):
     return spark.read.parquet(path).select("user_id", "event_id")
 
 
+@query("stream_state_keys", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id % 3, event_id) = 1""")
+def stream_state_keys(spark, folder):
+    """First event per user and day in order of arrival, with a state per key; each batch brings rows of all days."""
+    path = scratch_path(spark, "keyed")
+    _finished(stream_first_of_keys(_arriving(spark, folder, F.col("event_id") % 3), "user_id", "event_id", path,
+                                   scratch_path(spark, "keyed-log"), ts="ts"))
+    return spark.read.parquet(path).select("day", "user_id", "event_id")
+
+
 @query("uniq_users", """
 SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
