@@ -6,15 +6,14 @@ their hashes over the prime field of 2^61 - 1, mixed at the end; prefix sums giv
 run in constant time.  A field has no values that are zero for some sequences by construction, as
 the ring of 64-bit integers has for Thue-Morse words.
 
-Equal fingerprints stand for equal runs where few are compared.  Where runs of a whole corpus are, two
-families of hashes and fingerprints make pairs of 125 bits.
+Equal fingerprints stand for equal runs where few are compared.  Where runs of a whole corpus are, the
+polynomials of two bases make pairs of 122 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +55,7 @@ def _added(x: np.ndarray) -> np.ndarray:
     return _reduced((((high << U(32)) & _P) | (high >> U(29))) + low)
 
 
-# The bases of the two families of fingerprints.
+# The bases of two families of fingerprints.
 BASES = tuple(int(b) % PRIME for b in mix(np.array([_ODD, 3 * _ODD % 2**64], U)).tolist())
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -96,7 +95,7 @@ class Runs:
 
 
 class Buckets:
-    """Hashes of short runs for features of a model, where a collision does no more than share a weight.
+    """Hashes of short runs, where a collision does no more than share a weight or bring rows together that are then told apart.
 
     Polynomials over the ring of 64-bit integers: quicker than Runs, but never proof of equal runs.
     """
@@ -118,15 +117,20 @@ class Buckets:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.downs[starts] + U(0x5851F42D4C957F2D))
 
+    def windows(self, length: int) -> np.ndarray:
+        """Of each run of that length, by start."""
+        n = max(0, len(self.sums) - length)
+        return mix((self.sums[length:] - self.sums[:n]) * self.downs[:n] + U(0x5851F42D4C957F2D))
+
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(_ODD))  # what stands for a byte in Buckets
 FOLDED = BYTES[_FOLD]
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span; spans of up to eight bytes and one length never share one."""
     lengths = ends - starts
-    out = mix((lengths.astype(U) << U(8)) + U(family + 1))
+    out = mix(lengths.astype(U) + U(1))
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:len(data)] = data
     eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
@@ -138,8 +142,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: i
         lane += 8
         left = left[rest > 8]
     for i in np.flatnonzero(lengths >= LONG_WORD).tolist():
-        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=16).digest()
-        out[i] = int.from_bytes(digest[8 * family:8 * family + 8], "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -183,24 +186,20 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    @cached_property
-    def others(self) -> np.ndarray:
-        """The words' hashes of the second family."""
-        return hash_words(self.data, self.starts, self.ends, 1)
-
     def words(self, i: int) -> np.ndarray:
         """Hashes of text i's words."""
         return self.hashes[self.first[i]:self.first[i + 1]]
 
-    def other_words(self, i: int) -> np.ndarray:
-        """Those of the second family."""
-        return self.others[self.first[i]:self.first[i + 1]]
-
     def spans(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte starts and ends of text i's words within the text."""
         part = slice(self.first[i], self.first[i + 1])
         return self.starts[part] - self.offsets[i], self.ends[part] - self.offsets[i]
 
+    def run_prints(self, length: int) -> list[np.ndarray]:
+        """Each text's fingerprints of its runs of so many words; a text of fewer words has none."""
+        prints = Runs(self.hashes).windows(length)
+        return [prints[a:max(a, b - length + 1)] for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)]
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 

@@ -40,14 +40,13 @@ PIVOTS = 16
 _order = np.argsort(grams.mix(np.arange(1, POSITIONS + 1, dtype=U)))[:BANDS * ROWS]
 
 
-def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct fingerprints; a shorter text is one shingle, an empty one has none."""
-    if not len(words):
-        return words
-    runs = grams.Runs(words)
-    if len(words) < size:
-        return runs.windows(len(words))
-    return np.unique(runs.windows(size))
+def shingle_sets(part: grams.Slice, size: int) -> list[np.ndarray]:
+    """Each text's sorted distinct fingerprints; a shorter text is one shingle, an empty one has none."""
+    out = []
+    for i, prints in enumerate(part.run_prints(size)):
+        words = part.words(i)
+        out.append(np.unique(prints) if len(words) >= size else grams.Runs(words).windows(len(words)) if len(words) else words)
+    return out
 
 
 def signature(elements: np.ndarray) -> np.ndarray:
@@ -85,8 +84,7 @@ def _sign(size: int):
         for batch in batches:
             for row, part in grams.slices(batch.column(2), fold=True):
                 counts, prints, keys = [], [], []
-                for i in range(len(part)):
-                    elements = shingle_set(part.words(i), size)
+                for elements in shingle_sets(part, size):
                     counts.append(len(elements))
                     prints.append(_fingerprint(elements))
                     keys.append(bands(signature(elements)).view(np.int64) if len(elements) else None)
@@ -103,7 +101,7 @@ def _sets(size: int):
         for batch in batches:
             prints = batch.column(4).to_pylist()
             for row, part in grams.slices(batch.column(3), fold=True):
-                found = [shingle_set(part.words(i), size) for i in range(len(part))]
+                found = shingle_sets(part, size)
                 mine = [i for i, s in enumerate(found) if _fingerprint(s) == prints[row + i]]
                 if mine:
                     picked = batch.slice(row, len(part)).take(pa.array(mine))

@@ -30,8 +30,8 @@ _upper = (_byte >= 65) & (_byte <= 90)
 _letter = _upper | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 0xC0)  # a lead byte counts as a letter
 
 
-def measure(part: grams.Slice, i: int) -> list[int]:
-    """The MEASURES of one text."""
+def measure(part: grams.Slice, i: int, prints: np.ndarray) -> list[int]:
+    """The MEASURES of one text, of whose 5-word windows the fingerprints are given."""
     data = part.data[part.offsets[i]:part.offsets[i + 1]]
     words = part.words(i)
     n = len(words)
@@ -41,7 +41,6 @@ def measure(part: grams.Slice, i: int) -> list[int]:
     chars = int((((data & 0xC0) != 0x80) & (data != 32) & ((data - np.uint8(9)) > 4)).sum())
     lines = [x for x in data.tobytes().split(b"\n") if x.strip()]
     repeated = 0
-    prints = grams.Runs(words).windows(5)
     if len(prints):
         _, at, counts = np.unique(prints, return_inverse=True, return_counts=True)
         edges = np.zeros(n + 1, np.int64)
@@ -60,7 +59,7 @@ def measure(part: grams.Slice, i: int) -> list[int]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, part in grams.slices(batch.column(1)):
-            found = np.array([measure(part, i) for i in range(len(part))], np.int64).reshape(-1, len(MEASURES))
+            found = np.array([measure(part, i, p) for i, p in enumerate(part.run_prints(5))], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), *map(pa.array, found.T)],
                                              names=["doc_id", *MEASURES])
 

@@ -13,8 +13,8 @@ context gives the fingerprints of its windows, and those that another context sh
 repeats.  Overlapping windows join to maximal repeats when they are cut.  Work is linear in
 the stretches; copies are never paired.
 
-Contexts, windows and rows are told apart by pairs of fingerprints, 125 bits or more, so that no two
-of a corpus are taken for one.
+Anchors bring rows together and prove nothing.  Contexts, windows and rows are told apart by pairs of
+fingerprints, 122 bits or more, so that no two of a corpus are taken for one.
 """
 
 from __future__ import annotations
@@ -45,18 +45,15 @@ def _same(side: str) -> Column:
     return (F.col("key") == F.col(f"{side}_key")) & (F.col("key2") == F.col(f"{side}_key2"))
 
 
-def stretches(words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Anchor position, first window and number of windows of each stretch, with the fingerprints."""
-    runs = grams.Runs(words)
-    prints = runs.windows(seed)
-    reach = length - seed + 1
+def stretches(prints: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """Anchor position, first window and number of windows of each stretch, from the hashes of a text's seeds; a window holds `reach` of them."""
     if len(prints) < reach:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, prints, runs
+        return empty, empty, empty
     windows = np.lib.stride_tricks.sliding_window_view(prints, reach)
     anchor = windows.argmin(axis=1) + np.arange(len(windows))
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    return anchor[first], first, np.diff(np.r_[first, len(anchor)]), prints, runs
+    return anchor[first], first, np.diff(np.r_[first, len(anchor)])
 
 
 def _seeds(length: int, seed: int):
@@ -64,19 +61,18 @@ def _seeds(length: int, seed: int):
         for batch in batches:
             keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]
             for row, part in grams.slices(batch.column(2)):
-                found = []
-                for i in range(len(part)):
-                    at, first, count, prints, runs = stretches(part.words(i), length, seed)
+                prints, found = grams.Buckets(part.hashes).windows(seed), []
+                for i, (low, high) in enumerate(zip(part.first[:-1].tolist(), part.first[1:].tolist(), strict=True)):
+                    at, first, count = stretches(prints[low:max(low, high - seed + 1)], length - seed + 1)
                     if len(at):
-                        ends = first + count - 1 + length
-                        place = (at - first).astype(np.uint64)
-                        other = grams.Runs(part.other_words(i), 1).of(first, ends)
-                        found.append((prints[at], grams.mix(runs.of(first, ends) + place), grams.mix(other + place),
-                                      np.full(len(at), row + i), first, count))
+                        found.append((at, first, count, np.full(len(at), row + i), np.full(len(at), low)))
                 if found:
-                    anchor, context, other, at, first, count = map(np.concatenate, zip(*found, strict=True))
+                    at, first, count, texts, low = map(np.concatenate, zip(*found, strict=True))
+                    starts = low + first
+                    both = [grams.mix(grams.Runs(part.hashes, k).of(starts, starts + count - 1 + length) + (at - first).astype(np.uint64))
+                            for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays(
-                        [*map(grams.signed, (anchor, context, other)), *[pa.array(k[at]) for k in keys],
+                        [*map(grams.signed, (prints[low + at], *both)), *[pa.array(k[texts]) for k in keys],
                          pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=[*CONTEXT, *KEY, "first", "count"])
     return run
 
@@ -90,15 +86,14 @@ def _windows(length: int):
             for row, part in grams.slices(pc.struct_field(batch.column(2), "text")):
                 found = []
                 for i in range(len(part)):
-                    prints = grams.Runs(part.words(i)).windows(length)
-                    others = grams.Runs(part.other_words(i), 1).windows(length)
                     starts = np.concatenate([np.arange(p["first"], p["first"] + p["count"]) for p in probes[row + i]])
                     lone = np.repeat([p["lone"] for p in probes[row + i]], [p["count"] for p in probes[row + i]])
-                    found.append((prints[starts], others[starts], np.full(len(starts), row + i), starts, lone))
+                    found.append((part.first[i] + starts, np.full(len(starts), row + i), starts, lone))
                 if found:
-                    window, other, at, start, lone = map(np.concatenate, zip(*found, strict=True))
+                    place, at, start, lone = map(np.concatenate, zip(*found, strict=True))
+                    both = [grams.Runs(part.hashes, k).of(place, place + length) for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays(
-                        [*map(grams.signed, (window, other)), *[pa.array(k[at]) for k in keys], pa.array(start, pa.int32()),
+                        [*map(grams.signed, both), *[pa.array(k[at]) for k in keys], pa.array(start, pa.int32()),
                          pa.array(lone, pa.bool_())], names=[*WINDOW, *KEY, "first", "lone"])
     return run
 
