@@ -17,6 +17,8 @@ from gleaner.operators.dedupe import greedy_dedupe, soft_dedupe, uniq_by
 from gleaner.operators.enrich import advance_seen, only_new, with_descriptions
 from gleaner.operators.ledger import funnel
 from gleaner.operators.shape import ordered_union, shape_board, unify
+from gleaner.session import scratch_path
+from gleaner.sources.seen_keys import SeenKeys
 
 _KEY = Q.sql_key("job_url", "company", "title")
 _JOB_ID = Q.sql_job_id("job_url")
@@ -358,6 +360,19 @@ def incremental_new(spark, folder):
     return fresh.select("seq", "job_id")
 
 
+@query("incremental_state", f"""
+WITH {POSTINGS_SQL}, {_NEW_SQL}
+SELECT seq, {_JOB_ID} AS job_id FROM later
+WHERE {_JOB_ID} IS NOT NULL AND {_JOB_ID} NOT IN (SELECT key FROM seen)""")
+def incremental_state(spark, folder):
+    """New postings against keys that earlier runs left in a bucketed table, one run repeated."""
+    state = SeenKeys(spark, scratch_path(spark, "seen-keys"), buckets=8)
+    seen = _seen(spark, folder)
+    for part in (0, 1, 1):
+        state.remember(seen.filter(F.pmod(F.xxhash64("key"), F.lit(2)) == part), "key")
+    return state.only_new(_later(spark, folder), "job_id").select("seq", "job_id")
+
+
 @query("seen_after", f"""
 WITH {POSTINGS_SQL}, {_NEW_SQL}
 SELECT key FROM seen UNION SELECT {_JOB_ID} FROM later WHERE {_JOB_ID} IS NOT NULL""")

@@ -1,13 +1,13 @@
 """Feeds run on landed files: read, curate, write, remember.
 
 Each job writes its rows to a Parquet table first.  Later steps read that
-table, so nothing is computed twice, row numbers stay fixed, and a failed step
-can be repeated.
+table, so nothing is computed twice and row numbers stay fixed.  Its stages are kept under
+the run's name until it is done: a run that failed goes on where it stopped.  The tables are
+versioned, so readers, and the run after a failed one, see a whole table.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +23,8 @@ from gleaner.plans.feeds import accepted_hits, board_feed, combined_feed, likely
 from gleaner.sources.hits import read_hits
 from gleaner.sources.pages import extract_cards, extract_detail, extract_jsonld
 from gleaner.sources.state import append_seen, load_seen
-from gleaner.session import Steps
 from gleaner.sources.tables import BOARD_FILE_NAME, read_latest, read_postings_csv, write_postings_csv
+from gleaner.sources.versions import Journal, Versions
 
 def numbered(cards: DataFrame, page: str = "page_id") -> DataFrame:
     """``seq`` from page and place on the page; the page's id may be a number or a text."""
@@ -53,30 +53,31 @@ def run_board(spark: SparkSession, pages: DataFrame, detail_pages: DataFrame, ou
     the table and the file of the run before as they are.  Returns the rows
     written, or None.
     """
-    steps = Steps(spark, "board")
-    with steps:
-        cards = steps.keep(likely_cards(numbered(extract_cards(pages)), config))
+    journal = Journal(spark, out, "board", day, run)
+
+    def curated() -> DataFrame:
+        cards = journal.keep("cards", lambda: likely_cards(numbered(extract_cards(pages)), config))
         wanted = cards.select(U.job_id(F.col("jobUrl")).alias("job_id")).filter("job_id is not null").distinct()
         landed = detail_pages.join(wanted, "job_id", "left_semi")
         order = landing_order(landed)
         texts = extract_detail(landed.select(F.struct("job_id", *order).alias("page"), "html"), "page")
         details = first_filled(texts.select("page.*", "description"), "job_id", "description", order or ["description"])
-        rows = steps.keep(board_feed(cards, details, config))
-        if rows.isEmpty():
-            return None
+        return board_feed(cards, details, config)
+
+    rows = journal.keep("rows", curated)
+    written = None
+    if not rows.isEmpty():
         fresh = rows
         if config.incremental:
             # a repeated run must not see the keys its first attempt remembered
             earlier = load_seen(spark, f"{out}/board_seen").filter(F.col("run") != run)
-            fresh = steps.keep(only_new(rows, earlier, "li_job_id"))
-        written = None
+            fresh = journal.keep("fresh", lambda: only_new(rows, earlier, "li_job_id"))
         if not fresh.isEmpty():
-            table = f"{out}/board_table"
-            fresh.write.mode("overwrite").parquet(table)
-            written = spark.read.parquet(table)
+            written = Versions(spark, f"{out}/board_table").write(fresh)
             write_postings_csv(written, f"{out}/{BOARD_FILE_NAME}")
         append_seen(rows.select("li_job_id"), f"{out}/board_seen", day, run)
-        return written
+    journal.finish()
+    return written
 
 
 def run_web(spark: SparkSession, hits_path: str, landed: DataFrame, out: str, day: str, run: str,
@@ -87,28 +88,29 @@ def run_web(spark: SparkSession, hits_path: str, landed: DataFrame, out: str, da
     first that is not empty counts.
     """
     seen = load_seen(spark, f"{out}/web_seen", day).filter(F.col("run") != run)
-    with Steps(spark, "web") as steps:
-        hits = steps.keep(only_new(accepted_hits(read_hits(spark, hits_path), config), seen, "link"))
+    journal = Journal(spark, out, "web", day, run)
+
+    def curated() -> DataFrame:
+        hits = journal.keep("hits", lambda: only_new(accepted_hits(read_hits(spark, hits_path), config), seen, "link"))
         wanted = hits.select(F.col("link").alias("url"))
         linked = landed.join(wanted, "url", "left_semi")
         order = landing_order(linked)
         found = extract_jsonld(first_filled(linked, "url", "html", order or [F.xxhash64("html"), "html"]))
-        table = f"{out}/web_table"
-        web_feed(hits, found, config).write.mode("overwrite").parquet(table)
-    rows = spark.read.parquet(table)
+        return web_feed(hits, found, config)
+
+    rows = Versions(spark, f"{out}/web_table").write(journal.keep("rows", curated))
     write_postings_csv(rows, f"{out}/{config.out_csv}", S.WEB_COLUMNS)
     append_seen(rows.select("job_url"), f"{out}/web_seen", day, run)
+    journal.finish()
     return rows
 
 
 def write_audit_and_clean(web: DataFrame, board: DataFrame, out: str) -> DataFrame:
     """Raw union and deduped union, each as a table and as CSV; returns the clean one."""
     spark = web.sparkSession
-    combined_feed(web, board).write.mode("overwrite").parquet(f"{out}/combined_all_table")
-    audit = spark.read.parquet(f"{out}/combined_all_table")
+    audit = Versions(spark, f"{out}/combined_all_table").write(combined_feed(web, board))
     write_postings_csv(audit, f"{out}/combined_results_all.csv")
-    greedy_dedupe(audit).write.mode("overwrite").parquet(f"{out}/combined_table")
-    clean = spark.read.parquet(f"{out}/combined_table")
+    clean = Versions(spark, f"{out}/combined_table").write(greedy_dedupe(audit))
     write_postings_csv(clean, f"{out}/combined_results.csv")
     return clean
 
@@ -131,14 +133,7 @@ def run_all(spark: SparkSession, pages: DataFrame, detail_pages: DataFrame, hits
     web = run_web(spark, hits_path, landed, out, day, run, config)
     board = run_board(spark, pages, detail_pages, out, day, run, config)
     if board is None:
-        board = _earlier_board(spark, f"{out}/board_table")
+        board = Versions(spark, f"{out}/board_table").read()
+    if board is None:
+        board = spark.createDataFrame([], T.StructType([*S.UNIFIED.fields, T.StructField("seq", S.PLACE)]))
     return write_audit_and_clean(web, board, out)
-
-
-def _earlier_board(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], T.StructType([*S.UNIFIED.fields, T.StructField("seq", S.PLACE)]))

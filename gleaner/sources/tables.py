@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +50,25 @@ def read_postings_csv(spark: SparkSession, path: str | None,
         raise
     if not raw.columns:
         return _empty(spark, fallback)
-    cells = [X.trimmed(F.col(f"`{c}`")).alias(c.strip(X.SPACE_CHARS)) for c in raw.columns]
-    return raw.select(*cells, place().alias("seq"))
+    parts = []
+    for names, files in _by_header(spark, path).items():
+        rows = reader.schema(", ".join(f"`{i}` string" for i in range(len(names)))).csv(files)
+        # of columns with one name the last counts; columns without a name are left out
+        last = {n: i for i, n in enumerate(names) if n}
+        parts.append(rows.select(*[X.trimmed(F.col(f"`{i}`")).alias(n) for n, i in last.items()], place().alias("seq")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path that are not blank, by the names in their first record; names are few, files listed."""
+    text = spark.read.option("wholetext", False).text(path).select(F.col("_metadata.file_path").alias("file"), "value",
+                                                                  F.col("_metadata.file_block_start").alias("at"))
+    head = text.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.first("value").alias("head"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in head.orderBy("file").collect():
+        names = next(csv.reader([r["head"].lstrip("\ufeff")], skipinitialspace=True))
+        found.setdefault(tuple(n.strip(X.SPACE_CHARS) for n in names), []).append(r["file"])
+    return found
 
 
 def latest_file(spark: SparkSession, folder: str, preferred: Sequence[str] = WEB_FILE_NAMES,
