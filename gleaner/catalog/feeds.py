@@ -100,7 +100,7 @@ SELECT count(*) FILTER (source_rank = 0) AS web, count(*) FILTER (source_rank =
   count(*) AS combined, (SELECT count(*) FROM kept) AS kept FROM feed""")
 def merge_funnel(spark, folder):
     combined = combined_feed(*_split_feeds(spark, folder))
-    return merge_counts(combined, greedy_keep(combined, posting_keys()), {"web": 0, "board": 1})
+    return merge_counts(combined, lambda rows: greedy_keep(rows, posting_keys()), {"web": 0, "board": 1})
 
 
 @query("full_feed", f"""

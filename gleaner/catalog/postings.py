@@ -166,8 +166,8 @@ coded AS (SELECT seq,
   CASE WHEN under_10_applicants THEN 'true' ELSE 'false' END AS few_applicants_code,
   regexp_replace(trim(keyword), ' +', '+', 'g') AS keyword_code,
   regexp_replace(trim(location), ' +', '+', 'g') AS location_code,
-  CAST(floor(coalesce(TRY_CAST(page AS DOUBLE), 0) * 25) AS INTEGER) AS start,
-  CAST(floor(coalesce(TRY_CAST("limit" AS DOUBLE), 0)) AS INTEGER) AS row_limit
+  CAST(floor(coalesce(TRY_CAST(page AS DOUBLE), 0) * 25) AS BIGINT) AS start,
+  CAST(floor(coalesce(TRY_CAST("limit" AS DOUBLE), 0)) AS BIGINT) AS row_limit
 FROM options)
 SELECT *, concat_ws('|', keyword_code, location_code, date_code, salary_code, experience_code,
   remote_code, job_type_code, verified_code, few_applicants_code, start, sort_code, row_limit)
@@ -218,6 +218,16 @@ def page_2(spark, folder):
     return S.page(postings(spark, folder).select("seq", "title").orderBy("seq"), 2)
 
 
+@query("deep_page", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 25 OFFSET 50000""")
+def deep_page(spark, folder):
+    """Page 2,000 of the order lines, the dearest first."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity")
+    order = [F.desc("l_extendedprice"), *[F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]]
+    return S.ranks(lines, order, 2_000 * 25, 25).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("sort_recent", _with(
     "SELECT seq, CAST(date_posted AS VARCHAR) AS date_posted FROM postings "
     "ORDER BY date_posted DESC, seq"))

@@ -151,7 +151,7 @@ class Config:
         return replace(cls(), **changes)
 
 
-MOST_ROWS = 2**31 - 1  # the largest limit or offset that a plan can hold
+BEYOND = 1e18  # read for larger numbers; no table has so many rows
 
 
 def number(value) -> float:
@@ -161,7 +161,7 @@ def number(value) -> float:
     except (TypeError, ValueError):
         return 0.0
     written = not isinstance(value, str) or set(value.strip()) <= set("0123456789+-.eE")
-    return min(max(found, 0.0), float(MOST_ROWS)) if written and found == found else 0.0
+    return min(max(found, 0.0), BEYOND) if written and found == found else 0.0
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ class Criteria:
 
     @property
     def row_offset(self) -> int:
-        return int(min(number(self.page) * BOARD_PAGE_ROWS, MOST_ROWS))
+        return int(min(number(self.page) * BOARD_PAGE_ROWS, BEYOND))
 
     @property
     def snapshot_key(self) -> str:

@@ -112,7 +112,7 @@ def as_count(col: Column) -> Column:
     """
     flat = trimmed(col)
     value = F.when(flat.rlike(f"^{NUMBER_PATTERN}$"), flat.try_cast("double"))
-    return F.least(F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)), F.lit(float(C.MOST_ROWS)))
+    return F.least(F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)), F.lit(C.BEYOND))
 
 
 # ---- vocabulary matching ---------------------------------------------------

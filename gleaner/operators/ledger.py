@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.operators.skew import first_per_group
+from gleaner.session import materialize
 
 
 def utc_day(ts: Column) -> Column:
@@ -39,14 +40,18 @@ def funnel(df: DataFrame, key: Column, stages: Mapping[str, Column],
     )
 
 
-def merge_counts(combined: DataFrame, kept: DataFrame, sources: Mapping[str, int]) -> DataFrame:
-    """Rows per source, rows together, and rows left after the merge's dedupe."""
-    rank = F.col("source_rank")
-    before = combined.agg(
-        *[F.count_if(rank == r).alias(name) for name, r in sources.items()],
-        F.count(F.lit(1)).alias("combined"))
-    after = kept.agg(F.count(F.lit(1)).alias("kept"))
-    return before.withColumn("kept", after.scalar())
+def merge_counts(combined: DataFrame, dedupe: Callable[[DataFrame], DataFrame], sources: Mapping[str, int]) -> DataFrame:
+    """Rows per source, rows together, and rows left by the merge's ``dedupe``.
+
+    The combined rows are counted while they are written, so the feeds are read once.
+    """
+    seen, rank = Observation("merge"), F.col("source_rank")
+    rows = materialize(combined.observe(
+        seen, *[F.count_if(rank == r).alias(name) for name, r in sources.items()], F.count(F.lit(1)).alias("combined")))
+    counts = seen.get
+    return dedupe(rows).agg(
+        *[F.lit(counts.get(name, 0)).cast("long").alias(name) for name in (*sources, "combined")],
+        F.count(F.lit(1)).alias("kept"))
 
 
 def day_budget(units: DataFrame, ts: str, cap: int) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import config as C
 from gleaner.config import Config, Criteria
 from gleaner.functions import text as X
 from gleaner.operators.skew import first_per_group
+from gleaner.session import Steps
 from gleaner.sources.state import Snapshots
 
 ANY = "any"
+TOP_ROWS = 100_000  # up to so many ranks a task keeps its own first rows
 
 
 def _code(col: Column, table: Mapping[str, str], fold_case: bool = True) -> Column:
@@ -37,8 +39,8 @@ def encode_criteria(options: DataFrame) -> DataFrame:
         "few_applicants_code": F.when(c("under_10_applicants"), "true").otherwise("false"),
         "keyword_code": X.plus_joined(c("keyword")),
         "location_code": X.plus_joined(c("location")),
-        "start": F.least(F.floor(X.as_count(c("page")) * C.BOARD_PAGE_ROWS), F.lit(C.MOST_ROWS)).cast("int"),
-        "row_limit": F.floor(X.as_count(c("limit"))).cast("int"),
+        "start": F.floor(F.least(X.as_count(c("page")) * C.BOARD_PAGE_ROWS, F.lit(C.BEYOND))),
+        "row_limit": F.floor(X.as_count(c("limit"))),
     })
 
 
@@ -80,15 +82,21 @@ def matching(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFram
     return out
 
 
-def sort_postings(postings: DataFrame, mode: str, keyword: str = "") -> DataFrame:
-    """``recent`` newest first; ``relevant`` most keyword hits first; else in order."""
+def _sorting(postings: DataFrame, mode: str, keyword: str = "") -> tuple[DataFrame, list[Column]]:
+    """The rows, if need be with a column ``_hits``, and the columns they are sorted by."""
     if mode == "recent":
-        return postings.orderBy(F.desc("date_posted"), "seq")
+        return postings, [F.desc("date_posted"), F.col("seq").asc()]
     if mode == "relevant" and keyword:
         hits = X.occurrences(F.col("title"), keyword) + X.occurrences(F.col("description"), keyword)
         # a column of its own, or the sort would work it out at every comparison
-        return postings.withColumn("_hits", hits).orderBy(F.desc("_hits"), "seq").drop("_hits")
-    return postings.orderBy("seq")
+        return postings.withColumn("_hits", hits), [F.desc("_hits"), F.col("seq").asc()]
+    return postings, [F.col("seq").asc()]
+
+
+def sort_postings(postings: DataFrame, mode: str, keyword: str = "") -> DataFrame:
+    """``recent`` newest first; ``relevant`` most keyword hits first; else in order."""
+    rows, order = _sorting(postings, mode, keyword)
+    return rows.orderBy(*order).drop("_hits")
 
 
 def page(ordered: DataFrame, number: int, size: int = C.BOARD_PAGE_ROWS) -> DataFrame:
@@ -101,21 +109,37 @@ def limit_n(ordered: DataFrame, n: int) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
-def search_postings(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFrame:
-    """One page of the matches, or all from the page's start on where no limit is set.
+def ranks(rows: DataFrame, order: Sequence[Column], offset: int, limit: int = 0) -> DataFrame:
+    """The rows from rank ``offset`` on (the first has 0), at most ``limit`` where it isn't 0, in order.
 
-    Without a limit the rows before the page are left out by a join, since a
-    bare offset would pass the whole result through one task.
+    ``order`` tells any two rows apart.  Up to TOP_ROWS rows are kept task by task, as Spark does for a limit.  A place further
+    back is found by rank: the rows are dealt to ranges of the order, cut by Spark's sample, and written; the
+    ranges are counted, and only those that hold wanted ranks are sorted, each by itself.  Numbers may be of any size.
     """
-    def ordered(rows: DataFrame) -> DataFrame:
-        return sort_postings(rows, criteria.sort_by, criteria.keyword.strip())
-
-    found = matching(postings, criteria, as_of)
-    if criteria.row_offset and not criteria.row_limit:
-        before = ordered(found).limit(criteria.row_offset).select("seq")
-        return ordered(found.join(before, "seq", "left_anti"))
-    page_start = ordered(found).offset(criteria.row_offset) if criteria.row_offset else ordered(found)
-    return limit_n(page_start, criteria.row_limit)
+    if 0 < offset + limit <= TOP_ROWS and limit:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    if not offset and not limit:
+        return rows.orderBy(*order)
+    steps = Steps(rows.sparkSession, "ranks")
+    dealt = steps.keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    start, wanted = 0, []  # ranges with the ranks before them
+    for r in dealt.groupBy("_range").count().orderBy("_range").collect():
+        if start + r["count"] > offset and (not limit or start < offset + limit):
+            wanted.append((r["_range"], max(0, offset - start), min(r["count"], offset + limit - start) if limit else r["count"]))
+        start += r["count"]
+    if not wanted:
+        return rows.limit(0)
+    (low, skipped, _), (high, _, last) = wanted[0], wanted[-1]
+    inside = dealt.filter(F.col("_range").between(low, high)).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    kept = inside.filter(((F.col("_range") > low) | (F.col("_rank") > skipped)) & ((F.col("_range") < high) | (F.col("_rank") <= last)))
+    return kept.orderBy(*order).drop("_range", "_rank")
+
+
+def search_postings(postings: DataFrame, criteria: Criteria, as_of: Column) -> DataFrame:
+    """One page of the matches, or all from the page's start on where no limit is set."""
+    rows, order = _sorting(matching(postings, criteria, as_of), criteria.sort_by, criteria.keyword.strip())
+    return ranks(rows, order, criteria.row_offset, criteria.row_limit).drop("_hits")
 
 
 def search_stored(store: Snapshots, postings: DataFrame, criteria: Criteria, now: datetime,

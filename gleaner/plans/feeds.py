@@ -12,6 +12,7 @@ from gleaner.functions import urls as U
 from gleaner.operators.dedupe import greedy_dedupe, posting_keys, soft_dedupe, uniq_by
 from gleaner.operators.enrich import only_new, with_descriptions, with_found
 from gleaner.operators.shape import ordered_union, shape_board, shape_web, unify
+from gleaner.session import materialize
 
 
 def unique_cards(cards: DataFrame) -> DataFrame:
@@ -79,4 +80,5 @@ def combined_feed(web: DataFrame, board: DataFrame) -> DataFrame:
 
 
 def merged_feed(web: DataFrame, board: DataFrame) -> DataFrame:
-    return greedy_dedupe(combined_feed(web, board), posting_keys())
+    # written once, since the dedupe reads the rows for their keys and again for the result
+    return greedy_dedupe(materialize(combined_feed(web, board)), posting_keys())

@@ -10,7 +10,7 @@ PARSING = {"html_text", "detail_text", "card_extract", "jsonld_extract", "enrich
            "shape_web_rows", "web_feed"}
 WRITING = {"multi_file_order", "csv_relaxed", "merge_files", "seen_state", "snapshot_reuse", "stream_late_days", "stream_batches",
            "greedy_dedupe", "merged_feed", "merge_funnel", "full_feed", "csv_round_trip", "stream_new_keys",
-           "stream_daily_keys", "stream_state_keys", "skill_counts", "part_mentions"}
+           "stream_daily_keys", "stream_state_keys", "skill_counts", "part_mentions", "incremental_state", "deep_page"}
 
 
 def plan(frame):

@@ -166,13 +166,28 @@ def test_config_overrides():
 
 @pytest.mark.parametrize(("written", "value"), [
     ("1e2", 100), (" 5 ", 5), ("2.5", 2.5), ("", 0), (None, 0), ("x", 0), ("inf", 0), ("nan", 0), ("1_0", 0), ("-3", 0), ("+4", 4),
-    (".5", 0.5), ("7.", 7), ("1e400", 2**31 - 1), ("12d", 0), ("99999999999", 2**31 - 1)])
+    (".5", 0.5), ("7.", 7), ("1e400", 1e18), ("12d", 0), ("99999999999", 99999999999)])
 def test_number_options_follow_one_rule(column, written, value):
     from gleaner.config import number
 
     assert number(written) == value and column(X.as_count, [written]) == [value]
 
 
+@pytest.mark.parametrize("offset,limit", [(0, 0), (0, 7), (93, 0), (450, 25), (490, 100), (500, 5), (10**12, 5), (3, 10**12), (120, 200)])
+def test_ranks(spark, monkeypatch, offset, limit):
+    monkeypatch.setattr(S, "TOP_ROWS", 10)
+    rows = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 31).alias("v")).repartition(5)
+    want = sorted(((i, i * 7919 % 31) for i in range(500)), key=lambda r: (-r[1], r[0]))
+    got = S.ranks(rows, [F.desc("v"), F.col("id").asc()], offset, limit).collect()
+    assert [tuple(r) for r in got] == want[offset:offset + limit if limit else None]
+
+
+def test_large_numbers_stay_what_they_are(spark):
+    far = Criteria(page="99999999999", limit="3000000000")
+    assert far.row_offset == 2499999999975 and far.row_limit == 3_000_000_000
+    assert Criteria(page="1e400").row_offset == 10**18
+
+
 def test_fractional_pages_and_limits():
     assert Criteria(page="2.5", limit="1e1").row_offset == 62 and Criteria(limit="1e1").row_limit == 10
     assert Criteria(limit="inf").row_limit == 0
