@@ -1,49 +1,13 @@
-"""Connected components by alternating star contractions, all in DataFrames."""
+"""Connected components of links: union-find in one task up to a bounded number of links, star contraction beyond."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from gleaner.operators.groups import connected
 from gleaner.session import Steps
 
 
-def _star(edges: DataFrame, large: bool, steps: Steps) -> DataFrame:
-    """Hang each node's larger (or other) neighbours on its smallest one.
-
-    The least neighbour is a map-side combined minimum, so a hub costs one row a task.  It is written
-    by itself: then the edges are shuffled for the join alone, which lets Spark split a hub's.
-    """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    if not large:
-        both = both.filter("v < u")
-    least = steps.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    hung = both.join(least, "u")
-    out = hung.filter("v > u") if large else hung.filter("v <> m")
-    out = out.select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if not large:
-        out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
-
-
 def components(edges: DataFrame, steps: Steps) -> DataFrame:
-    """Rows (node, root) for every node of the edges (a, b): root is the smallest node reached.
-
-    Each round halves the paths; it ends when a round changes no edge.
-    """
-    edges = steps.keep(edges.filter("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    was = state(edges)
-    while was[0]:
-        edges = steps.keep(_star(_star(edges, True, steps), False, steps))
-        now = state(edges)
-        if now == was:
-            break
-        was = now
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    """Rows (node, root) for every node of the edges (a, b): root is the smallest node reached."""
+    return connected(edges, steps)
