@@ -29,8 +29,9 @@ def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 def read_postings_csv(spark: SparkSession, path: str | None,
                       schema: T.StructType = S.UNIFIED, multi_line: bool = True) -> DataFrame:
-    """Relaxed CSV read: every cell a trimmed string, columns named by the header.
+    """Relaxed CSV read: every cell a trimmed string, columns named by the header of its own file.
 
+    Files may have their columns in any order; a column that a file lacks is null there.  A header is one line.
     A missing or blank file gives no rows of ``schema``.  ``seq`` is the row's
     place: files by name, then their rows.  ``multi_line`` allows line breaks inside quotes and reads a
     file in one task; feeds whose cells hold none can turn it off so that large
