@@ -8,7 +8,7 @@ from gleaner.catalog import registry as Q
 from gleaner.catalog.postings import SHAPED_SQL, sorted_contacts
 from gleaner.catalog.registry import query
 from gleaner.catalog.views import CARDS_SQL, DETAILS_SQL, POSTINGS_SQL
-from gleaner.catalog.views import cards, details, postings
+from gleaner.catalog.views import bare_postings, cards, details, with_texts
 from gleaner.catalog.webpages import HITS_SQL, LANDED_SQL, RULES_SQL, WEB_ROWS_SQL, found, hits
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
@@ -59,15 +59,14 @@ def web(spark, folder):
 
 def _split_feeds(spark, folder):
     """The postings as a web feed (career sites) and a board feed (the rest)."""
-    c, rows = F.col, postings(spark, folder)
+    c, rows = F.col, bare_postings(spark, folder)
     ats = c("job_url").startswith("https://ats.")
     as_web = rows.filter(ats).select(
-        "seq", "company", "title", "location", c("date_posted").cast("string").alias("posted_at"),
-        "job_url", c("description").alias("snippet"))
+        "doc_slot", "seq", "company", "title", "location", c("date_posted").cast("string").alias("posted_at"), "job_url")
     as_board = rows.filter(~ats).select(
-        "seq", U.job_id(c("job_url")).alias("li_job_id"), "company", "title", "location",
-        c("date_posted").cast("string").alias("date_posted"), "job_url", "description")
-    return as_web, as_board
+        "doc_slot", "seq", U.job_id(c("job_url")).alias("li_job_id"), "company", "title", "location",
+        c("date_posted").cast("string").alias("date_posted"), "job_url")
+    return with_texts(spark, folder, as_web, "snippet"), with_texts(spark, folder, as_board)
 
 
 _BLANKS = ("matched_role", "is_remote", "ago_time", "salary", "contact_emails", "contact_phones",

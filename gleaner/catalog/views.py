@@ -55,8 +55,8 @@ def _slot(key: str, dim: DataFrame):
     return F.col(key) % dim.select(F.count(F.lit(1))).scalar()
 
 
-def postings(spark: SparkSession, folder: str) -> DataFrame:
-    """One posting per order; the text comes from the documents table."""
+def bare_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """One posting per order, with the document ``doc_slot`` that holds its text."""
     def read(name: str) -> DataFrame:
         return table(spark, folder, name)
 
@@ -78,14 +78,12 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         .join(customers, c("c_custkey") == c("o_custkey"))
         .join(part, c("p_partkey") == c("part_slot"))
     )
-    # Both sides grow with the data, so they are always dealt out by the document: no plan that holds one of them whole.
-    rows = narrow.join(documents.hint("merge"), c("doc_id") == c("doc_slot"))
     board_url = F.concat(
         F.lit("https://jobs.example.com/view/"), F.replace("p_name", F.lit(" "), F.lit("-")),
         F.lit("-"), (c("o_custkey") + 100000).cast("string"),
         F.lit("?position="), (order % 25).cast("string"))
-    return rows.select(
-        order.alias("seq"), c("p_name").alias("title"), c("s_name").alias("company"),
+    return narrow.select(
+        "doc_slot", order.alias("seq"), c("p_name").alias("title"), c("s_name").alias("company"),
         F.when(order % 5 == 0, "Remote").otherwise(c("n_name")).alias("location"),
         F.when(order % 31 == 0, "")
         .when(order % 7 == 0, F.concat(F.lit("https://ats.example.com/careers/"), cust, F.lit("/")))
@@ -95,10 +93,25 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).alias("experience"),
         F.when(order % 5 == 0, "2").when(order % 5 == 1, "3").otherwise("1").alias("remote_code"),
         (order % 2 == 0).alias("verified"), (c("o_custkey") % 30).alias("applicants"),
-        c("text").alias("description"),
     )
 
 
+def with_texts(spark: SparkSession, folder: str, rows: DataFrame, name: str = "description") -> DataFrame:
+    """Postings with the text of their document as the last column, in place of ``doc_slot``.
+
+    The text comes after all that is worked out from the other columns, so that a filter or a
+    semi-join on those is done before any text is looked up.
+    """
+    texts = table(spark, folder, "documents").select("doc_id", F.col("text").alias(name))
+    # Both sides grow with the data, so they are always dealt out by the document: no plan that holds one of them whole.
+    return rows.join(texts.hint("merge"), F.col("doc_id") == F.col("doc_slot")).drop("doc_id", "doc_slot")
+
+
+def postings(spark: SparkSession, folder: str) -> DataFrame:
+    """One posting per order; the text comes from the documents table."""
+    return with_texts(spark, folder, bare_postings(spark, folder))
+
+
 def cards(spark: SparkSession, folder: str) -> DataFrame:
     """The postings as board cards, without description."""
     c = F.col

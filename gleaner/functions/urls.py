@@ -17,6 +17,11 @@ WEB_URL_PATTERN = (
     r"(?::(\d*))?(/[^?#]*)?(?:[?#].*)?$"
 )
 OTHER_URL_PATTERN = r"^(?!(?i:https?|ftp|wss?):)([A-Za-z][A-Za-z0-9+.-]*:)([^?#]*)(?:[?#].*)?$"
+# Web URLs that only lose query, fragment and one slash: a plain host, no port, and a path without
+# percent signs, dot segments and characters to escape.
+PLAIN_URL_PATTERN = (
+    r"^https?://[a-z0-9.-]++(?:/(?!\.{1,2}(?:[/?#]|\z))[!$&-.0-;=@-\[\]_a-z|~]*+)*+(?:[?#]|\z)"
+)
 DEFAULT_PORTS = ("http:80", "https:443", "ftp:21", "ws:80", "wss:443")
 DOTALL = "(?s)"
 
@@ -87,7 +92,9 @@ def canonical(url: Column) -> Column:
         F.lower(F.regexp_extract(u, other_pattern, 1)),
         F.regexp_replace(F.regexp_extract(u, other_pattern, 2), "/$", ""),
     )
-    return F.when(u.rlike(pattern), web).when(u.rlike(other_pattern), other).otherwise(u)
+    cut = F.substring_index(F.substring_index(u, "?", 1), "#", 1)
+    return (F.when(u.rlike(PLAIN_URL_PATTERN), F.regexp_replace(cut, "/$", ""))
+            .when(u.rlike(pattern), web).when(u.rlike(other_pattern), other).otherwise(u))
 
 
 def without_www(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
-from gleaner.operators.groups import connected
+from gleaner.operators.groups import EDGES_AT_ONCE, connected
 from gleaner.operators.skew import first_per_group
 from gleaner.session import Steps, materialize
 
@@ -90,15 +90,15 @@ def _first_two(left: DataFrame, chains: bool, steps: Steps) -> DataFrame:
     earlier row is kept exactly when that one is not, and chains of such rows are resolved by
     pointer doubling.
     """
+    if not chains:
+        heads = left.groupBy("key").agg(F.min("rid").alias("rid"), F.min_by("width", "rid").alias("width"))
+        return steps.keep(heads.groupBy("rid", "width").count().filter("count = width").select("rid"))
     by_key = Window.partitionBy("key").orderBy("rid")
     heads = left.withColumn("nth", F.row_number().over(by_key)).filter("nth <= 2").withColumn(
         "rival", F.when(F.col("nth") == 2, F.lag("rid").over(by_key)))
-    state = heads.groupBy("rid", "width").agg(
+    state = steps.keep(heads.groupBy("rid", "width").agg(
         F.count("*").alias("heads"), F.min("rival").alias("rival"), F.max("rival").alias("other"),
-        F.count("rival").alias("seconds")).filter("heads = width")
-    if not chains:
-        return steps.keep(state.filter("seconds = 0").select("rid"))
-    state = steps.keep(state)
+        F.count("rival").alias("seconds")).filter("heads = width"))
     first = state.filter("seconds = 0").select("rid")
     single = state.filter("seconds > 0 and rival = other")
     # an even number of steps behind a kept row; the row one step behind it is dropped
@@ -115,44 +115,52 @@ def greedy_keep(df: DataFrame, keys: Mapping[str, Column], seq: str = "seq") ->
     * Rows with the same set of keys are folded to their first before anything
       else, so a mass of identical copies costs one row per task.
     * Rows that are first on all their keys are kept, and rows that share a key with them are not.
-      That settles most rows, and all but one of those around a hot key.
+      That settles most rows, and all but one of those around a hot key.  While many rows are left
+      and a round settles half of them or more, another round follows: together they cost two of the first.
     * The others fall into components of rows that share keys, directly or by way of others.  The
       scan's verdict on a row depends on its own component alone, so components are dealt out
       by their smallest row and each is scanned in order, with the keys it has kept so far.
     * A component of more than SCANNED_AT_ONCE rows doesn't go to one task.  Its rows are settled by
       further rounds over the first two rows of every key, which break it up, and what is left falls into components anew.
 
-    The number of jobs depends on neither the rows nor the length of their chains, unless such a component is there.
+    Unless such a component is there, the number of jobs doesn't depend on the length of the rows' chains, and
+    on the rows by the logarithm of their number at most.
     """
     spark, names = df.sparkSession, list(keys)
     with Steps(spark, "greedy") as steps:
         keyed = steps.keep(df.select(F.col(seq).alias("seq"), *[X.text(keys[n]).alias(n) for n in names]))
         keyed = _numbered(keyed, steps)
-        tagged = F.array_compact(F.array(*[
-            F.when(F.col(n) != "", F.concat(F.lit(f"{i}:"), F.col(n))) for i, n in enumerate(names)]))
-        folded = steps.keep(keyed.groupBy(*names).agg(F.min("rid").alias("rid")).select("rid", tagged.alias("keys")))
-        left = folded.select("rid", F.size("keys").alias("width"), F.explode("keys").alias("key"))
-        kept = [keyed.filter(F.concat(*[F.col(n) for n in names]) == "").select("rid")]
-        chains = False
+        blank = F.concat(*[F.col(n) for n in names]) == ""
+        kept = [keyed.filter(blank).select("rid")]
+        tags = {f"_k{i}": F.when(F.col(n) != "", F.concat(F.lit(f"{i}:"), F.col(n))) for i, n in enumerate(names)}
+        rows = steps.keep(keyed.filter(~blank).groupBy(*names).agg(F.min("rid").alias("rid")).select(
+            "rid", *[tag.alias(k) for k, tag in tags.items()]))
+        held = F.array_compact(F.array(*tags))
+        count, chains = rows.count(), False
         while True:
-            winners = _first_two(left, chains, steps)
+            winners = _first_two(rows.select("rid", F.size(held).alias("width"), F.explode(held).alias("key")), chains, steps)
             kept.append(winners)
-            taken = left.join(winners, "rid", "left_semi").select("key")
-            decided = left.join(taken, "key", "left_semi").select("rid").distinct()
-            left = steps.keep(left.join(decided, "rid", "left_anti"))
+            won = steps.keep(rows.join(winners, "rid", "left_semi"))
+            for k in tags:
+                rows = rows.join(won.select(k), k, "left_anti")
+            rows = steps.keep(rows)
+            before, count = count, rows.count()
+            if count * len(names) > EDGES_AT_ONCE and 2 * count <= before:
+                continue
+            left = rows.select("rid", F.explode(held).alias("key"))
             # A key's rows hang on its first; the aggregate is written, so that a hot key's rows can be split in the join.
             hubs = steps.keep(left.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"))
             roots = connected(left.join(hubs, "key").select(F.col("rid").alias("a"), "b"), steps)
             # rows whose rivals all went have no edge
-            kept.append(steps.keep(left.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left_anti").distinct()))
+            kept.append(steps.keep(rows.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left_anti")))
             large = steps.keep(roots.groupBy("root").count().filter(F.col("count") > SCANNED_AT_ONCE).select("root"))
-            rows = folded.join(roots.join(large, "root", "left_anti"), F.col("rid") == F.col("node"))
-            kept.append(steps.keep(rows.select("root", "rid", "keys").repartition("root").sortWithinPartitions(
+            small = rows.join(roots.join(large, "root", "left_anti"), F.col("rid") == F.col("node"))
+            kept.append(steps.keep(small.select("root", "rid", held.alias("keys")).repartition("root").sortWithinPartitions(
                 "root", "rid").mapInArrow(_scanned, "rid long")))
             if large.isEmpty():
                 break
-            left = steps.keep(left.join(roots.join(large, "root").select(F.col("node").alias("rid")), "rid", "left_semi"))
-            chains = True
+            rows = steps.keep(rows.join(roots.join(large, "root").select(F.col("node").alias("rid")), "rid", "left_semi"))
+            count, chains = rows.count(), True
         return materialize(reduce(DataFrame.union, kept).join(keyed.select("rid", "seq"), "rid").select("seq"))
 
 

@@ -9,10 +9,9 @@ from gleaner.config import Config
 from gleaner.functions import rules as R
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
-from gleaner.operators.dedupe import greedy_dedupe, posting_keys, soft_dedupe, uniq_by
+from gleaner.operators.dedupe import greedy_keep, posting_keys, soft_dedupe, uniq_by
 from gleaner.operators.enrich import only_new, with_descriptions, with_found
-from gleaner.operators.shape import ordered_union, shape_board, shape_web, unify
-from gleaner.session import materialize
+from gleaner.operators.shape import as_place, ordered_union, shape_board, shape_web, unify
 
 
 def unique_cards(cards: DataFrame) -> DataFrame:
@@ -80,5 +79,16 @@ def combined_feed(web: DataFrame, board: DataFrame) -> DataFrame:
 
 
 def merged_feed(web: DataFrame, board: DataFrame) -> DataFrame:
-    # written once, since the dedupe reads the rows for their keys and again for the result
-    return greedy_dedupe(materialize(combined_feed(web, board)), posting_keys())
+    """The rows a scan of both feeds keeps.
+
+    The dedupe reads the feeds for their keys alone.  They are read again for the rows that are
+    kept, by their own ``seq``, so that a description is looked up, carried and trimmed for those only.
+    """
+    kept = greedy_keep(combined_feed(web, board), posting_keys())
+    own = kept.schema["seq"].dataType["own"].dataType
+    feeds = []
+    for rank, feed in enumerate((web, board)):
+        seq = F.col("seq") if feed.schema["seq"].dataType == own else as_place(feed, "seq")
+        wanted = kept.filter(F.col("seq.rank") == rank).select(F.col("seq.own").alias("_own"))
+        feeds.append(feed.join(wanted, seq.eqNullSafe(F.col("_own")), "left_semi"))
+    return combined_feed(*feeds)

@@ -91,6 +91,22 @@ def test_components_too_large_for_one_task(spark, monkeypatch):
     assert kept_by_spark(spark, rows) == scan(rows)
 
 
+def test_rounds_while_they_settle_half(spark, monkeypatch):
+    """Many rows left after a round that settled most are not yet joined up to components."""
+    monkeypatch.setattr(dedupe, "EDGES_AT_ONCE", 150)
+    edges = []
+    monkeypatch.setattr(dedupe, "connected", lambda e, steps: (edges.append(e.count()), groups.connected(e, steps))[1])
+    rows = random_rows(12, 3000, 150)
+    assert kept_by_spark(spark, rows) == scan(rows)
+    assert edges and max(edges) <= 150
+
+
+def test_rounds_that_settle_little_end_in_components(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "EDGES_AT_ONCE", 3)
+    rows = braid(30) + [(100 + s, *keys) for s, *keys in random_rows(13, 60, 40)]
+    assert kept_by_spark(spark, rows) == scan(rows)
+
+
 @pytest.mark.parametrize("at_once", [2_000_000, 10])
 def test_connected_rows(spark, monkeypatch, at_once):
     monkeypatch.setattr(groups, "EDGES_AT_ONCE", at_once)

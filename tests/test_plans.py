@@ -48,3 +48,11 @@ def test_filters_reach_the_scan(spark, folder):
 def test_unused_columns_are_not_read(spark, folder):
     text = plan(QUERIES["title_match"](spark, folder))
     assert "text:string" not in text and "o_totalprice" not in text
+
+
+def test_merges_carry_no_texts(spark, folder):
+    """Texts are looked up for the kept rows only."""
+    lines = QUERIES["merged_feed"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = [i for i, line in enumerate(lines) if "Join LeftSemi" in line]
+    texts = [i for i, line in enumerate(lines) if "Join Inner" in line and "strategy=merge" in line]
+    assert len(semi) == len(texts) == 2 and all(t < s for t, s in zip(texts, semi))

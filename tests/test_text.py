@@ -240,3 +240,16 @@ def test_paths_in_canonical_urls(column):
         "https://h/caf\u00e9": "https://h/caf%C3%A9", "https://h/a%20b": "https://h/a%20b", "https://h/a..b/.c": "https://h/a..b/.c",
         "https://h/a//b": "https://h/a//b", "https://h/x/.": "https://h/x", "https://h/\"q\"": "https://h/%22q%22"}
     assert column(U.canonical, list(pairs)) == list(pairs.values())
+
+
+def test_plain_urls_keep_their_canonical_form(column, monkeypatch):
+    """The short way for plain URLs gives what the general one gives, on plain and on odd ones."""
+    heads = ("https://h.example-1.org", "http://H.org", "https://h:443", "ftp://h", "https://u@h", "https:/h", "h.org", "https://h_h", "")
+    tails = ("", "/", "//", "/a//", "/a/b/?q=1#f", "/a/#f?q", "?q", "#f", "/./a", "/a/..", "/a/..?x", "/.a/..b", "/a%20b", "/a b",
+             "/a;b=c,d:e@f!$&'()*+", "/[x]|~", "/a\\b", "/a^b", "/\u00e9", "/a\nb", "/a\u0085", "/...", "/a/.", "\\a")
+    urls = [h + t for h in heads for t in tails]
+    short = column(U.canonical, urls)
+    plain = column(lambda c: c.rlike(U.PLAIN_URL_PATTERN), urls)
+    assert 10 < sum(plain) < len(urls) / 2
+    monkeypatch.setattr(U, "PLAIN_URL_PATTERN", "(?!)")
+    assert short == column(U.canonical, urls)
