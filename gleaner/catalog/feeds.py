@@ -98,7 +98,9 @@ WITH RECURSIVE {_MERGE_SQL}
 SELECT count(*) FILTER (source_rank = 0) AS web, count(*) FILTER (source_rank = 1) AS board,
   count(*) AS combined, (SELECT count(*) FROM kept) AS kept FROM feed""")
 def merge_funnel(spark, folder):
-    combined = combined_feed(*_split_feeds(spark, folder))
+    # the counts and the dedupe need no texts, so none are carried through the merge
+    combined = combined_feed(*_split_feeds(spark, folder)).select(
+        "seq", "source_rank", "li_job_id", "job_url", "company", "title")
     return merge_counts(combined, lambda rows: greedy_keep(rows, posting_keys()), {"web": 0, "board": 1})
 
 

@@ -56,3 +56,12 @@ def test_merges_carry_no_texts(spark, folder):
     semi = [i for i, line in enumerate(lines) if "Join LeftSemi" in line]
     texts = [i for i, line in enumerate(lines) if "Join Inner" in line and "strategy=merge" in line]
     assert len(semi) == len(texts) == 2 and all(t < s for t, s in zip(texts, semi))
+
+
+def test_merge_counts_carry_no_texts(spark, folder, monkeypatch):
+    from gleaner.catalog import feeds
+
+    seen = []
+    monkeypatch.setattr(feeds, "merge_counts", lambda rows, *rest: seen.append(rows.columns))
+    feeds.merge_funnel(spark, folder)
+    assert "description" not in seen[0]
