@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner import config as C
 from gleaner.functions import text as X
+from gleaner.llm.memory import give_back
+from gleaner.session import small_batches
 from gleaner.sources.markup import Field, collect
 
 # ---------------------------------------------------------------------------
@@ -39,6 +42,9 @@ DETAIL_CONTAINERS = (
 
 JSONLD_TYPE = r"application/ld\+json"
 
+PAGES_AT_ONCE = 100  # so many pages of a batch are held as Python strings
+GIVEN_BACK_AFTER = 16 << 20  # bytes of markup, after which a worker hands freed memory back
+
 # ---------------------------------------------------------------------------
 
 
@@ -64,13 +70,17 @@ def _parse(pages: DataFrame, key: str, html: str, fields: Sequence[Field],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {key: page_key, "item_pos": pos, **item}
-                for page_key, markup in zip(batch[key], batch[html])
-                for pos, item in enumerate(collect(markup, fields, item_tag))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
+            for low in range(0, len(batch), PAGES_AT_ONCE):
+                part = batch.iloc[low:low + PAGES_AT_ONCE]
+                rows = [
+                    {key: page_key, "item_pos": pos, **item}
+                    for page_key, markup in zip(part[key], part[html])
+                    for pos, item in enumerate(collect(markup, fields, item_tag))
+                ]
+                yield pd.DataFrame(rows, columns=names)
+        give_back()
+
+    small_batches(pages.sparkSession)
     return pages.select(key, html).mapInPandas(run, schema)
 
 
@@ -117,13 +127,28 @@ def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html",
     return parsed.select(key, X.collapsed(raw).alias("description"))
 
 
+def _texts(markup: pa.Array) -> pa.Array:
+    """The text of every page of a batch; a few pages at a time are Python strings."""
+    field = (Field("text"),)
+    done = [pa.array([None if page is None else "".join(row["text"] for row in collect(page, field))
+                      for page in markup.slice(low, PAGES_AT_ONCE).to_pylist()], pa.string())
+            for low in range(0, len(markup), PAGES_AT_ONCE)]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
 def html_text(col: Column) -> Column:
     """All text of a markup fragment, entities decoded, ends trimmed; null costs nothing and gives an empty text."""
 
-    @F.pandas_udf(T.StringType())
-    def whole(markup: pd.Series) -> pd.Series:
-        field = (Field("text"),)
-        return markup.map(lambda m: None if m is None else "".join(row["text"] for row in collect(m, field)))
+    @F.arrow_udf(T.StringType())
+    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen = 0
+        for markup in batches:
+            yield _texts(markup)
+            seen += markup.nbytes
+            if seen > GIVEN_BACK_AFTER:
+                seen = 0
+                give_back()
+        give_back()
 
     return X.trimmed(whole(col))
 
@@ -178,6 +203,7 @@ def extract_jsonld(pages: DataFrame, key: str = "url", html: str = "html",
         .filter(F.col("posting").isNotNull())
         .select(key, *[c.alias(n) for n, c in posting_fields(F.col("posting")).items()])
     )
+    small_batches(pages.sparkSession)
     body = F.col("description")
     # the parsing step runs for every row whatever condition stands around it, so it is given nulls
     marked = body.rlike("[<&]")

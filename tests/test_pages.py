@@ -2,8 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 
+from gleaner.catalog import QUERIES
+from gleaner.sources import pages as P
 from gleaner.sources.markup import Field, collect
 from gleaner.sources.pages import extract_cards, extract_detail, extract_jsonld, html_text
 
@@ -139,3 +142,20 @@ def test_jsonld_blocks_by_their_exact_type(spark):
     ]
     pages = spark.createDataFrame([r[:2] for r in rows], "url long, html string")
     assert sorted(r["url"] for r in extract_jsonld(pages).collect()) == [k for k, _, good in rows if good]
+
+
+def test_few_pages_at_once_in_python(spark, folder, monkeypatch):
+    """Batches that go to Python hold few pages, and few of a batch are strings at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query in ("html_text", "detail_text", "jsonld_extract"):
+            spark.conf.set(name, "10000")
+            QUERIES[query](spark, folder)
+            assert spark.conf.get(name) == "1000", query
+    finally:
+        spark.conf.set(name, before)
+    monkeypatch.setattr(P, "PAGES_AT_ONCE", 2)
+    bodies = ["<b>a</b>", None, "&lt;", "", "x<!-- y -->z"]
+    assert P._texts(pa.array(bodies)).to_pylist() == ["a", None, "<", "", "xz"]
+    assert P._texts(pa.array([], pa.string())).to_pylist() == []
