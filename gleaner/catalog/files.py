@@ -14,7 +14,7 @@ from gleaner.catalog.views import postings
 from gleaner.operators.dedupe import uniq_by
 from gleaner.operators.search import search_stored
 from gleaner.plans.jobs import run_merge
-from gleaner.session import scratch_path
+from gleaner.session import materialize, scratch_path
 from gleaner.sources.hits import read_hits
 from gleaner.sources.state import Snapshots, append_seen, append_seen_runs, load_seen
 from gleaner.sources.tables import BOARD_FILE_NAME, read_postings_csv, write_postings_csv
@@ -61,11 +61,12 @@ WHERE seq IN (SELECT seq FROM kept)""")
 def merge_files(spark, folder):
     """Both feeds as folders of CSV files, merged from there."""
     path = scratch_path(spark, "merge")
-    web, board = _split_feeds(spark, folder)
-    write_postings_csv(_in_order(web, "seq"), f"{path}/google_jobs.csv",
-                       ("company", "title", "location", "posted_at", "job_url"))
-    write_postings_csv(_in_order(board, "seq"), f"{path}/{BOARD_FILE_NAME}",
-                       ("li_job_id", "company", "title", "location", "date_posted", "job_url"))
+    names = {"google_jobs.csv": ("company", "title", "location", "posted_at", "job_url"),
+             BOARD_FILE_NAME: ("li_job_id", "company", "title", "location", "date_posted", "job_url")}
+    for feed, (name, fields) in zip(_split_feeds(spark, folder), names.items(), strict=True):
+        # written once, since dealing the rows out in order reads them for the ranges and again for the rows
+        rows = materialize(feed.select("seq", *fields))
+        write_postings_csv(_in_order(rows, "seq"), f"{path}/{name}", fields)
     clean = run_merge(spark, path, f"{path}/out")
     return clean.select("li_job_id", "company", "title", "date_posted", "job_url")
 

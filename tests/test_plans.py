@@ -65,3 +65,12 @@ def test_merge_counts_carry_no_texts(spark, folder, monkeypatch):
     monkeypatch.setattr(feeds, "merge_counts", lambda rows, *rest: seen.append(rows.columns))
     feeds.merge_funnel(spark, folder)
     assert "description" not in seen[0]
+
+
+def test_files_are_dealt_out_from_written_rows(spark, folder, monkeypatch):
+    from gleaner.catalog import files
+
+    plans = []
+    monkeypatch.setattr(files, "_in_order", lambda rows, key: (plans.append(plan(rows)), rows.orderBy(key))[1])
+    QUERIES["merge_files"](spark, folder)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
