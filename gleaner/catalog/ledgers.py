@@ -111,23 +111,26 @@ def stream_daily_keys(spark, folder):
 
 
 def _arriving(spark, folder, order):
-    """The events as three files that come one batch at a time; ``order`` tells the file of a row."""
+    """The events in three lots of files, each one batch; ``order`` tells the lot of a row.
+
+    The stream is given out each time a lot has come, for the query to go on with from its checkpoint: however many files
+    a large table makes of a lot, none is taken before the others of its lot.
+    """
     events = _events(spark, folder)
     path = scratch_path(spark, "arriving")
     for k in range(3):
         events.filter(order == k).write.parquet(f"{path}/{k}")
-    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
-    return stream.option("maxFilesPerTrigger", 1).parquet(path)
+        yield spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 @query("stream_late_days", """
 SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events""")
 def stream_late_days(spark, folder):
     """Each user once a day over several batches, of which the first days come last."""
-    path = scratch_path(spark, "late")
+    path, log = scratch_path(spark, "late"), scratch_path(spark, "late-log")
     day = F.dayofmonth("ts")
-    late = _arriving(spark, folder, F.when(day > 20, 0).when(day > 10, 1).otherwise(2))
-    _finished(stream_dedupe_daily(late, "user_id", "ts", "event_id", path, scratch_path(spark, "late-log")))
+    for late in _arriving(spark, folder, F.when(day > 20, 0).when(day > 10, 1).otherwise(2)):
+        _finished(stream_dedupe_daily(late, "user_id", "ts", "event_id", path, log))
     return spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "user_id")
 
 
@@ -136,9 +139,9 @@ SELECT user_id, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) = 1""")
 def stream_batches(spark, folder):
     """First event per user in order of arrival, over several batches."""
-    path = scratch_path(spark, "batches")
-    _finished(stream_only_new(_arriving(spark, folder, F.col("event_id") % 3), "user_id", "event_id", path,
-                              scratch_path(spark, "batches-log")))
+    path, log = scratch_path(spark, "batches"), scratch_path(spark, "batches-log")
+    for stream in _arriving(spark, folder, F.col("event_id") % 3):
+        _finished(stream_only_new(stream, "user_id", "event_id", path, log))
     return spark.read.parquet(path).select("user_id", "event_id")
 
 
@@ -147,9 +150,9 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, event_id FROM events
 QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id % 3, event_id) = 1""")
 def stream_state_keys(spark, folder):
     """First event per user and day in order of arrival, with a state per key; each batch brings rows of all days."""
-    path = scratch_path(spark, "keyed")
-    _finished(stream_first_of_keys(_arriving(spark, folder, F.col("event_id") % 3), "user_id", "event_id", path,
-                                   scratch_path(spark, "keyed-log"), ts="ts"))
+    path, log = scratch_path(spark, "keyed"), scratch_path(spark, "keyed-log")
+    for stream in _arriving(spark, folder, F.col("event_id") % 3):
+        _finished(stream_first_of_keys(stream, "user_id", "event_id", path, log, ts="ts"))
     return spark.read.parquet(path).select("day", "user_id", "event_id")
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.streaming.keyed import stream_first_of_keys
+from gleaner.catalog import QUERIES
+from gleaner.streaming.keyed import first_of_keys, stream_first_of_keys
 
 FIELDS = "seq long, k string, ts timestamp_ntz, other string"
 
@@ -66,3 +67,39 @@ def test_keys_count_again_after_their_lifetime(spark, tmp_path):
     arrive(spark, tmp_path / "in", 1, [(6, "a", at(11)), (7, "b", at(8)), (8, "a", at(12)), (9, "a", at(12)), (10, "b", at(20))])
     run(spark, tmp_path, ts="ts", lifetime=2 * 3600)
     assert accepted(spark, tmp_path) == [1, 3, 4, 8, 10]
+
+
+def test_keys_cost_no_calls_to_python(spark, tmp_path):
+    """The entries are held by Spark's own deduplication; Python sees batches and buckets of rows."""
+    text = first_of_keys(feed(spark, str(tmp_path)), ["k"], "seq")._jdf.queryExecution().analyzed().toString()
+    assert text.lstrip("~").startswith("Deduplicate") and "MapInArrow" in text and "TransformWithState" not in text
+
+
+def test_first_of_a_batch_of_many_files(spark, tmp_path):
+    """The first by order of all files of a batch; orders that a double cannot tell apart, or none, are told apart."""
+    large = 2**53
+    rows = [(large + 1, "a", "x"), (large, "a", "x"), (None, "a", "x"), (None, "b", "x"), (7, "c", "x"), (None, "d", "x"), (9, "d", "x")]
+    frame = spark.createDataFrame(rows, "seq long, k string, other string").coalesce(1)
+    frame.write.parquet(str(tmp_path / "in" / "0"))
+    spark.range(30000).selectExpr("id + 1 seq", "'hot' k", "'x' other").repartition(3, "seq").write.parquet(str(tmp_path / "in" / "1"))
+    spark.range(400).selectExpr("400 - id seq", "concat('k', id % 100) k", "'x' other").repartition(8, "seq").write.parquet(str(tmp_path / "in" / "2"))
+    stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream_first_of_keys(stream, "k", "seq", str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = {r["k"]: r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 105 and spark.read.parquet(str(tmp_path / "out")).count() == 105
+    assert got["a"] == large and got["b"] is None and (got["c"], got["d"], got["hot"]) == (7, 9, 1)
+    assert all(got[f"k{i}"] == 100 - i for i in range(100))
+
+
+@pytest.mark.parametrize("name", ["stream_state_keys", "stream_batches"])
+def test_a_lot_of_several_files_is_one_batch(spark, tmp_path, name):
+    """Whichever file of a lot is taken first, some user's first event is in another."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    for file in range(16):
+        rows = spark.range(48).selectExpr(
+            f"id * 48 + (({file} + id) % 16) * 3 event_id", "timestamp_ntz'2024-01-05 10:00:00' ts", "id user_id",
+            "'view' event_type", "0D value", "'{}' props")
+        rows.select([F.col(f.name).cast(f.dataType) for f in schema]).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "events.parquet"))
+    got = {r["user_id"]: r["event_id"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {i: i * 48 for i in range(48)}
